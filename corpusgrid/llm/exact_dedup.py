@@ -50,14 +50,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         keyed = keyed.join(F.broadcast(hot), "__hash", "left").withColumn(
             "__run", F.when(F.col("__runs").isNotNull(), F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.col("__runs")))
         )
-    else:
-        keyed = keyed.withColumn("__run", F.lit(None).cast("long"))
     keyed = keyed.withColumn("__prefix", F.substring("__norm", 1, PREFIX))
-    placed = keyed.repartitionByRange("__prefix", "__hash", "__run")
-    run = Window.partitionBy("__prefix", "__hash", "__run", "__norm").orderBy(F.col(id_col).asc_nulls_last())
+    # the window asks for rows of equal range keys together, which the ranges already give: no second exchange
+    keys = ["__prefix", "__hash", *["__run"] * any_hot]
+    placed = keyed.repartitionByRange(*keys)
+    run = Window.partitionBy(*keys, "__norm").orderBy(F.col(id_col).asc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     placed = placed.select(
-        *docs.columns, "__run", F.sha2("__norm", 256).alias("text_sha256"),
+        *docs.columns, F.sha2("__norm", 256).alias("text_sha256"),
         F.min(id_col).over(whole).alias("__min"), F.count(F.lit(1)).over(whole).alias("__count"), F.row_number().over(run).alias("__at"),
     )
     if any_hot:
