@@ -152,7 +152,7 @@ def candidates(distinct: DataFrame, trees: int, depth: int, least: int, region:
         keys = np.frombuffer(b"".join(table.column("key").to_pylist()), ">u4").reshape(-1, depth)
         a, b = regions(tree, keys, least, region)
         ends = np.array([0, len(ids) - 1])
-        agree = SKETCH - np.bitwise_count(sketch[a] ^ sketch[b])
+        agree = SKETCH - np.bitwise_count((sketch[a] ^ sketch[b]).astype(np.uint64))
         ok = (agree >= SKETCH_BITS) & (ids[a] != ids[b])
         pairs = np.unique(np.sort(np.column_stack([ids[a][ok], ids[b][ok]]), axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.binary())], names=["a", "b", "tree", "key"])
