@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 _M, _K = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 _U = np.uint64
@@ -63,3 +64,16 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         out = np.minimum(out[:-step], out[step:]) if len(out) > step else out[:0]
         done += step
     return out
+
+
+def joined(texts: pa.Array, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts without nulls, each mapped by `fold` and followed by a space; where each begins, with the end last."""
+    n = len(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    begin = ends - ends[0] + np.arange(n + 1)
+    data = np.full(begin[-1], 0x20, np.uint8)
+    if ends[-1] > ends[0]:
+        solid = np.ones(len(data), bool)
+        solid[begin[1:] - 1] = False
+        data[solid] = fold[np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]]
+    return data, begin

@@ -35,16 +35,9 @@ _LOWER[65:91] += 32
 def shingles(texts: pa.Array, n_words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, all in a row, and where each text's begin (with the end last)."""
     n = len(texts)
-    sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1]) if n else np.zeros(0, np.int32)
-    data = np.full(int(sizes.sum()) + n, 0x20, np.uint8)
-    begin = np.cumsum(sizes + 1) - sizes - 1
-    solid = np.ones(len(data), bool)
-    solid[begin + sizes] = False
-    if sizes.sum():
-        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset]
-        data[solid] = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[at : at + int(sizes.sum())]]
+    data, begin = hashing.joined(texts, _LOWER)
     starts, _, words = hashing.words(data)
-    first = np.searchsorted(starts, np.append(begin, len(data) + 1))
+    first = np.searchsorted(starts, begin)
     doc = np.repeat(np.arange(n), np.diff(first))
     whole = hashing.windows(words, n_words)
     valid = doc[: len(whole)] == doc[n_words - 1 :] if len(doc) >= n_words else np.zeros(0, bool)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from corpusgrid.llm import exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_files
+from corpusgrid.llm import chat, exact_dedup, html_extract, licenses, mixing, near_dedup, packing, quality, substring_dedup, token_files
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_near_dedup": near_dedup.query,
+    "op3_extract_html": html_extract.query,
+    "op4_format_chats": chat.query,
     "op5_pack_sequences": packing.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_scan_licenses": licenses.query,
     "op8_quality_rules": quality.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_token_files": token_files.query,

@@ -1,13 +1,16 @@
 """Token ids of whole texts, a batch at a time.
 
-The texts of a batch are cut before every space or line feed that follows a printable character. The tokenizer's
-own pre-tokenizer has a boundary at each of these places whatever stands around them (its pieces hold white space only
-at their start, or nothing else), so that the ids of a text are those of its cuts, one after another. Equal
-cuts are then encoded once: Arrow's dictionary finds them, the tokenizers library gives their ids, and numpy puts the ids in place.
+The texts of a batch are cut before every space or line feed that follows a printable character, after a single line
+feed between printable characters, and between a Latin letter and ASCII punctuation. The tokenizer's own pre-tokenizer has a
+boundary at each of these places whatever stands around them (its pieces are a run of letters, of digits or of
+other signs, each with at most one space before it, a contraction, or white space), so that the ids of a text are those of its
+cuts, one after another. Equal cuts are encoded once: Arrow's dictionary finds them, the tokenizers library gives their ids,
+and numpy puts the ids in place. A cut that is a run of letters is one piece, so it goes straight to the library's model.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES, KEPT = 8 << 20, 800_000
+_BLANK, _SIGN, _LETTER = (np.array([test(chr(i)) for i in range(128)] + [False] * 128) for test in (lambda c: c in " \n", lambda c: c.isprintable() and not c.isalnum() and c != " ", str.isalpha))
 
 
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -36,6 +40,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in a text, their strings are ordinary text
         self.kept: dict[str, bytes] = {}
+        shown = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]  # a byte-level vocabulary's names of bytes
+        self.names = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
 
     def _ids(self, cuts: list[str]) -> list[bytes]:
         kept = self.kept
@@ -43,10 +49,15 @@ class Encoder:
         if len(kept) + len(missing) > KEPT:
             kept.clear()
             missing = cuts
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for cut, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                kept[cut] = np.array(enc.ids, dtype="<u4").tobytes()
+        model, names = self.tokenizer.model.tokenize, self.names
+        rest = []
+        for cut in missing:
+            if (cut[1:] if cut[0] == " " else cut).isalpha():
+                kept[cut] = array("I", [t.id for t in model(cut.encode().decode("latin-1").translate(names))]).tobytes()
+            else:
+                rest.append(cut)
+        for cut, enc in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            kept[cut] = array("I", enc.ids).tobytes()
         return [kept[c] for c in cuts]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,12 +74,18 @@ class Encoder:
         data = texts.buffers()[2].slice(first, size)
         b = np.frombuffer(data, dtype=np.uint8)
         rel = (ends - first).astype(np.int64)
-        at = np.flatnonzero((b == 0x20) | (b == 0x0A))
+        at = np.flatnonzero(_BLANK[b])
         at = at[at > 0]
         one, two, three = b[at - 1], b[np.maximum(at - 2, 0)], b[np.maximum(at - 3, 0)]
-        printable = (one > 0x20) & (one < 0x7F) | (one >= 0x80) & (two != 0xC2) & ~((three >= 0xE1) & (three <= 0xE3))
+        at = at[(one > 0x20) & (one < 0x7F) | (one >= 0x80) & (two != 0xC2) & ~((three >= 0xE1) & (three <= 0xE3))]
         mark = np.zeros(size, dtype=bool)
-        mark[at[printable]] = True
+        mark[at] = True
+        feed = at[(b[at] == 0x0A) & (at < size - 1)] + 1
+        mark[feed[(b[feed] > 0x20) & (b[feed] < 0x7F)]] = True
+        sign = np.flatnonzero(_SIGN[b])
+        sign = sign[sign > 0]
+        one, two = b[sign - 1], b[np.maximum(sign - 2, 0)]
+        mark[sign[_LETTER[one] | (two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7)]] = True
         mark[rel[:-1][rel[:-1] < size]] = True
         begin = np.flatnonzero(mark)
         bounds = np.append(begin, size).astype(np.int32)
