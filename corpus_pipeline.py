@@ -1,39 +1,56 @@
-"""The corpus pipeline: quality rules, exact dedup, near-dedup, mixing, packing."""
+"""The corpus pipeline: quality rules, exact dedup, near-dedup, mixing to target weights, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of the stage before it, and returns the columns of documents; the last
+returns the packed pieces. No stage looks at a subset of rows.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusgrid.llm.exact_dedup import exact_dedup
 from corpusgrid.llm.mixing import mix
+from corpusgrid.llm.near_dedup import near_dedup
+from corpusgrid.llm.packing import digest, pack
 from corpusgrid.llm.quality import quality_rules
-from corpusgrid.session import shared_dir
+from corpusgrid.session import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the log-likelihood ratio."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules(docs, labels).where("kept").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts: that of the smallest id."""
     return exact_dedup(docs).where("kept").select(*docs.columns)
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates: that of the smallest id."""
+    dropped = near_dedup(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order in which the schedule interleaves their sources."""
     return mix(docs).orderBy("mix_slot", "mix_row").select(*docs.columns)
 
 
-STAGES = [("quality", quality), ("exact", exact), ("mix", mixing)]
-ORACLE_SQL = None
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens, packed in blocks that follow the mixed order."""
+    return digest(pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mixed), ("pack", packed)]
+ORACLE_SQL = None  # hashed n-grams, MinHash, scheduling and tokenizing are not SQL; tests/llm compares with a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order; each is written and read back, so that a later one starts from files."""
+    """The stages in order; each result but the last is written to the shared folder and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            from corpusgrid.session import materialise
-
-            docs = materialise(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
