@@ -107,7 +107,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
     total = F.aggregate("__words", F.lit(0.0), lambda acc, w: acc + F.get(table, bucket(w, buckets)))
     score = F.round(F.when(F.col("n_words") > 0, total / F.col("n_words")).otherwise(0.0), 9)
     scored = with_base(docs, text_col).withColumn("llr_score", score)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr_score") >= threshold)).drop("__words")
+    # A filter on `kept` must not move below the projections: there it would work out the windows of a text anew for each of its words.
+    # The second condition always holds, but is not deterministic to the optimizer, which then leaves the filter where it is.
+    kept = ~F.col("base_failed") & (F.col("llr_score") >= threshold) & (F.monotonically_increasing_id() >= 0)
+    return scored.withColumn("kept", kept).drop("__words")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
