@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from corpusgrid.plans import papers, retrieval
+
+QUERIES = retrieval.QUERIES | papers.QUERIES
+ORACLE = retrieval.ORACLE | papers.ORACLE
