@@ -58,7 +58,7 @@ def read_turns(formatted: str) -> list[tuple[str, str, int, int]]:
 
 def turns(chats: DataFrame) -> DataFrame:
     """conv_id, place, node, path, start, segment: a row for each turn, in turn order."""
-    rows = chats.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    rows = chats.select(F.col("conv_id").cast("string").alias("conv_id"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,11 +70,11 @@ def turns(chats: DataFrame) -> DataFrame:
                     segment = write_turn(t["role"], t["text"])
                     node = hashlib.sha256(node + segment.encode()).digest()
                     path += node[:_SHORT]
-                    out.append((None if pd.isna(conv) else int(conv), place, node, path, start, segment))
+                    out.append((conv, place, node, path, start, segment))
                     start += len(segment)
-            yield pd.DataFrame(out, columns=["conv_id", "place", "node", "path", "start", "segment"]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=["conv_id", "place", "node", "path", "start", "segment"])
 
-    return whole.mapInPandas(run, "conv_id long, place long, node binary, path binary, start long, segment string")
+    return whole.mapInPandas(run, "conv_id string, place long, node binary, path binary, start long, segment string").withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def stream(members: DataFrame) -> DataFrame:
@@ -130,11 +130,11 @@ def digests(conversations: DataFrame) -> DataFrame:
                 found = read_turns(formatted)
                 said = "".join(f"{role}\n{text}\n" for role, text, _, _ in found)
                 loss = "".join(unescape(formatted[a:b]) for role, _, a, b in found if role == TRAINED)
-                out.append((None if pd.isna(conv) else int(conv), len(found), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+                out.append((conv, len(found), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
+            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    written = conversations.select("conv_id", F.array_join(F.transform("path", lambda s: s["segment"]), "").alias("formatted"))
-    return written.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    written = conversations.select(F.col("conv_id").cast("string").alias("conv_id"), F.array_join(F.transform("path", lambda s: s["segment"]), "").alias("formatted"))
+    return written.mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

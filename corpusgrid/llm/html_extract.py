@@ -15,8 +15,9 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -120,6 +121,8 @@ def main_text(html: str | None) -> str:
         return ""
     page = Lines()
     page.feed(re.sub(r"<!\[(?!CDATA\[)[^>]*>", "", html) if "<![" in html else html)
+    if re.match(r"<[!/?a-zA-Z]", page.rawdata):  # a tag or comment that the page's end cuts off is no text
+        page.rawdata = ""
     page.close()
     page._new()
     lines = [(x, t) for x in page.lines if (t := " ".join("".join(x.parts).split()))]
@@ -148,14 +151,15 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     shuffled, and repeated rows are extracted again. Input columns text and n_chars are replaced.
     """
     kept = [f for f in pages.schema.fields if f.name not in (html_col, "text", "n_chars")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "text string", "n_chars long"])
+    schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [main_text(x) for x in frame.pop(html_col)]
-            yield frame.assign(text=texts, n_chars=[len(t) for t in texts])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, html = batch.columns
+            texts = [main_text(x) for x in html.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return pages.select(*(f.name for f in kept), html_col).mapInPandas(run, schema)
+    return pages.select(*(f.name for f in kept), html_col).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
