@@ -81,9 +81,10 @@ def fact_sections(spark, sf):
     return facts.in_sections(facts.facts(p), structure.sections(p)).groupBy("section", "category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_file").alias("documents"))
 
 
-IN_SECTIONS = "with " + LINES + SECTIONS + FACTS + """, j as (select fa.*, (select arg_max(ss.section, ss.page_start) from ss where ss.source_file = fa.source_file and contains(replace(ss.text, chr(10), ' '), fa.quote)) s from fa)
+IN_SECTIONS = "with " + LINES + SECTIONS + FACTS + """,
+b as (select fa.source_file, page_number, sentence_no, category, arg_max(section, (page_start, section)) s from fa join ss on ss.source_file = fa.source_file and contains(ss.title || ' ' || replace(ss.text, chr(10), ' '), quote) group by all),
+j as (select fa.*, s from fa left join b using (source_file, page_number, sentence_no, category))
 select coalesce(s, 'unknown') section, category, count(*) n, count(distinct source_file) documents from j group by 1, 2"""
-IN_SECTIONS = IN_SECTIONS.replace("j as (select fa.*, (select arg_max(ss.section, ss.page_start) from ss where ss.source_file = fa.source_file and contains(replace(ss.text, chr(10), ' '), fa.quote)) s from fa)", "b as (select fa.source_file, page_number, sentence_no, category, arg_max(section, (page_start, section)) s from fa join ss on ss.source_file = fa.source_file and contains(replace(ss.text, chr(10), ' '), quote) group by all),\nj as (select fa.*, s from fa left join b using (source_file, page_number, sentence_no, category))")
 
 
 def quote_page(spark, sf):

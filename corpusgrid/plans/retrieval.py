@@ -46,9 +46,8 @@ SHORT = "q as (select item_id qid, list_aggregate(list_slice({0}, 1, {1}), 'stri
 AND = f"""with {SHORT.format(TOKENS.format('text'), 3)},
 qt as (select distinct qid, unnest(string_split(text, ' ')) w from q), n as (select qid, count(*) n from qt group by 1),
 dt as (select distinct doc_id doc, unnest({TOKENS.format('text')}) w from documents),
-h as (select qid, doc from dt join qt using (w) group by 1, 2 having count(*) = (select n from n where n.qid = qt.qid))
+h as (select qid, doc from (select qid, doc, count(*) c from dt join qt using (w) group by 1, 2) join n using (qid) where c = n)
 select * from (select qid, doc, row_number() over (partition by qid order by doc) rank from h) where rank <= 20"""
-AND = AND.replace("h as (select qid, doc from dt join qt using (w) group by 1, 2 having count(*) = (select n from n where n.qid = qt.qid))", "h as (select qid, doc from (select qid, doc, count(*) c from dt join qt using (w) group by 1, 2) join n using (qid) where c = n)")
 
 
 def phrase(spark, sf):
@@ -186,7 +185,7 @@ def claims(spark, sf):
     return evidence.answers(evidence.claims_checked(cl, packs))
 
 
-CLAIMS = PACK.replace("with d as", "with d as").join(["select qid, case when count_if(doc % 7 <> 0) > 0 then 'supported' else 'validation_failed' end status, count_if(doc % 7 <> 0) n_claims, case when count_if(doc % 7 = 0) > 0 then 'UNKNOWN_EVIDENCE_ID' else '' end warnings from (", ") group by qid"])
+CLAIMS = PACK.join(["select qid, case when count_if(doc % 7 <> 0) > 0 then 'supported' else 'validation_failed' end status, count_if(doc % 7 <> 0) n_claims, case when count_if(doc % 7 = 0) > 0 then 'UNKNOWN_EVIDENCE_ID' else '' end warnings from (", ") group by qid"])
 
 
 def question_terms(spark, sf):

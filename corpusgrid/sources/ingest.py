@@ -52,9 +52,10 @@ def pages(documents: DataFrame, extractor: Extractor = text_pages) -> DataFrame:
 def json_rows(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(good, corrupt): rows of JSON lines that fit the schema, and the text of the others."""
     whole = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(whole).option("mode", "PERMISSIVE").json(path)
-    parsed = rows.select(F.struct(*schema.names).alias("row"), "_corrupt_record")
-    return parsed.where("_corrupt_record is null").select("row.*"), parsed.where("_corrupt_record is not null").select("_corrupt_record")
+    rows = spark.read.text(path).where("trim(value) <> ''")
+    parsed = rows.select("value", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("row"))
+    ok = F.col("row._corrupt_record").isNull()
+    return parsed.where(ok).select(*(f"row.{c}" for c in schema.names)), parsed.where(~ok).select(F.col("value").alias("_corrupt_record"))
 
 
 def benchmark(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

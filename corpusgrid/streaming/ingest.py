@@ -12,12 +12,15 @@ from pyspark.sql.types import StructType
 
 def first_seen(rows: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     """The first row of each key; state older than the watermark is dropped."""
+    rows = rows.withColumn(time, F.col(time).cast("timestamp"))
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed_counts(rows: DataFrame, time: str, width: str, delay: str, *keys: str) -> DataFrame:
-    """Counts per tumbling window and keys; rows later than the watermark are left out."""
-    counts = rows.withWatermark(time, delay).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"))
+def windowed_counts(rows: DataFrame, time: str, width: str, delay: str | None, *keys: str) -> DataFrame:
+    """Counts per tumbling window and keys; rows later than the watermark are left out. No delay: the rows have a watermark already."""
+    if delay is not None:
+        rows = rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    counts = rows.groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("window.start").alias("start"), *keys, "n")
 
 
