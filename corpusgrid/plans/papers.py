@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.functions import text as X
-from corpusgrid.operators import batch, evidence, facts, structure
+from corpusgrid.operators import batch, evidence, facts, mapreduce, structure, summary
 from corpusgrid.plans.retrieval import table
 
 PAGE = """case page_number % 4 when 1 then 'Introduction' when 2 then '2) Methods' when 3 then 'Results' else 'Funding' end || chr(10) ||
@@ -274,13 +274,53 @@ def three_filters(spark, sf):
     return d.groupBy("lang").agg(*(F.count_if(X.value_filter(F.col("source"), v)).alias(k) for k, v in states.items()))
 
 
+def extractive(spark, sf):
+    return summary.extractive(structure.sections(pages(spark, sf)))
+
+
+def methods(spark, sf):
+    p = pages(spark, sf)
+    return summary.method_evidence(structure.sections(p), facts.facts(p))
+
+
+def metadata(spark, sf):
+    return summary.metadata(pages(spark, sf))
+
+
+def cleaned(spark, sf):
+    out = summary.cleaned(pages(spark, sf), 3)
+    return out.select("source_file", "page_number", "display_text", F.array_join("flags", ",").alias("flags"))
+
+
+CLEANED = "with " + LINES + """, o as (select source_file, line, count(*) c from ls where line <> '' group by 1, 2 having count(*) >= 3), k as (select ls.*, c is not null and (line_no < 3 or line_no >= 2) head from ls left join o using (source_file, line))
+select source_file, page_number, coalesce(string_agg(line, chr(10) order by line_no) filter (where not head), '') display_text, case when bool_or(head) then 'repeated_header_footer' else '' end flags from k group by 1, 2"""
+
+
+def mapped(spark, sf):
+    """Map over the chunks with the offline provider: what was said, and how many claims the text bears out."""
+    out = mapreduce.map_chunks(structure.chunks(pages(spark, sf), 400, 50))
+    return out.select("source_file", "chunk", F.coalesce("problem", F.lit("ok")).alias("problem"), F.size(F.filter("claims", lambda c: c["verified"])).alias("verified"), "requests")
+
+
+def reduced(spark, sf):
+    return mapreduce.reduce_notes(mapreduce.map_chunks(structure.chunks(pages(spark, sf), 400, 50)))
+
+
+def usage(spark, sf):
+    """Token and character ledger of the map step by paper."""
+    out = mapreduce.called(structure.chunks(pages(spark, sf), 400, 50), "text", mapreduce.offline)
+    return out.groupBy("source_file").agg(F.sum("requests").alias("requests"), F.sum("input_chars").alias("input_chars"))
+
+
 QUERIES = {
     "win04_section_carry": carry, "win05_units": units, "txt06_sections": sections, "txt09_passages": passages, "txt10_chunks": chunks, "txt10_long_page_split": long_parts, "txt11_facts": found, "jon07_fact_section": fact_sections,
     "jon08_range_page": quote_page, "evd02_locate": locate, "flt06_stat_search": statistical, "comp01_compare": compare, "rep02_selection": select_papers, "rep01_layout": layout, "mr06_request_plan": plan, "mr05_budget_groups": groups,
     "mr08_contract": contract, "agg03_dedup_by_sha": identity, "agg01_manifest_counts": manifest, "win03_alias_occurrence": alias, "bat01_resume_anti": resume, "snk07_upsert": upsert, "snk08_changed_sources": changed, "agg04_repeated_lines": repeated,
     "txt02_collapse": collapsed, "txt03_sentences": split, "qa03_bounded_text": bounded, "fmt05_safe_stem": stems, "src12_histogram": histogram, "flt01_value_filter": three_filters,
+    "txt01_clean_pages": cleaned, "txt23_extractive_summary": extractive, "txt24_method_evidence": methods, "txt17_metadata": metadata, "mr01_map_chunks": mapped, "mr03_reduce": reduced, "agg16_usage": usage,
 }
 ORACLE = {
+    "txt01_clean_pages": CLEANED,
     "win04_section_carry": "with " + LINES + " select source_file, section, count(*) n, sum(length(line))::bigint chars from cs group by 1, 2", "win05_units": UNITS, "txt06_sections": "with " + LINES + SECTIONS + " select * from ss",
     "txt10_long_page_split": LONG, "txt11_facts": FACT_ROWS, "jon07_fact_section": IN_SECTIONS, "jon08_range_page": QUOTE, "evd02_locate": LOCATE, "flt06_stat_search": "with " + PAGES + r" select source_file, page_number from pages where regexp_matches(text, '(?i)\bp\s*=\s*0\.03')",
     "comp01_compare": COMPARE, "rep02_selection": SELECT, "rep01_layout": "select papers, case when papers <= 1 then 'single' when papers <= 3 then 'matrix' else 'vertical' end layout, count(*) batches from (select count(*) papers from lineitem group by l_orderkey) group by 1, 2",
