@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.functions import text as X
-from corpusgrid.operators import evidence, lexical, vector
+from corpusgrid.operators import answers, evidence, lexical, vector
 
 TOKENS = r"regexp_extract_all(strip_accents(lower(coalesce({0}, ''))), '[\p{{L}}\p{{N}}]+')"
 
@@ -192,13 +192,35 @@ def question_terms(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(X.question_terms(F.col("text")), " ").alias("terms"))
 
 
+def answered(spark, sf):
+    """An answer for every benchmark item, citing its whole pack; items divisible by 7 cite an unknown id, those by 5 spell `text` as `claim`."""
+    packs = evidence.pack(_results(spark, sf))
+    ids = packs.groupBy("qid").agg(F.collect_list("evidence_id").alias("ids"))
+    cited = F.when(F.col("qid") % 7 == 0, F.array_append("ids", F.lit("E99"))).otherwise(F.col("ids"))
+    claim = lambda name: F.struct(F.lit("said").alias(name), cited.alias("evidence_ids"))
+    body = lambda name: F.to_json(F.struct(F.lit("supported").alias("status"), F.array(claim(name)).alias("claims"), F.array().cast("array<string>").alias("limitations")))
+    said = ids.select("qid", F.when(F.col("qid") % 5 == 0, body("claim")).otherwise(body("text")).alias("content"), F.lit("stop").alias("finish_reason"))
+    return answers.validated(said, packs)
+
+
+def shapes(spark, sf):
+    shape = answers.shape(F.col("props"))
+    return table(spark, sf, "events").groupBy("event_type", F.array_join(shape["keys"], ",").alias("keys")).agg(F.count(F.lit(1)).alias("n"))
+
+
+SHAPES = "select event_type, list_aggregate(list_sort(json_keys(props)), 'string_agg', ',') \"keys\", count(*) n from events group by 1, 2"
+ANSWERED = PACK.join(["select qid, case when qid % 7 = 0 then 'validation_failed' else 'supported' end status, (qid % 7 <> 0)::int::bigint n_claims, case when qid % 7 = 0 then 'UNKNOWN_EVIDENCE_ID' else '' end warnings from (", ") group by qid"])
+
+
 QUERIES = {
     "ret03_bm25_topk": bm25, "ret01_and_search": and_search, "ret06_phrase": phrase, "ret02_like_and": like_and, "ret05_fallback": fallback,
     "ret11_cosine_topk": cosine, "ret12_rrf": fused, "jon03_semi_allowed": lambda s, d: fused(s, d, True), "evl01_metrics": metrics, "evl02_rollup": rollup,
     "jon04_cache_missing": cache_missing, "ret07_normalise": normalised, "flt18_gate": gate, "qa02_pack_budget": pack, "qa07_claim_validation": claims, "qa01_terms": question_terms,
+    "qa08_answers": answered, "qa06_shapes": shapes,
 }
 ORACLE = {
     "ret03_bm25_topk": f"with {BM25} select qid, doc, score, rank from bm", "ret01_and_search": AND, "ret06_phrase": PHRASE, "ret02_like_and": LIKE_AND, "ret05_fallback": FALLBACK,
     "ret11_cosine_topk": "with " + COSINE.format(name="a", dims=64, k=10) + " select qid, vec_id, score, rank from a", "ret12_rrf": TWO + FUSED.format(where=""), "jon03_semi_allowed": TWO + FUSED.format(where=ALLOWED),
     "evl01_metrics": METRICS_ROWS, "evl02_rollup": ROLLUP, "jon04_cache_missing": CACHE, "ret07_normalise": NORMALISED, "qa02_pack_budget": PACK, "qa07_claim_validation": CLAIMS,
+    "qa08_answers": ANSWERED, "qa06_shapes": SHAPES,
 }
