@@ -212,15 +212,45 @@ SHAPES = "select event_type, list_aggregate(list_sort(json_keys(props)), 'string
 ANSWERED = PACK.join(["select qid, case when qid % 7 = 0 then 'validation_failed' else 'supported' end status, (qid % 7 <> 0)::int::bigint n_claims, case when qid % 7 = 0 then 'UNKNOWN_EVIDENCE_ID' else '' end warnings from (", ") group by qid"])
 
 
+def hybrid(spark, sf):
+    """Full vectors as the lexical side, half vectors as the semantic side."""
+    return vector.hybrid(cosine(spark, sf, 30), cosine(spark, sf, 30, 32), ["qid", "vec_id"])[0].select("qid", "vec_id", "fused_score", "sources", F.col("rank").cast("long").alias("rank"))
+
+
+HYBRID = "select qid, vec_id, fused_score, sources, rank from (with " + COSINE.format(name="a", dims=64, k=30) + ", " + COSINE.format(name="b", dims=32, k=30) + FUSED.format(where="where exists (select 1 from a where a.qid = u.qid and a.vec_id = u.vec_id)") + ")"
+
+
+def first_lines(spark, sf):
+    """The first place of each line of a source."""
+    rows = table(spark, sf, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return evidence.first_of(rows, ["source", "line"], ["doc_id", "no"]).select("source", "line", "doc_id", F.col("no").cast("long").alias("no"))
+
+
+FIRST_LINES = "with r as (select source, doc_id, unnest(range(len(x))) no, unnest(x) line from (select source, doc_id, string_split(text, chr(10)) x from documents)) select source, line, (min((doc_id, no)))[1] doc_id, (min((doc_id, no)))[2] no from r group by 1, 2"
+
+
+def _terms_sql(text: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+    same = " ".join(f"when '{a}' then '{b}'" for a, b in X.SYNONYMS.items())
+    found = rf"list_filter(regexp_extract_all(lower({text}), '[a-z][a-z0-9_-]*|[\x{{4e00}}-\x{{9fff}}]{{2,}}'), lambda t: t not in ({stop}))"
+    bare = f"list_transform({found}, lambda t: regexp_replace(t, '^[-_]+|[-_]+$', '', 'g'))"
+    stem = f"list_transform({bare}, lambda t: case when regexp_full_match(t, '.{{3,}}ing') then t[:-4] when regexp_full_match(t, '.{{3,}}ed') then t[:-3] when regexp_full_match(t, '.{{3,}}es') then t[:-3] when regexp_full_match(t, '.{{3,}}s') then t[:-2] else t end)"
+    return f"list_sort(list_distinct(list_transform({stem}, lambda t: case t {same} else t end)))"
+
+
+TERMS = f"select doc_id, coalesce(list_aggregate({_terms_sql('text')}, 'string_agg', ' '), '') terms from documents"
+GATE = f"with {BM25}, a as (select item_id qid, {_terms_sql('text')} t from benchmark), r as (select qid, max(len(list_intersect(a.t, {_terms_sql('d.text')}))) best from bm join a using (qid) join documents d on d.doc_id = doc group by 1) select qid, len(t) < 3 or coalesce(best, 0) >= 2 passed from a left join r using (qid)"
+
+
 QUERIES = {
     "ret03_bm25_topk": bm25, "ret01_and_search": and_search, "ret06_phrase": phrase, "ret02_like_and": like_and, "ret05_fallback": fallback,
     "ret11_cosine_topk": cosine, "ret12_rrf": fused, "jon03_semi_allowed": lambda s, d: fused(s, d, True), "evl01_metrics": metrics, "evl02_rollup": rollup,
     "jon04_cache_missing": cache_missing, "ret07_normalise": normalised, "flt18_gate": gate, "qa02_pack_budget": pack, "qa07_claim_validation": claims, "qa01_terms": question_terms,
-    "qa08_answers": answered, "qa06_shapes": shapes,
+    "ret13_hybrid": hybrid, "agg13_first_occurrence": first_lines, "qa08_answers": answered, "qa06_shapes": shapes,
 }
 ORACLE = {
     "ret03_bm25_topk": f"with {BM25} select qid, doc, score, rank from bm", "ret01_and_search": AND, "ret06_phrase": PHRASE, "ret02_like_and": LIKE_AND, "ret05_fallback": FALLBACK,
     "ret11_cosine_topk": "with " + COSINE.format(name="a", dims=64, k=10) + " select qid, vec_id, score, rank from a", "ret12_rrf": TWO + FUSED.format(where=""), "jon03_semi_allowed": TWO + FUSED.format(where=ALLOWED),
     "evl01_metrics": METRICS_ROWS, "evl02_rollup": ROLLUP, "jon04_cache_missing": CACHE, "ret07_normalise": NORMALISED, "qa02_pack_budget": PACK, "qa07_claim_validation": CLAIMS,
-    "qa08_answers": ANSWERED, "qa06_shapes": SHAPES,
+    "ret13_hybrid": HYBRID, "agg13_first_occurrence": FIRST_LINES, "qa01_terms": TERMS, "flt18_gate": GATE, "qa08_answers": ANSWERED, "qa06_shapes": SHAPES,
 }

@@ -124,6 +124,16 @@ def test_fusion(spark):
     assert [r.p for r in vector.fuse(a, b, ["qid", "p"], allowed).collect()] == ["P4"]
 
 
+def test_hybrid(spark):
+    a = spark.createDataFrame([(1, "P1", 1), (1, "P2", 2), (1, "P9", 31)], "qid long, p string, rank int")
+    b = spark.createDataFrame([(1, "P2", 1), (1, "P4", 2)], "qid long, p string, rank int")
+    out, status = vector.hybrid(a, b, ["qid", "p"])
+    assert [r.p for r in out.orderBy("rank").collect()] == ["P2", "P1"] and status == "available"
+    for semantic, said in ((None, "unavailable"), (b.limit(0), "empty")):
+        out, status = vector.hybrid(a, semantic, ["qid", "p"])
+        assert [r.p for r in out.orderBy("rank").collect()] == ["P1", "P2"] and status == said
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1), (2, "d", 2)], "qid long, item string, rank int")
     rel = spark.createDataFrame([(1, "a"), (2, "d")], "qid long, item string")
