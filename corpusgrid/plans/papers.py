@@ -67,7 +67,7 @@ LONG = "select doc_id, part, substring(text, part * 900 + 1, 1000) as text from
 
 
 def found(spark, sf):
-    return facts.facts(pages(spark, sf))
+    return facts.facts(pages(spark, sf)).withColumn("sentence_no", F.col("sentence_no").cast("long"))
 
 
 FACTS = """, se as (select source_file, page_number, unnest(range(3)) sentence_no, unnest([string_split(text, chr(10))[1] || ' ' || string_split(text, chr(10))[2], string_split(text, chr(10))[3], string_split(text, chr(10))[5]]) quote from pages),
@@ -327,5 +327,5 @@ ORACLE = {
     "mr06_request_plan": "with n as (select doc_id, greatest(length(text) - 8000, 0) // 7500 + 1 n_chunks from documents) select *, n_chunks + 1 base_requests, n_chunks * 2000 + 4000 max_output_tokens, (n_chunks + 1) * 6 worst_requests from n",
     "mr05_budget_groups": GROUPS, "mr08_contract": CONTRACT, "agg03_dedup_by_sha": IDENTITY, "agg01_manifest_counts": "select count(*) inputs, count(distinct text) documents, count(*) - count(distinct text) duplicates from documents", "win03_alias_occurrence": ALIAS,
     "bat01_resume_anti": RESUME, "snk07_upsert": UPSERT, "snk08_changed_sources": CHANGED, "agg04_repeated_lines": REPEATED, "txt02_collapse": r"select doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) digest from documents", "txt03_sentences": SPLIT,
-    "qa03_bounded_text": BOUNDED, "fmt05_safe_stem": STEMS, "src12_histogram": HISTOGRAM, "flt01_value_filter": "select lang, count(*) \"all\", 0 nothing, count_if(source in ('src1', 'src2')) \"some\" from documents group by 1",
+    "qa03_bounded_text": BOUNDED, "fmt05_safe_stem": STEMS, "src12_histogram": HISTOGRAM, "flt01_value_filter": "select lang, count(*) \"all\", 0::bigint nothing, count_if(source in ('src1', 'src2'))::bigint \"some\" from documents group by 1",
 }

@@ -185,7 +185,7 @@ def claims(spark, sf):
     return evidence.answers(evidence.claims_checked(cl, packs))
 
 
-CLAIMS = PACK.join(["select qid, case when count_if(doc % 7 <> 0) > 0 then 'supported' else 'validation_failed' end status, count_if(doc % 7 <> 0) n_claims, case when count_if(doc % 7 = 0) > 0 then 'UNKNOWN_EVIDENCE_ID' else '' end warnings from (", ") group by qid"])
+CLAIMS = PACK.join(["select qid, case when count_if(doc % 7 <> 0) > 0 then 'supported' else 'validation_failed' end status, count_if(doc % 7 <> 0)::bigint n_claims, case when count_if(doc % 7 = 0) > 0 then 'UNKNOWN_EVIDENCE_ID' else '' end warnings from (", ") group by qid"])
 
 
 def question_terms(spark, sf):
