@@ -26,7 +26,7 @@ from corpusgrid.llm import hashing
 from corpusgrid.llm.tokens import slices
 from corpusgrid.session import materialise
 
-TREES, DEPTH, LEAST, REGION, WORDS, PERCENT = 12, 5, 2, 8, 5, 75
+TREES, DEPTH, LEAST, REGION, WORDS, PERCENT = 32, 5, 2, 8, 5, 75
 SKETCH, SKETCH_BITS = 64, 43  # of 64 bits, 56 agree on average at the threshold, and 43 or fewer once in 100 000 pairs
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
