@@ -94,14 +94,15 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, powe
     table = spark.createDataFrame(rows, "__plan_source string, __k long, __offset long, __share long")
     one = spark.createDataFrame([(s, n) for s, n in plan.items()], "__plan_source string, __n long")
 
-    hashed = docs.withColumn("__hash", F.xxhash64(F.col(id_col), F.lit(seed)))
+    # one exchange on (source, bin) serves the numbering and the join with the bins' offsets: a key without nulls, so that both ask for the same
+    named = F.when(F.col("__source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("__source")))
+    hashed = docs.withColumns({"__name": named, "__hash": F.xxhash64(F.col(id_col), F.lit(seed))})
     hashed = hashed.withColumn("__bin", F.pmod("__hash", F.lit(SPREAD)))
-    counts = hashed.groupBy("__source", "__bin").count()
-    before = Window.partitionBy("__source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("__source").alias("__s"), F.col("__bin").alias("__b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__source", "__bin").orderBy("__hash", F.col(id_col).asc_nulls_last())
-    numbered = hashed.withColumn("__row", F.row_number().over(within) - 1)
-    numbered = numbered.join(counts, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b")))
+    counts = hashed.groupBy("__name", "__bin").count()
+    before = Window.partitionBy("__name").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("__name", "__bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("__name", "__bin").orderBy("__hash", F.col(id_col).asc_nulls_last())
+    numbered = hashed.withColumn("__row", F.row_number().over(within) - 1).join(counts, ["__name", "__bin"])
     numbered = numbered.withColumn("__row", F.col("__row") + F.col("__before"))
     numbered = numbered.withColumns({"mix_block": F.expr(f"__row div {block}"), "mix_row": F.pmod("__row", F.lit(block))})
     # both tables hold one row per slot of the period or source of the weights: bounded by the parameters
