@@ -9,8 +9,9 @@ large at full depth are copies in all but name: each of their nodes is paired wi
 sketch of the other MinHash values drops pairs far below the threshold; the rest are confirmed on full shingle sets.
 Components come from alternating star steps, each written to the shared folder.
 
-Candidates per tree grow with the number of nodes, never with the square of a region's size. Links between nodes of one
-large region that no tree makes neighbours are reached through other nodes of the region; the tests measure the recall.
+What large regions may have missed is then settled exactly: all pairs of a large region whose nodes are still in different
+components meet in a blocked join, where those of fitting set sizes are compared on full shingle sets and only links come out. As every such pair is
+looked at, one pass is enough. Regions that a partition's edge cuts are looked at in the same way.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from corpusgrid.session import materialise
 
 TREES, DEPTH, LEAST, REGION, WORDS, PERCENT = 32, 5, 2, 8, 5, 75
 SKETCH, SKETCH_BITS = 64, 43  # of 64 bits, 56 agree on average at the threshold, and 43 or fewer once in 100 000 pairs
+BLOCK, SALTS, FEW = 2048, 16, 500_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -129,8 +132,18 @@ def regions(tree: np.ndarray, keys: np.ndarray, least: int, region: int) -> tupl
     return np.concatenate(left), np.concatenate(right)
 
 
-def candidates(distinct: DataFrame, trees: int, depth: int, least: int, region: int) -> DataFrame:
-    """a < b: pairs of node ids."""
+def unsettled(tree: np.ndarray, keys: np.ndarray, least: int, region: int) -> np.ndarray:
+    """Places of the rows whose region is larger than `region`, or the first or last of the partition and so perhaps cut."""
+    same = (tree[1:] == tree[:-1]) & (keys[1:, :least] == keys[:-1, :least]).all(axis=1)
+    head = np.flatnonzero(np.append(True, ~same))
+    size = np.diff(np.append(head, len(tree)))
+    open_ = size > region
+    open_[[0, -1]] = True
+    return np.flatnonzero(np.repeat(open_, size))
+
+
+def candidates(distinct: DataFrame, trees: int, depth: int, least: int, region: int) -> tuple[DataFrame, DataFrame]:
+    """a < b: pairs of node ids; tree, key, id: the members of regions not all of whose pairs are among them."""
     width = 4 * depth
     rows = distinct.select("id", "sketch", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "keys")
     rows = rows.select("tree", F.substring("keys", F.col("tree") * width + 1, F.lit(width)).alias("key"), "id", "sketch")
@@ -148,22 +161,99 @@ def candidates(distinct: DataFrame, trees: int, depth: int, least: int, region:
         agree = SKETCH - np.bitwise_count((sketch[a] ^ sketch[b]).astype(np.uint64))
         ok = (agree >= SKETCH_BITS) & (ids[a] != ids[b])
         pairs = np.unique(np.sort(np.column_stack([ids[a][ok], ids[b][ok]]), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.binary())], names=["a", "b", "tree", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.binary()), pa.array(np.zeros(len(pairs), bool))], names=names)
         # the first and the last row meet those of the next partition
-        yield pa.RecordBatch.from_arrays([pa.array(ids[ends]), pa.nulls(2, pa.int64()), pa.array(tree[ends].astype(np.int32)), pa.array([keys[i].tobytes() for i in ends], pa.binary())], names=["a", "b", "tree", "key"])
-
-    found = materialise(rows.mapInArrow(run, "a long, b long, tree int, key binary"), "candidates")
+        yield pa.RecordBatch.from_arrays([pa.array(ids[ends]), pa.nulls(2, pa.int64()), pa.array(tree[ends].astype(np.int32)), pa.array([keys[i].tobytes() for i in ends], pa.binary()), pa.array(np.zeros(2, bool))], names=names)
+        left = unsettled(tree, keys, least, region)
+        for k in range(0, len(left), 100_000):
+            at = left[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.nulls(len(at), pa.int64()), pa.array(tree[at].astype(np.int32)), pa.array([keys[i, :least].tobytes() for i in at], pa.binary()), pa.array(np.ones(len(at), bool))], names=names)
+
+    names = ["a", "b", "tree", "key", "member"]
+    found = materialise(rows.mapInArrow(run, "a long, b long, tree int, key binary, member boolean"), "candidates")
     from pyspark.sql import Window
 
     order = Window.orderBy("tree", "key", "a")  # two rows for each partition
-    edges = found.where("b is null").select("tree", "key", "a", F.lead("tree").over(order).alias("t"), F.lead("key").over(order).alias("k"), F.lead("a").over(order).alias("z"))
+    edges = found.where("b is null and not member").select("tree", "key", "a", F.lead("tree").over(order).alias("t"), F.lead("key").over(order).alias("k"), F.lead("a").over(order).alias("z"))
     edges = edges.where((F.col("tree") == F.col("t")) & (F.substring("key", 1, 4 * least) == F.substring("k", 1, 4 * least)) & (F.col("a") != F.col("z")))
     edges = edges.select(F.least("a", "z").alias("a"), F.greatest("a", "z").alias("b"))
-    return found.where("b is not null").select("a", "b").unionByName(edges).distinct()
+    return found.where("b is not null").select("a", "b").unionByName(edges).distinct(), found.where("member").select("tree", "key", F.col("a").alias("id"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs with 100 * intersection >= percent * union of their full sets."""
+def across(members: DataFrame, roots: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
+    """a < b: all links between a region's members that are in different components.
+
+    Regions are cut into blocks of about `block` members by a hash of the id; every two blocks of a region, and each with itself, are one piece of work.
+    """
+    own = members.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    own = own.withColumn("root", F.coalesce("root", "id")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    mixed = own.groupBy("tree", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    mixed = mixed.select("tree", "key", F.ceil(F.col("size") / block).cast("long").alias("blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    own = materialise(own.join(mixed, ["tree", "key", "salt"]).withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))).drop("salt"), "mixed-regions")
+    own = own.join(shingle_sets(docs, own.select("id").distinct(), id_col, text_col), "id")
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    work = ["tree", "key", "one", "two"]
+    own = own.select("tree", "key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "id", "root", "set")
+    own = own.repartition(*work).sortWithinPartitions(*work)
+
+    def compare(alone: bool, two: int, mine: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, values: np.ndarray) -> np.ndarray:
+        left, right = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(mine != two), np.flatnonzero(mine == two))
+        head = np.cumsum(n) - n
+        words, codes = np.unique(values, return_inverse=True)
+        has = np.zeros(len(words), bool)
+        out = [np.zeros((0, 2), np.int64)]
+        for a in left:
+            fits = (root[right] != root[a]) & (100 * np.minimum(n[right], n[a]) >= percent * np.maximum(n[right], n[a]))
+            if alone:
+                fits &= ids[right] > ids[a]
+            b = right[fits]
+            if not len(b):
+                continue
+            has[codes[head[a] : head[a] + n[a]]] = True
+            for k in range(0, len(b), 256):
+                some = b[k : k + 256]
+                size = n[some]
+                start = np.cumsum(size) - size
+                at = np.repeat(head[some] - start, size) + np.arange(int(size.sum()))
+                both = np.add.reduceat(has[codes[at]].astype(np.int64), start)
+                found = some[100 * both >= percent * (n[a] + size - both)]
+                out.append(np.column_stack([np.minimum(ids[a], ids[found]), np.maximum(ids[a], ids[found])]))
+            has[codes[head[a] : head[a] + n[a]]] = False
+        return np.concatenate(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+            two, mine, ids, root = (table.column(c).to_numpy() for c in ("two", "mine", "id", "root"))
+            one, sets = table.column("one").to_numpy(), table.column("set").to_pylist()
+            n = np.array([len(x) // 8 for x in sets], np.int64)
+            found = [compare(one[s] == two[s], two[s], mine[s:e], ids[s:e], root[s:e], n[s:e], np.frombuffer(b"".join(sets[s:e]), np.uint64)) for s, e in zip(starts, [*starts[1:], len(ids)], strict=True)]
+            pairs = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        rest: list[pa.RecordBatch] = []  # the piece of work that the batches so far have not ended
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*rest[-1:], batch])
+            new = np.zeros(len(table) - 1, bool)
+            for c in work:
+                column = table.column(c)
+                new |= pa.compute.not_equal(column.slice(1), column.slice(0, len(table) - 1)).to_numpy()
+            new = np.flatnonzero(new) + 1 + (-len(rest[-1]) if rest else 0)
+            new = new[new >= 0]
+            if len(new):
+                whole = pa.Table.from_batches([*rest, batch.slice(0, new[-1])])
+                yield settle(whole, np.unique(np.append(0, new[:-1] + sum(map(len, rest)))))
+                rest = []
+            rest.append(batch.slice(new[-1] if len(new) else 0))
+        if rest:
+            yield settle(pa.Table.from_batches(rest), np.array([0]))
+
+    return own.mapInArrow(run, "a long, b long").distinct()
+
+
+def shingle_sets(docs: DataFrame, used: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, set (its shingles in order) of the rows whose id is in `used`."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,6 +263,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text
                 binary = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer(values)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), binary], names=["id", "set"])
 
+    few = used.limit(FEW + 1).count() <= FEW  # then the texts need no exchange
+    own = _texts(docs, id_col, text_col).join(used.hint("broadcast" if few else "merge"), "id", "left_semi").mapInArrow(sets, "id long, set binary")
+    return materialise(own, "shingle-sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Those of the pairs with 100 * intersection >= percent * union of their full sets."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -189,8 +287,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = _texts(docs, id_col, text_col).join(used.hint("merge"), "id", "left_semi").mapInArrow(sets, "id long, set binary")
-    own = materialise(own, "shingle-sets")
+    own = shingle_sets(docs, used, id_col, text_col)
     joined = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("one")), "a")
     joined = joined.join(own.select(F.col("id").alias("b"), F.col("set").alias("two")), "b")
     return joined.select("a", "b", "one", "two").mapInArrow(check, "a long, b long")
@@ -229,10 +326,14 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, trees: int = TREES, dept
     some = own.where("print is not null and id is not null")
     # one node for each distinct set; sums and minima are formed before the shuffle, whatever the number of copies
     groups = materialise(some.groupBy("print").agg(F.min(F.struct("id", "keys", "sketch")).alias("first")).select("print", "first.id", "first.keys", "first.sketch"), "nodes")
-    pairs = materialise(candidates(groups.select("id", "keys", "sketch"), trees, depth, least, region), "pairs")
+    pairs, members = candidates(groups.select("id", "keys", "sketch"), trees, depth, least, region)
+    pairs = materialise(pairs, "pairs")
     # a document of several rows ties its sets together
     links = materialise(confirmed(pairs, docs, percent, id_col, text_col), "confirmed")
     roots = components(links)
+    links = materialise(across(members, roots, docs, percent, id_col, text_col), "links-across")
+    if not links.isEmpty():
+        roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = groups.select("print", F.col("id").alias("node")).join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component"))
     out = own.select("id", "n", "print").join(named, "print", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

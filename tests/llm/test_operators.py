@@ -212,6 +212,40 @@ def test_near_dedup_dense_group(spark):
     assert wrong <= 4  # at least 0.99 of the large group
 
 
+def test_near_dedup_dense_groups_whole(spark):
+    """No link of a dense region is lost, whatever the regions' size and the trees, with texts that share a passage and are no copies besides."""
+    rng = np.random.default_rng(2)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for p in rng.choice(120, rng.integers(1, 5), replace=False):
+            w[p] = f"x{i}-{p}"
+        rows.append((i, " ".join(w)))
+    for i in range(100):  # a shared passage of two thirds, and pairs that are near copies within that
+        tail = [f"z{i // 2}-{k}" for k in range(40)]
+        tail[0] = f"v{i}"
+        rows.append((1000 + i, " ".join([f"p{k}" for k in range(70)] + tail)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    for region, trees in ((8, 32), (2, 4)):
+        got = near_dedup.near_dedup(df, region=region, trees=trees).collect()
+        assert sum(r.component_id != want[r.doc_id][1] for r in got) == 0
+
+
+def test_across_blocks(spark):
+    """All links of a region between different components, in small blocks as in one."""
+    rows = [(i, " ".join([f"w{k}" for k in range(60)] + [f"x{i}-{k}" for k in range(i % 20)])) for i in range(60)]
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 != b % 3 and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    members = spark.createDataFrame([(t, b"k", i) for t in (0, 1) for i in range(60)], "tree int, key binary, id long")
+    roots = spark.createDataFrame([(i, i % 3) for i in range(3, 60)], "node long, root long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (7, 1000):
+        got = near_dedup.across(members, roots, docs, 75, "doc_id", "text", block).collect()
+        assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
 @given(st.lists(st.tuples(st.integers(0, 1), st.lists(st.integers(0, 2), min_size=3, max_size=3)), max_size=40), st.integers(2, 5))
 @settings(max_examples=50, deadline=None)
 def test_regions_cover_small_groups(rows, region):
