@@ -5,7 +5,7 @@ number of tags in it. Blocks inside elements that are never content (menus, form
 tag, role, class or id) are left out. The text-to-tag ratios of the other lines are smoothed with a Gaussian, and lines whose
 smoothed ratio reaches the threshold, a share of the ratios' standard deviation, form content regions. If the page marks
 articles, the regions are the marked elements that hold content lines, as wholes; elsewhere it reaches from the first content line to the last, with the heading before it.
-Lines of links alone drop out of the region.
+On pages without marked articles, lines of links alone drop out of the region.
 """
 
 from __future__ import annotations
@@ -45,8 +45,10 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.open: list[tuple[str, bool, bool]] = []  # tag, never content, marks the article
-        self.never = self.marked = self.links = self.articles = 0
+        self.never = self.marked = self.articles = 0
         self.line = Line(0, False)
+        self.link: tuple[int, Line] | None = None  # blocks open at the <a>, and its line
+        self.later: list[tuple[Line, int]] = []  # text in later lines, which is linked only if the </a> comes
 
     def _new(self, heading: bool = False) -> None:
         if self.line.parts:
@@ -57,8 +59,15 @@ class Lines(HTMLParser):
         for _, never, marked in self.open[i:]:
             self.never -= never
             self.marked -= marked
+        if self.link and self.link[0] > i:
+            self._unlink(False)  # the block that opened the <a> closes
         del self.open[i:]
 
+    def _unlink(self, closed: bool) -> None:
+        for line, n in self.later if closed else ():
+            line.linked += n
+        self.link, self.later = None, []
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
             self.line.tags += 1
@@ -70,7 +79,9 @@ class Lines(HTMLParser):
         never = tag in NEVER or values.get("role", "").lower() in ROLES or "hidden" in values or values.get("aria-hidden") == "true" or (tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(words)) or (tag == "header" and not self.marked)
         if tag in INLINE and not never:
             self.line.tags += 1
-            self.links += tag == "a"
+            if tag == "a":
+                self._unlink(False)
+                self.link = (len(self.open), self.line) if "href" in values else None
             return
         if tag not in INLINE:
             if self.open and self.open[-1][0] == "p" or tag in ("li", "option", "tr", "td", "th", "dt", "dd") and self.open and self.open[-1][0] == tag:
@@ -90,14 +101,16 @@ class Lines(HTMLParser):
                     self._new()
                 return
         if tag == "a":
-            self.links = max(0, self.links - 1)
+            self._unlink(True)
 
     def handle_data(self, data: str) -> None:
         if self.never:
             return
         self.line.parts.append(data)
-        if self.links:
+        if self.link and self.link[1] is self.line:
             self.line.linked += len(data)
+        elif self.link:
+            self.later.append((self.line, len(data)))
 
     def unknown_decl(self, data: str) -> None:
         """Conditional sections and the like have no text."""
@@ -132,7 +145,8 @@ def main_text(html: str | None) -> str:
     mean = sum(ratios) / len(ratios)
     threshold = min(SHARE * math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)), max(ratios))
     content = [r >= threshold for r in ratios]
-    if any(x.article for x, _ in lines):
+    whole = any(x.article for x, _ in lines)
+    if whole:
         chosen = {x.article for (x, _), c in zip(lines, content, strict=True) if c and x.article}
         lines = [(x, t) for x, t in lines if x.article and (x.article in chosen or not chosen)]
         first, last = 0, len(lines) - 1
@@ -140,7 +154,7 @@ def main_text(html: str | None) -> str:
         first, last = content.index(True), len(content) - 1 - content[::-1].index(True)
         while first and lines[first - 1][0].heading:
             first -= 1
-    kept = [t for x, t in lines[first : last + 1] if x.linked <= LINKS * len(t) or len(lines) == 1]
+    kept = [t for x, t in lines[first : last + 1] if whole or x.linked <= LINKS * len(t) or len(lines) == 1]
     return " ".join(kept)
 
 

@@ -439,6 +439,24 @@ def test_main_text(tag):
     assert html_extract.main_text(PAGE % (tag, tag)) == TEXT
 
 
+LINKED = "<p>The text of the article is long enough to be content, and says what it says.</p><h2><a href=h>Linked heading</a></h2><ol><li><a href=r>First reference, 2001.</a></li><li><a href=s>Second reference, 2002.</a></li></ol><p>The last paragraph of the article is long enough as well, as one sees here.</p>"
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_links_of_an_article_stay(tag):
+    text = html_extract.main_text(f"<body><nav><a href=x>Menu</a></nav><{tag}>{LINKED}</{tag}></body>")
+    assert text == " ".join(re.sub("<[^>]*>", " ", LINKED).split())
+
+
+@pytest.mark.parametrize("menu", ["<nav><ul><li><a href=x>Home</ul></nav>", "<div class=menu><a href=x>Home</div>", "<a name=top>", "<a href=x>", "<ul><li><a href=x>Home</ul>"])
+def test_unclosed_link(menu):
+    body = re.sub("<h2>.*</ol>", "", LINKED)
+    want = " ".join(re.sub("<[^>]*>", " ", body).split())
+    assert html_extract.main_text(f"<body>{menu}<div>{body}</div></body>") == want
+    listed = f"<div>{body.replace('</p><p>', '</p><ul><li><a href=y>Related one</a></li></ul><p>')}</div>"
+    assert html_extract.main_text(f"<body>{menu}{listed}</body>") == want  # link lines of unmarked pages still go
+
+
 def test_html_odd(spark, sf):
     rows = [(1, "u", PAGE % ("article", "article"), "x"), (2, None, None, None), (None, "v", "", "y"), (3, "w", "<p>" * 3000 + "deep", "z"), (4, "w", "<![if x]>a<![endif]> <!-- b", "z"), (2**60 + 1, "w", "no markup", "z")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
