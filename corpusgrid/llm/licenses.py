@@ -3,8 +3,9 @@
 Templates and documents are words: runs of letters and digits, lower-cased for ASCII. A template's fingerprints are
 the smallest hashes of its three-word windows within every `WINNOW` neighbours; an inverted index leads from a fingerprint to the
 templates and places that have it. A document looks up all its three-word windows, so that a run of four words in common cannot be
-missed. Hits of a template on nearby diagonals are one candidate; its words and the document's around it are aligned in a band
-about the diagonal, for as many equal words in order as possible. A candidate with enough of the template's words is a match.
+missed. Hits of a template whose diagonals lie within a band are one candidate; its words and the document's around it are aligned in a band
+about the diagonal, for as many equal words in order as possible. A candidate with enough of the template's words is a match, and the
+words before and behind it are aligned again, so that each of several occurrences is found.
 
 The index is as large as the templates, which are given, so it goes along with the tasks; documents are not shuffled.
 """
@@ -76,9 +77,11 @@ class Index:
         return np.repeat(at, n), np.repeat(left[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
-def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
+def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BAND, low: int = 0, high: int | None = None) -> tuple[int, int, int]:
     """(equal words, first, last) of the longest common subsequence within the band: template word i meets document
-    words i + diagonal - band .. i + diagonal + band. first and last are the document's words at its ends."""
+    words i + diagonal - band .. i + diagonal + band. first and last are the document's words at its ends.
+    Only the document's words low .. high - 1 count."""
+    high = len(words) if high is None else high
     width = 2 * band + 1
     before = [(0, -1, -1)] * (width + 1)  # (matches, first, last) for offsets of the row above
     best = (0, -1, -1)
@@ -88,8 +91,8 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
             j = i + diagonal - band + o
             up, slant = before[o + 1], before[o]
             here = max(up, left, key=lambda x: (x[0], x[1]))
-            if 0 <= j < len(words) and words[j] == w and slant[0] + 1 > here[0]:
-                here = (slant[0] + 1, slant[1] if slant[0] else j, j)
+            if low <= j < high and words[j] == w:
+                here = max(here, (slant[0] + 1, slant[1] if slant[0] else j, j), key=lambda x: (x[0], x[1]))
             row.append(here)
             left = here
             best = max(best, here, key=lambda x: (x[0], x[1] - x[2]))
@@ -97,27 +100,43 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
     return best
 
 
+def occurrences(template: np.ndarray, words: np.ndarray, diagonal: int, band: int, need: float) -> list[tuple[int, int, int]]:
+    """(equal words, first, last) of all matches of `need` words within the band: the best, then those before and behind it."""
+    out, left = [], [(max(0, diagonal - band), min(len(words), diagonal + len(template) + band))]
+    while left:
+        low, high = left.pop()
+        if high - low < need:
+            continue
+        n, first, last = align(template, words, diagonal, band, low, high)
+        if n >= need:
+            out.append((n, first, last))
+            left += [(low, first), (last + 1, high)]
+    return out
+
+
 def scan(words: np.ndarray, grams: np.ndarray, index: Index, coverage: float = COVERAGE, band: int = BAND) -> list[tuple[str, int, float, int, int]]:
     """Matches (license, equal words, share of the template, first word, last word) in one document, in order.
 
-    Of matches that overlap, the one of more equal words stays, then of the larger share, then of the smaller name.
+    Of matches that overlap, the one of more equal words stays, then of the larger share, then of the smaller name, then the shorter one.
     """
     at, entry = index.hits(grams)
     found = []
     if len(at):
         template, diagonal = index.template[entry], at - index.place[entry]
         order = np.lexsort((diagonal, template))
-        template, diagonal = template[order], diagonal[order]
-        new = np.append(True, (template[1:] != template[:-1]) | (np.diff(diagonal) > band))
-        for k in np.flatnonzero(new):
-            name, own = index.names[template[k]], index.words[template[k]]
-            n, first, last = align(own, words, int(diagonal[k]), 2 * band)
-            if n >= coverage * len(own):
-                found.append((name, n, round(n / len(own), 6), first, last))
-    found.sort(key=lambda m: (-m[1], -m[2], m[0], m[3]))
+        before = (-1, 0)  # template and first diagonal of the candidate
+        for t, d in zip(template[order].tolist(), diagonal[order].tolist(), strict=True):
+            if t == before[0] and d - before[1] <= band:
+                continue
+            before = (t, d)
+            own = index.words[t]
+            found += [(index.names[t], n, round(n / len(own), 6), first, last) for n, first, last in occurrences(own, words, d, 2 * band, coverage * len(own))]
+    found = sorted(set(found), key=lambda m: (-m[1], -m[2], m[0], m[4] - m[3], m[3]))
     kept: list[tuple[str, int, float, int, int]] = []
+    taken = np.zeros(len(words), bool)
     for m in found:
-        if all(m[3] > k[4] or m[4] < k[3] for k in kept):
+        if not taken[m[3] : m[4] + 1].any():
+            taken[m[3] : m[4] + 1] = True
             kept.append(m)
     return sorted(kept, key=lambda m: m[3])
 

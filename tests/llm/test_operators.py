@@ -545,6 +545,28 @@ def test_licenses(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("between", ["", "and ", "x y z ", "w " * 9])
+@pytest.mark.parametrize("name", ["MIT", "CC-BY-4.0", "Apache-2.0", "MIT notice"])
+def test_repeated_notices(spark, name, between):
+    """Every occurrence of a notice that repeats is a match with its own span."""
+    notice = licenses.TEMPLATES[name]
+    text = "Some words. " + f"{notice} {between}" * 25 + "The end."
+    at = [m.start() for m in re.finditer(re.escape(notice), text)]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = licenses.license_scan(df).collect()
+    bare = len(notice.rstrip("."))
+    assert [(m.license, m.start, m.end) for m in row.matches] == [(name, p, p + bare) for p in at]
+
+
+def test_repeated_notices_with_changes(spark):
+    """Whole and changed notices side by side: none hides its neighbours."""
+    whole, changed = "Released under the MIT License.", "Released under the MIT Licence."
+    text = f"{changed} {whole} {changed} " * 8
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = licenses.license_scan(df).collect()
+    assert len(row.matches) == 24 and [m.words for m in row.matches] == [4, 5, 4] * 8
+
+
 def test_winnow_guarantee():
     rng = np.random.default_rng(3)
     for _ in range(50):
