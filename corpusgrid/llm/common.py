@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgrid.session import materialise
+
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -20,3 +22,21 @@ def partitions(df: DataFrame) -> int:
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """`many` joined with `one`, which has one row for each key; keys must not be null.
+
+    A key with more than a quarter of a task's fair share of the rows of `many` is dealt over several runs, and its row of
+    `one` is repeated for each. There are fewer such runs than 8 x partitions, by counting, so their list is broadcast. `many` is
+    read twice: it should be a table.
+    """
+    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    share = max(64, many.count() // (4 * partitions(many)))
+    hot = materialise(counts.where(F.col("__rows") > share).select(*keys, F.ceil(F.col("__rows") / share).cast("int").alias("__runs")), "hot-keys")
+    if hot.isEmpty():
+        return many.join(one, keys, how)
+    rest = [c for c in many.columns if c not in keys]
+    many = many.join(F.broadcast(hot), keys, "left").withColumn("__run", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("__runs")), F.lit(0)).cast("int")).drop("__runs")
+    one = one.join(F.broadcast(hot), keys, "left").withColumn("__run", F.explode(F.sequence(F.lit(0), F.coalesce("__runs", F.lit(1)) - 1))).drop("__runs")
+    return many.join(one, [*keys, "__run"], how).drop("__run")

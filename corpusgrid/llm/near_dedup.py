@@ -5,13 +5,14 @@ keys are sorted (range partitions, external sort), so that nodes with long commo
 of neighbours that share `least` values at least. A region of at most `region` nodes gives all its pairs; a larger one
 is looked at a value deeper, part by part, until its parts are small or the key ends, and its neighbours stay
 candidates at every depth, so that dense regions use long prefixes and sparse ones short prefixes. Parts that are still
-large at full depth are copies in all but name: each of their nodes is paired with its neighbour and with the part's first node. A 64-bit
-sketch of the other MinHash values drops pairs far below the threshold; the rest are confirmed on full shingle sets.
+large at full depth are copies in all but name: each of their nodes is paired with its neighbour and with the part's first node. Set
+sizes and a 128-bit sketch (a bit of each MinHash value) drop pairs far below the threshold; the rest are confirmed on full shingle sets.
 Components come from alternating star steps, each written to the shared folder.
 
-What large regions may have missed is then settled exactly: all pairs of a large region whose nodes are still in different
-components meet in a blocked join, where those of fitting set sizes are compared on full shingle sets and only links come out. As every such pair is
-looked at, one pass is enough. Regions that a partition's edge cuts are looked at in the same way.
+What large regions may have missed is then settled exactly. Of their nodes, those that can have a link at all (three quarters of
+whose shingles stand in another such node) and are in different components meet in blocks. There set sizes and
+the parities of hashed shingles, whose differing bits never outnumber the differing shingles, rule out pairs without loss; the others are compared on
+full sets, and only links that join components leave a block. Regions that the end of a block of sorted rows cuts are looked at in the same way.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgrid.llm import hashing
+from corpusgrid.llm.common import salted_join
 from corpusgrid.llm.tokens import slices
 from corpusgrid.session import materialise
 
 TREES, DEPTH, LEAST, REGION, WORDS, PERCENT = 32, 5, 2, 8, 5, 75
-SKETCH, SKETCH_BITS = 64, 43  # of 64 bits, 56 agree on average at the threshold, and 43 or fewer once in 100 000 pairs
-BLOCK, SALTS, FEW = 2048, 16, 500_000
+SKETCH, SKETCH_BITS = 128, 88  # of 128 bits, 112 agree on average at the threshold, and fewer than 88 once in 100 million pairs
+BLOCK, BLOCK_SHINGLES, FEW, HELD = 2048, 1 << 20, 500_000, 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -74,7 +76,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def nodes(docs: DataFrame, trees: int, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), print (16 bytes that stand for the set; null if empty), keys (all trees' keys in a row), sketch."""
+    """id, n (set size), print (16 bytes that stand for the set; null if empty), keys (all trees' keys in a row), sketch (16 bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,22 +85,21 @@ def nodes(docs: DataFrame, trees: int, depth: int, id_col: str, text_col: str) -
                 values, starts = shingles(texts.slice(a, b - a))
                 size = np.diff(starts)
                 some = np.flatnonzero(size)
-                prints, keys, sketch = [None] * (b - a), [None] * (b - a), np.zeros(b - a, np.int64)
+                prints, keys, sketch = [None] * (b - a), [None] * (b - a), [None] * (b - a)
                 if len(some):
                     heads = starts[:-1][some]
                     bounds = np.append(heads, len(values))
-                    sig = signatures(values, bounds, trees * depth + SKETCH)
+                    sig = signatures(values, bounds, max(trees * depth, SKETCH))
                     one = np.add.reduceat(hashing.mix(values), heads)
                     two = np.add.reduceat(hashing.mix(values ^ np.uint64(0x5851F42D4C957F2D)), heads)
                     pair = np.column_stack([one, two])
                     tree = sig[:, : trees * depth].astype(">u4")
-                    bits = np.packbits((sig[:, trees * depth :] >> np.uint32(7) & np.uint32(1)).astype(np.uint8), axis=1)
-                    sketch[some] = bits.view(">i8").reshape(-1)
+                    bits = np.packbits((sig[:, :SKETCH] >> np.uint32(7) & np.uint32(1)).astype(np.uint8), axis=1)
                     for i, d in enumerate(some):
-                        prints[d], keys[d] = pair[i].tobytes(), tree[i].tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), pa.array(prints, pa.binary()), pa.array(keys, pa.binary()), pa.array(sketch)], names=["id", "n", "print", "keys", "sketch"])
+                        prints[d], keys[d], sketch[d] = pair[i].tobytes(), tree[i].tobytes(), bits[i].tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), *(pa.array(x, pa.binary()) for x in (prints, keys, sketch))], names=["id", "n", "print", "keys", "sketch"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, n long, print binary, keys binary, sketch long")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, n long, print binary, keys binary, sketch binary")
 
 
 def regions(tree: np.ndarray, keys: np.ndarray, least: int, region: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +134,7 @@ def regions(tree: np.ndarray, keys: np.ndarray, least: int, region: int) -> tupl
 
 
 def unsettled(tree: np.ndarray, keys: np.ndarray, least: int, region: int) -> np.ndarray:
-    """Places of the rows whose region is larger than `region`, or the first or last of the partition and so perhaps cut."""
+    """Places of the rows whose region is larger than `region`, or the first or last of these rows and so perhaps cut."""
     same = (tree[1:] == tree[:-1]) & (keys[1:, :least] == keys[:-1, :least]).all(axis=1)
     head = np.flatnonzero(np.append(True, ~same))
     size = np.diff(np.append(head, len(tree)))
@@ -142,91 +143,136 @@ def unsettled(tree: np.ndarray, keys: np.ndarray, least: int, region: int) -> np
     return np.flatnonzero(np.repeat(open_, size))
 
 
-def candidates(distinct: DataFrame, trees: int, depth: int, least: int, region: int) -> tuple[DataFrame, DataFrame]:
-    """a < b: pairs of node ids; tree, key, id: the members of regions not all of whose pairs are among them."""
+def candidates(distinct: DataFrame, trees: int, depth: int, least: int, region: int, percent: int, held: int = HELD) -> tuple[DataFrame, DataFrame]:
+    """a < b: pairs of node ids; tree, key, id, n: the members of regions not all of whose pairs are among them. A task holds about `held` rows at a time."""
     width = 4 * depth
-    rows = distinct.select("id", "sketch", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "keys")
-    rows = rows.select("tree", F.substring("keys", F.col("tree") * width + 1, F.lit(width)).alias("key"), "id", "sketch")
+    rows = distinct.select("id", F.col("n").cast("int").alias("n"), "sketch", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "keys")
+    rows = rows.select("tree", F.substring("keys", F.col("tree") * width + 1, F.lit(width)).alias("key"), "id", "n", "sketch")
     rows = rows.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+    names = ["a", "b", "tree", "key", "n"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
+    def judged(got: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(got).combine_chunks()
-        tree, ids, sketch = (table.column(c).to_numpy() for c in ("tree", "id", "sketch"))
+        tree, ids, n = (table.column(c).to_numpy() for c in ("tree", "id", "n"))
         keys = np.frombuffer(b"".join(table.column("key").to_pylist()), ">u4").reshape(-1, depth)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
         a, b = regions(tree, keys, least, region)
-        ends = np.array([0, len(ids) - 1])
-        agree = SKETCH - np.bitwise_count((sketch[a] ^ sketch[b]).astype(np.uint64))
-        ok = (agree >= SKETCH_BITS) & (ids[a] != ids[b])
+        fits = (100 * np.minimum(n[a], n[b]).astype(np.int64) >= percent * np.maximum(n[a], n[b]).astype(np.int64)) & (ids[a] != ids[b])
+        a, b = a[fits], b[fits]
+        ok = SKETCH - np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) >= SKETCH_BITS
         pairs = np.unique(np.sort(np.column_stack([ids[a][ok], ids[b][ok]]), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.binary()), pa.array(np.zeros(len(pairs), bool))], names=names)
-        # the first and the last row meet those of the next partition
-        yield pa.RecordBatch.from_arrays([pa.array(ids[ends]), pa.nulls(2, pa.int64()), pa.array(tree[ends].astype(np.int32)), pa.array([keys[i].tobytes() for i in ends], pa.binary()), pa.array(np.zeros(2, bool))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.binary()), pa.nulls(len(pairs), pa.int32())], names=names)
         left = unsettled(tree, keys, least, region)
         for k in range(0, len(left), 100_000):
             at = left[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.nulls(len(at), pa.int64()), pa.array(tree[at].astype(np.int32)), pa.array([keys[i, :least].tobytes() for i in at], pa.binary()), pa.array(np.ones(len(at), bool))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.nulls(len(at), pa.int64()), pa.array(tree[at].astype(np.int32)), pa.array([keys[i, :least].tobytes() for i in at], pa.binary()), pa.array(n[at].astype(np.int32))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, size = [], 0
+        for batch in batches:
+            got.append(batch)
+            size += batch.num_rows
+            if size >= held:
+                yield from judged(got)
+                got, size = [], 0
+        if size:
+            yield from judged(got)
+
+    found = materialise(rows.mapInArrow(run, "a long, b long, tree int, key binary, n int"), "candidates")
+    return found.where("b is not null").select("a", "b").distinct(), found.where("b is null").select("tree", "key", F.col("a").alias("id"), "n")
+
 
-    names = ["a", "b", "tree", "key", "member"]
-    found = materialise(rows.mapInArrow(run, "a long, b long, tree int, key binary, member boolean"), "candidates")
-    from pyspark.sql import Window
+def mixed(own: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """tree, key, blocks of the regions whose nodes are in more than one component."""
+    sizes = own.groupBy("tree", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("shingles") / block_shingles)).cast("long")
+    return sizes.where("low < high").select("tree", "key", blocks.alias("blocks"))
 
-    order = Window.orderBy("tree", "key", "a")  # two rows for each partition
-    edges = found.where("b is null and not member").select("tree", "key", "a", F.lead("tree").over(order).alias("t"), F.lead("key").over(order).alias("k"), F.lead("a").over(order).alias("z"))
-    edges = edges.where((F.col("tree") == F.col("t")) & (F.substring("key", 1, 4 * least) == F.substring("k", 1, 4 * least)) & (F.col("a") != F.col("z")))
-    edges = edges.select(F.least("a", "z").alias("a"), F.greatest("a", "z").alias("b"))
-    return found.where("b is not null").select("a", "b").unionByName(edges).distinct(), found.where("member").select("tree", "key", F.col("a").alias("id"))
+
+def linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """id, set of those that can have a link: enough of their shingles stand in another set too. Shingles are counted before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            if values:
+                ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in values])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(ids)], names=["shingle", "id"])
+
+    alone = sets.mapInArrow(run, "shingle long, id long").groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id"))
+    alone = alone.where("times = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    n = F.expr("octet_length(set) div 8")
+    return sets.join(alone, "id", "left").where(100 * (n - F.coalesce("alone", F.lit(0))) >= percent * n).select("id", "set")
+
+
+def parities(n: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A row of bits for each set: bit i is the parity of its shingles that hash to i. The bits in which two rows differ are at most as many
+    as the shingles in which the sets differ."""
+    size = 1 << int(np.clip(np.ceil(np.log2(4 * max(1.0, float(np.median(n))))), 8, 13))
+    bits = np.zeros((len(n), size), np.uint8)
+    np.add.at(bits.reshape(-1), np.repeat(np.arange(len(n)) * size, n) + (hashing.mix(values) & np.uint64(size - 1)).astype(np.int64), np.uint8(1))
+    return np.packbits(bits & 1, axis=1).view(np.uint64)
+
+
+def compare(alone: bool, mine: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, values: np.ndarray, percent: int) -> np.ndarray:
+    """Links among these sets (not alone: between those that are `mine` and the others) that join different roots; links that the ones before imply are left out."""
+    left, right = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(mine), np.flatnonzero(~mine))
+    out: list[tuple[int, int]] = []
+    if not len(left) or not len(right):
+        return np.zeros((0, 2), np.int64)
+    head, root = np.cumsum(n) - n, root.copy()
+    words, codes = np.unique(values, return_inverse=True)
+    has, odd = np.zeros(len(words), bool), parities(n, values)
+    for a in left:
+        fits = (root[right] != root[a]) & (100 * np.minimum(n[right], n[a]) >= percent * np.maximum(n[right], n[a]))
+        if alone:
+            fits &= right > a
+        b = right[fits]
+        if not len(b):
+            continue
+        differ = np.bitwise_count(odd[b] ^ odd[a]).sum(axis=1, dtype=np.int64)
+        b = b[differ * (100 + percent) <= (100 - percent) * (n[b] + n[a])]
+        if not len(b):
+            continue
+        has[codes[head[a] : head[a] + n[a]]] = True
+        for k in range(0, len(b), 256):
+            some = b[k : k + 256]
+            size = n[some]
+            start = np.cumsum(size) - size
+            at = np.repeat(head[some] - start, size) + np.arange(int(size.sum()))
+            both = np.add.reduceat(has[codes[at]].astype(np.int64), start)
+            for x in some[100 * both >= percent * (n[a] + size - both)]:
+                if root[x] != root[a]:
+                    out.append((int(ids[a]), int(ids[x])))
+                    root[root == root[x]] = root[a]
+        has[codes[head[a] : head[a] + n[a]]] = False
+    return np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
 
 
 def across(members: DataFrame, roots: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
-    """a < b: all links between a region's members that are in different components.
+    """a < b: links that join the components of all of a region's members that are linked with one another.
 
-    Regions are cut into blocks of about `block` members by a hash of the id; every two blocks of a region, and each with itself, are one piece of work.
+    Regions are cut into blocks of about `block` members or BLOCK_SHINGLES shingles by a hash of the id; every two blocks of a region, and each
+    with itself, are one piece of work.
     """
-    own = members.join(roots.withColumnRenamed("node", "id"), "id", "left")
-    own = own.withColumn("root", F.coalesce("root", "id")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    mixed = own.groupBy("tree", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    mixed = mixed.select("tree", "key", F.ceil(F.col("size") / block).cast("long").alias("blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    own = materialise(own.join(mixed, ["tree", "key", "salt"]).withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))).drop("salt"), "mixed-regions")
-    own = own.join(shingle_sets(docs, own.select("id").distinct(), id_col, text_col), "id")
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    work = ["tree", "key", "one", "two"]
-    own = own.select("tree", "key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "id", "root", "set")
+    region = ["tree", "key"]
+    own = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    own = materialise(own.select(*region, "id", "root", "n"), "open-regions")
+    own = materialise(salted_join(own, mixed(own), region).drop("blocks"), "mixed-regions")
+    sets = materialise(linkable(shingle_sets(docs, own.select("id").distinct(), id_col, text_col), percent), "linkable")
+    own = materialise(own.join(sets.select("id"), "id"), "linkable-members")
+    own = materialise(salted_join(own, mixed(own, block), region), "mixed-regions").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
+    own = own.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    work = [*region, "one", "two"]
+    own = own.select(*region, F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "id", "root", "set")
     own = own.repartition(*work).sortWithinPartitions(*work)
 
-    def compare(alone: bool, two: int, mine: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, values: np.ndarray) -> np.ndarray:
-        left, right = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(mine != two), np.flatnonzero(mine == two))
-        head = np.cumsum(n) - n
-        words, codes = np.unique(values, return_inverse=True)
-        has = np.zeros(len(words), bool)
-        out = [np.zeros((0, 2), np.int64)]
-        for a in left:
-            fits = (root[right] != root[a]) & (100 * np.minimum(n[right], n[a]) >= percent * np.maximum(n[right], n[a]))
-            if alone:
-                fits &= ids[right] > ids[a]
-            b = right[fits]
-            if not len(b):
-                continue
-            has[codes[head[a] : head[a] + n[a]]] = True
-            for k in range(0, len(b), 256):
-                some = b[k : k + 256]
-                size = n[some]
-                start = np.cumsum(size) - size
-                at = np.repeat(head[some] - start, size) + np.arange(int(size.sum()))
-                both = np.add.reduceat(has[codes[at]].astype(np.int64), start)
-                found = some[100 * both >= percent * (n[a] + size - both)]
-                out.append(np.column_stack([np.minimum(ids[a], ids[found]), np.maximum(ids[a], ids[found])]))
-            has[codes[head[a] : head[a] + n[a]]] = False
-        return np.concatenate(out)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-            two, mine, ids, root = (table.column(c).to_numpy() for c in ("two", "mine", "id", "root"))
-            one, sets = table.column("one").to_numpy(), table.column("set").to_pylist()
+            one, two, mine, ids, root = (table.column(c).to_numpy() for c in ("one", "two", "mine", "id", "root"))
+            sets = table.column("set").to_pylist()
             n = np.array([len(x) // 8 for x in sets], np.int64)
-            found = [compare(one[s] == two[s], two[s], mine[s:e], ids[s:e], root[s:e], n[s:e], np.frombuffer(b"".join(sets[s:e]), np.uint64)) for s, e in zip(starts, [*starts[1:], len(ids)], strict=True)]
+            found = [compare(one[s] == two[s], mine[s:e] == one[s], ids[s:e], root[s:e], n[s:e], np.frombuffer(b"".join(sets[s:e]), np.uint64), percent) for s, e in zip(starts, [*starts[1:], len(ids)], strict=True)]
             pairs = np.unique(np.concatenate(found), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -288,7 +334,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text
 
     used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     own = shingle_sets(docs, used, id_col, text_col)
-    joined = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("one")), "a")
+    joined = salted_join(pairs, own.select(F.col("id").alias("a"), F.col("set").alias("one")), ["a"])
     joined = joined.join(own.select(F.col("id").alias("b"), F.col("set").alias("two")), "b")
     return joined.select("a", "b", "one", "two").mapInArrow(check, "a long, b long")
 
@@ -296,7 +342,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text
 def components(links: DataFrame) -> DataFrame:
     """node, root: every linked node with the smallest node of its component, itself left out if it is that one.
 
-    Large-star and small-star steps in turn, until the links no longer change. Minima are pre-aggregated before they are shuffled.
+    Large-star and small-star steps in turn, until the links no longer change. Minima are pre-aggregated before they are shuffled, and a hub's links are dealt over several tasks.
     """
     links = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -304,9 +350,10 @@ def components(links: DataFrame) -> DataFrame:
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = salted_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialise(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
+        small = salted_join(large, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
         links = materialise(small.where("u <> v").distinct(), "links")
         after = mark(links)
         if after == before:
@@ -315,29 +362,29 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, region: int = REGION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, region: int = REGION, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`.
 
     Null or empty text: an empty set, linked with nothing. A null id links with nothing and has a null component_id and
-    kept true. Ids are integers and name one document each: rows of one id share a component, and are all
-    kept or all dropped. The call runs the jobs up to the components.
+    kept true. Ids are integers and should name one document each: rows of one id and text get equal results, and where the texts differ
+    each row gets a component of its own text. The call runs the jobs up to the components.
     """
     own = materialise(nodes(docs, trees, depth, id_col, text_col), "signatures")
     some = own.where("print is not null and id is not null")
     # one node for each distinct set; sums and minima are formed before the shuffle, whatever the number of copies
-    groups = materialise(some.groupBy("print").agg(F.min(F.struct("id", "keys", "sketch")).alias("first")).select("print", "first.id", "first.keys", "first.sketch"), "nodes")
-    pairs, members = candidates(groups.select("id", "keys", "sketch"), trees, depth, least, region)
-    pairs = materialise(pairs, "pairs")
-    # a document of several rows ties its sets together
-    links = materialise(confirmed(pairs, docs, percent, id_col, text_col), "confirmed")
+    groups = some.groupBy("print").agg(F.min(F.struct("id", "n", "keys", "sketch")).alias("first"))
+    groups = materialise(groups.select("print", "first.id", "first.n", "first.keys", "first.sketch"), "nodes")
+    pairs, members = candidates(groups.select("id", "n", "keys", "sketch"), trees, depth, least, region, percent, held)
+    links = materialise(confirmed(materialise(pairs, "pairs"), docs, percent, id_col, text_col), "confirmed")
     roots = components(links)
     links = materialise(across(members, roots, docs, percent, id_col, text_col), "links-across")
     if not links.isEmpty():
         roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = groups.select("print", F.col("id").alias("node")).join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component"))
-    out = own.select("id", "n", "print").join(named, "print", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    out = salted_join(some.select("id", "n", "print"), named, ["print"]).select("id", "n", "component")
+    empty = own.where("print is null or id is null").select("id", "n", F.col("id").alias("component"))
+    out = out.unionByName(empty)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
