@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.functions import text as X
+from corpusgrid.session import materialise
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 BROADCAST_TERMS = 200_000
@@ -37,16 +38,23 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, doc_id: str =
 
     idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; a document's length counts tokens; N counts all documents.
     """
-    terms = query_terms(queries, query_id, "text")
-    wanted = _small(terms.select("term").distinct())
-    rows = docs.select(F.col(doc_id).alias("doc"), X.tokens(F.col("text")).alias("ts")).select("doc", F.size("ts").alias("dl"), "ts")
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    found = rows.select("doc", "dl", F.explode("ts").alias("term")).join(wanted, "term").groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    terms = materialise(query_terms(queries, query_id, "text"), "query-terms")
+    wanted = terms.select("term").distinct()
+    n_terms = wanted.count()
+    small = (lambda df: F.broadcast(df)) if n_terms <= BROADCAST_TERMS else (lambda df: df)  # their number alone decides
+    # one scan of the texts: the postings of the query terms, and one of the empty term for each document
+    every = wanted.unionByName(docs.sparkSession.createDataFrame([("",)], wanted.schema))
+    rows = docs.select(F.col(doc_id).alias("doc"), X.tokens(F.col("text")).alias("ts"))
+    rows = rows.select("doc", F.size("ts").alias("dl"), F.explode(F.array_append("ts", F.lit(""))).alias("term")).join(small(every), "term")
+    found = materialise(rows.groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    stats = found.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    found = found.where("term <> ''")
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(df, "term").join(F.broadcast(stats)).select("qid", "term", "qtf", "avgdl", F.when(idf <= 0, FLOOR).otherwise(idf).alias("idf"))
+    df = df.join(F.broadcast(stats)).select("term", "avgdl", F.when(idf <= 0, FLOOR).otherwise(idf).alias("idf"))
+    weights = terms.join(df, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.join(_small(weights), "term").groupBy("qid", "doc").agg(F.round(-F.sum(part), 6).alias("score"))
+    scored = found.join(small(weights), "term").groupBy("qid", "doc").agg(F.round(-F.sum(part), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("score", "doc")))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 

@@ -100,41 +100,51 @@ select * from r where rank <= 10"""
 ALLOWED = "where exists (select 1 from embeddings x, embeddings y where x.vec_id = u.qid and y.vec_id = u.vec_id and x.label = y.label)"
 
 
+def same_label(pairs: DataFrame, v: DataFrame) -> DataFrame:
+    """Those (qid, vec_id) whose two rows carry one label: labels are looked up for the pairs at hand."""
+    label = v.select("vec_id", "label")
+    both = pairs.join(label, "vec_id").join(label.select(F.col("vec_id").alias("qid"), F.col("label").alias("own")), "qid")
+    return both.where("label = own").drop("label", "own")
+
+
 def fused(spark, sf, allow: bool = False):
-    allowed = None
+    one, two, allowed = cosine(spark, sf, 20), cosine(spark, sf, 20, 32), None
     if allow:
-        v = table(spark, sf, "embeddings")
-        q = _queries(v).select(F.col("vec_id").alias("qid"), "label")
-        allowed = v.select("vec_id", "label").join(F.broadcast(q), "label").select("qid", "vec_id")
-    return vector.fuse(cosine(spark, sf, 20), cosine(spark, sf, 20, 32), ["qid", "vec_id"], allowed).withColumn("rank", F.col("rank").cast("long"))
+        pairs = one.select("qid", "vec_id").unionByName(two.select("qid", "vec_id")).distinct()
+        allowed = same_label(pairs, table(spark, sf, "embeddings"))
+    return vector.fuse(one, two, ["qid", "vec_id"], allowed).withColumn("rank", F.col("rank").cast("long"))
 
 
 def scored(spark, sf):
+    """Metrics of every query: relevant are the other vectors of its label, of which only the ranked ones and the number are needed."""
     v = table(spark, sf, "embeddings").select("vec_id", "label")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")
-    relevant = v.join(F.broadcast(q), "label").where("vec_id <> qid").select("qid", F.col("vec_id").alias("item"))
     ranked = cosine(spark, sf, 11).where("vec_id <> qid").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
-    return vector.metrics(ranked.select("qid", F.col("vec_id").alias("item"), "rank"), relevant), q
+    hits = same_label(ranked.where("rank <= 10").select("qid", "vec_id", "rank"), v)
+    found = hits.groupBy("qid").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
+    sizes = q.join(v.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_rel")), "label").drop("label")
+    return vector.scores(sizes.join(found, "qid", "left")), q
 
 
 def metrics(spark, sf):
-    return scored(spark, sf)[0]
+    per = scored(spark, sf)[0]
+    return per.withColumns({c: F.round(c, 6) for c in ("mrr", "ndcg")})
 
 
 def rollup(spark, sf):
     per, q = scored(spark, sf)
-    return vector.summary(per.join(F.broadcast(q), "qid"), "label")
+    return vector.summary(per.join(q, "qid"), "label")
 
 
 METRICS = "with " + COSINE.format(name="a", dims=64, k=11) + """,
-r as (select a.qid, a.vec_id, row_number() over (partition by a.qid order by a.rank) rank, (x.label = y.label) rel, x.label from a join embeddings x on x.vec_id = a.qid join embeddings y on y.vec_id = a.vec_id where a.qid <> a.vec_id),
-n as (select x.vec_id qid, count(*) n from embeddings x join embeddings y on x.label = y.label and x.vec_id <> y.vec_id where x.vec_id % 50 = 0 group by 1),
-p as (select qid, min(label) label, min(case when rel then rank end) best, sum(case when rel then 1.0 / log2(rank + 1) else 0.0 end) dcg from r where rank <= 10 group by 1),
-m as (select p.qid, label, case when best <= 1 then 1.0 else 0.0 end::double recall_at_1, case when best <= 3 then 1.0 else 0.0 end::double recall_at_3, case when best <= 5 then 1.0 else 0.0 end::double recall_at_5,
-  round(coalesce(1.0::double / best, 0), 6) mrr, round(dcg / list_sum(list_transform(range(1, least(coalesce(n, 1), 10) + 1), lambda i: 1.0 / log2(i + 1))), 6) ndcg from p left join n using (qid))
+r as (select a.qid, a.vec_id, row_number() over (partition by a.qid order by a.rank) rank, (x.label = y.label) rel from a join embeddings x on x.vec_id = a.qid join embeddings y on y.vec_id = a.vec_id where a.qid <> a.vec_id),
+n as (select label, count(*) - 1 n from embeddings group by 1),
+p as (select qid, min(case when rel then rank end) best, sum(case when rel then 1.0 / log2(rank + 1) else 0.0 end) dcg from r where rank <= 10 group by 1),
+m as (select x.vec_id qid, label, case when best <= 1 then 1.0 else 0.0 end::double recall_at_1, case when best <= 3 then 1.0 else 0.0 end::double recall_at_3, case when best <= 5 then 1.0 else 0.0 end::double recall_at_5,
+  coalesce(1.0::double / best, 0) mrr, coalesce(dcg, 0) / list_sum(list_transform(range(1, greatest(1, least(n, 10)) + 1), lambda i: 1.0 / log2(i + 1))) ndcg from embeddings x join n using (label) left join p on qid = x.vec_id where x.vec_id % 50 = 0)
 """
-METRICS_ROWS = METRICS + "select qid, recall_at_1, recall_at_3, recall_at_5, mrr, ndcg from m"
-ROLLUP = METRICS + "select label, count(*) queries, round(avg(recall_at_1), 6) recall_at_1, round(avg(recall_at_3), 6) recall_at_3, round(avg(recall_at_5), 6) recall_at_5, round(avg(mrr), 6) mrr, round(avg(ndcg), 6) ndcg from m group by rollup(label)"
+METRICS_ROWS = METRICS + "select qid, recall_at_1, recall_at_3, recall_at_5, round(mrr, 6) mrr, round(ndcg, 6) ndcg from m"
+ROLLUP = METRICS + "select label, count(*) queries, " + ", ".join(f"round(sum({c}::decimal(20, 12))::double / count(*), 6) {c}" for c in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr", "ndcg")) + " from m group by rollup(label)"
 
 
 def cache_missing(spark, sf):

@@ -134,6 +134,36 @@ def test_hybrid(spark):
         assert [r.p for r in out.orderBy("rank").collect()] == ["P1", "P2"] and status == said
 
 
+def test_cosine_groups(spark):
+    """Many small groups give the brute-force result, ties by id; odd vectors take no part."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    m = rng.integers(-2, 3, (300, 4)).astype(float)
+    rows = [(i, x.tolist()) for i, x in enumerate(m)] + [(900, [0.0] * 4), (901, None), (902, [float("nan")] * 4), (903, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector.cosine_topk(v, v.where("vec_id % 7 = 0"), 5, group_rows=20).collect()
+    unit = {i: x / np.linalg.norm(x) for i, x in enumerate(m) if x.any()}
+    want = {}
+    for q in unit:
+        if q % 7 == 0:
+            ranked = sorted(((-round(float(unit[q] @ unit[i]), 6), i) for i in unit))[:5]
+            want[q] = [i for _, i in ranked]
+    by = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by.setdefault(r.qid, []).append(r.vec_id)
+    assert by == want
+    assert vector.cosine_topk(v, v.limit(0), 5).count() == 0 and vector.cosine_topk(v.limit(0), v, 5).count() == 0
+
+
+def test_metrics_without_results(spark):
+    ranked = spark.createDataFrame([(1, 10, 2), (1, 11, 1), (1, 10, 4)], "qid long, item long, rank int")
+    rel = spark.createDataFrame([(1, 10), (2, 10), (1, 12)], "qid long, item long")
+    per = {r.qid: r for r in vector.metrics(ranked, rel).collect()}
+    assert len(per) == 2 and per[1].mrr == 0.5 and per[2].mrr == per[2].ndcg == per[2].recall_at_5 == 0.0
+    assert abs(per[1].ndcg - (1 / 1.584962500721156) / (1 + 1 / 1.584962500721156)) < 1e-12
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1), (2, "d", 2)], "qid long, item string, rank int")
     rel = spark.createDataFrame([(1, "a"), (2, "d")], "qid long, item string")

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from corpusgrid.plans.catalogue import ORACLE, QUERIES
@@ -10,7 +11,7 @@ from corpusgrid.plans.catalogue import ORACLE, QUERIES
 
 def canonical(frame):
     def cell(v):
-        if v is None or v != v:
+        if not isinstance(v, (list, tuple, dict)) and not hasattr(v, "shape") and pd.isna(v):
             return ""
         return f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
