@@ -6,12 +6,14 @@ that still has room; there are only as many sequences as the rests can fill. Wha
 sequences with room left, the lowest cost first. What is left of the block, less than one sequence, is cut
 into sequences whose lengths are powers of two, which need no padding either.
 
-Blocks are formed within a partition as its rows stream by: nothing is shuffled and a task holds one block's ids.
+Blocks are formed within a partition as its rows stream by: nothing is shuffled and a task holds one block's ids. If an order is asked for, rows are
+range-partitioned and sorted by it first, so that blocks, and the numbers of their sequences, follow it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +43,22 @@ def pack_block(tokens: np.ndarray, capacity: int = CAPACITY, linear: float = LIN
         used[s] += size
         cost[s] += linear * size + quadratic * size * size
 
+    open_ = [(0.0, s) for s in range(n)]  # a heap by cost; a sequence without room for a rest waits for smaller ones
+    waiting: list[tuple[int, float, int]] = []  # (-room, cost, sequence)
     for d in np.lexsort((np.arange(len(rest)), -rest)):
         if not (size := int(rest[d])):
             break
         start = int(full[d]) * capacity
-        open_cost = np.where(used + size <= capacity, cost, np.inf)
-        s = int(open_cost.argmin()) if n else 0
-        if n and open_cost[s] < np.inf:
+        while waiting and -waiting[0][0] >= size:
+            _, c, s = heapq.heappop(waiting)
+            heapq.heappush(open_, (c, s))
+        while open_ and capacity - used[open_[0][1]] < size:
+            c, s = heapq.heappop(open_)
+            heapq.heappush(waiting, (int(used[s]) - capacity, c, s))
+        if open_:
+            _, s = heapq.heappop(open_)
             place(int(d), start, size, s)
+            heapq.heappush(open_, (float(cost[s]), s))
         else:
             over.append((int(d), start, size))
     room = [int(s) for s in np.lexsort((np.arange(n), cost)) if used[s] < capacity]
@@ -71,11 +81,11 @@ def pack_block(tokens: np.ndarray, capacity: int = CAPACITY, linear: float = LIN
     return pieces[np.lexsort((pieces[:, 1], pieces[:, 0]))], n_full + n + len(short)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, linear: float = LINEAR, quadratic: float = QUADRATIC, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, linear: float = LINEAR, quadratic: float = QUADRATIC, id_col: str = "doc_id", text_col: str = "text", order: Sequence[str] = ()) -> DataFrame:
     """Pieces of all documents: the id column, start, length, doc_tokens, sequence_id, offset, ids (binary, little-endian uint32).
 
     Null text counts as empty, which leaves the end id alone. Ids may be null or repeat: each row is a document of its own.
-    An empty table has no pieces. Other columns are not carried.
+    An empty table has no pieces. Other columns are not carried. `order`: columns that the sequences follow, block by block.
     """
     kind = docs.schema[id_col].dataType
     long = [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")]
@@ -112,7 +122,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         if held:
             yield flush()
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    if order:
+        docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

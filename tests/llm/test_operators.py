@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -362,6 +363,24 @@ def test_pack_block(tokens):
         assert at <= 1024 and at & (at - 1) == 0 or at == 1024
 
 
+@given(st.lists(st.integers(1, 1023), min_size=1, max_size=80))
+@settings(max_examples=80, deadline=None)
+def test_pack_is_greedy_by_cost(tokens):
+    """Descending documents, each to the sequence of the lowest cost with room, the first of equals."""
+    n = sum(tokens) // 1024
+    used, cost, want = [0] * n, [0.0] * n, {}
+    for d in sorted(range(len(tokens)), key=lambda d: (-tokens[d], d)):
+        fits = [s for s in range(n) if used[s] + tokens[d] <= 1024]
+        if fits:
+            s = min(fits, key=lambda s: (cost[s], s))
+            want[d] = (s, used[s])
+            used[s] += tokens[d]
+            cost[s] += tokens[d] + tokens[d] ** 2 / 1024
+    pieces, _ = packing.pack_block(np.array(tokens, np.int64))
+    got = {d: (s, offset) for d, start, length, s, offset in pieces.tolist() if start == 0 and length == tokens[d] and d in want}
+    assert got == want
+
+
 def test_packing_round_trip(odd, none, docs, texts):
     for df, rows in ((docs, list(texts.items())), (odd, [r[:2] for r in ODD])):
         pieces = packing.pack(df, PATH, block_tokens=20_000).collect()
@@ -405,43 +424,81 @@ def test_planes(ids, bits):
 # mixing
 
 
-def brute_schedule(shares):
-    period, out, done = sum(shares.values()), [], Counter()
-    for slot in range(period):
-        ready = [(-(-(done[s] + 1) * period // n), s) for s, n in shares.items() if done[s] < n and done[s] * period // n <= slot]
-        _, s = min(ready)
-        out.append((s, done[s]))
-        done[s] += 1
+def brute_fluid(weights, blocks):
+    """Blocks served of each source after each slot, moment by moment: from one exhaustion to the next."""
+    served, out, now = [Fraction(0)] * len(weights), [], Fraction(0)
+    out.append(list(served))
+    for slot in range(1, sum(blocks) + 1):
+        while now < slot:
+            left = [s for s, b in enumerate(blocks) if served[s] < b]
+            rate = sum(weights[s] for s in left)
+            step = min(slot - now, min((blocks[s] - served[s]) * rate / Fraction(weights[s]) for s in left))
+            for s in left:
+                served[s] += step * weights[s] / rate
+            now += step
+        out.append(list(served))
     return out
 
 
-@given(st.dictionaries(st.sampled_from("abcdefgh"), st.floats(0.01, 10), min_size=1))
+def brute_schedule(weights, blocks):
+    """Earliest deadline first, with releases and deadlines read off the fluid."""
+    fluid, done, out = brute_fluid(weights, blocks), [0] * len(blocks), []
+    for slot in range(sum(blocks)):
+        ready = [s for s, b in enumerate(blocks) if done[s] < b and fluid[slot + 1][s] > done[s]]
+        due = lambda s: next(t for t, y in enumerate(fluid) if y[s] >= done[s] + 1)  # noqa: B023, E731
+        s = min(ready, key=lambda s: (due(s), s))
+        out.append((slot, s, done[s]))
+        done[s] += 1
+    return out, fluid
+
+
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(1, 25)), min_size=1, max_size=6), st.integers(1, 30))
 @settings(max_examples=60, deadline=None)
-def test_schedule(weights):
-    shares = mixing.shares(weights, 60)
-    plan = mixing.schedule(shares)
-    assert plan == brute_schedule(shares)
-    done = Counter()
-    for slot, (s, _) in enumerate(plan, 1):
+def test_schedule(sources, step):
+    """Ranges put together are the schedule from slot 0, and every source is less than one block off at every slot."""
+    weights, blocks = [w for w, _ in sources], [b for _, b in sources]
+    want, target = brute_schedule(weights, blocks)
+    plan = mixing.Fluid(weights, blocks)
+    assert [x for first in range(0, plan.total, step) for x in mixing.schedule(plan, first, first + step)] == want
+    done = [0] * len(blocks)
+    for slot, s, _ in want:
         done[s] += 1
-        assert all(abs(done[x] - slot * n / 60) < 1 for x, n in shares.items())
+        assert all(abs(d - y) < 1 for d, y in zip(done, target[slot + 1], strict=True))
+
+
+def test_schedule_long():
+    """Irrational-looking weights, many slots, a tiny source: less than one block off throughout, in ranges as in one run."""
+    weights = mixing.whole([2**0.5, 1.0, 3**0.5, 0.001, 0.3, 0.3])
+    assert all(Fraction(a, weights[1]) == Fraction(b) for a, b in zip(weights, [2**0.5, 1.0, 3**0.5, 0.001, 0.3, 0.3], strict=True))
+    plan = mixing.Fluid(weights, [20_000, 9_000, 30_000, 12, 700, 5_000])
+    whole = list(mixing.schedule(plan, 0, plan.total))
+    assert [x for first in range(0, plan.total, 3000) for x in mixing.schedule(plan, first, first + 3000)] == whole
+    done = [0] * 6
+    for slot, s, _ in whole:
+        done[s] += 1
+        if slot % 37 == 0 or slot > plan.total - 3000:
+            assert all(abs(d - y) < 1 for d, y in zip(done, plan.at(slot + 1), strict=True))
+    assert done == plan.blocks
 
 
 def test_mix(spark, odd, none):
     rows = [(i, "hot" if i % 3 == 0 else f"s{i % 5}" if i % 7 else None) for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, source string")
-    got = mixing.mix(df, block=4, period=50).orderBy("mix_slot", "mix_row").collect()
-    assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
-    assert len({(r.mix_slot, r.mix_row) for r in got}) == len(rows) and all(0 <= r.mix_row < 4 for r in got)
     counts = Counter(s for _, s in rows)
-    shares = mixing.shares({s: n**0.5 for s, n in counts.items()}, 50)
-    plan = mixing.schedule(shares)
-    for r in got:
-        cycle, at = divmod(r.mix_block, shares[r.source])
-        assert plan[r.mix_slot - cycle * 50] == (r.source, at)
-    few = mixing.mix(df, {"hot": 3.0, "s1": 1.0}, block=4, period=8).collect()
-    assert len(few) == len(rows) and all((r.mix_slot < 1 << 53) == (r.source in ("hot", "s1")) for r in few)
+    for weights in (None, {"hot": 3.0, "s1": 1.0, "s2": 0.0}):
+        got = mixing.mix(df, weights, block=4, slot_range=90, bin_rows=100).orderBy("mix_slot", "mix_row").collect()
+        assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
+        assert len({(r.mix_slot, r.mix_row) for r in got}) == len(rows) and all(0 <= r.mix_row < 4 for r in got)
+        assert {r.mix_slot for r in got} == set(range(sum(-(-n // 4) for n in counts.values())))
+        plan = mixing.stages(counts, weights, 0.5, 4)
+        assert len(plan) == (1 if weights is None else 2)
+        base, want = 0, {}
+        for names, fluid in plan:
+            want |= {base + slot: (names[s], k) for slot, s, k in mixing.schedule(fluid, 0, fluid.total)}
+            base += fluid.total
+        assert all(want[r.mix_slot] == (r.source, r.mix_block) for r in got)
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
+    assert mixing.mix(odd).columns == [*odd.columns, "mix_slot", "mix_row", "mix_block"]
 
 
 # html

@@ -22,9 +22,30 @@ def test_stages(spark, sf):
     four = materialise(mixed(spark, three, sf), "t4")
     order = [r.doc_id for r in mixing.mix(three).orderBy("mix_slot", "mix_row").select("doc_id").collect()]
     assert four.columns == columns and sorted(order) == sorted(ids(four))
-    five = packed(spark, four, sf).collect()
+    rank = {d: i for i, d in enumerate(order)}
+    files = four.repartition(7)  # whatever the files, sequences follow the mixed order
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    five = packed(spark, files, sf).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tasks = {}
+    for r in five:
+        tasks.setdefault(r.sequence_id >> 36, set()).add(rank[r.doc_id])
+    assert len(tasks) > 1 and [x for t in sorted(tasks) for x in sorted(tasks[t])] == list(range(len(order)))
     assert {r.doc_id for r in five} == set(order)
-    assert len(P.run(spark, sf).collect()) == len(five)
+    assert {r.doc_id for r in P.run(spark, sf).collect()} == set(order)
+
+
+def test_odd_rows(spark, sf):
+    """Nulls in any column, repeated rows and ids, and columns of clashing names go through all stages."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.limit(40).unionByName(docs.limit(3)).unionByName(docs.limit(1).selectExpr("cast(null as bigint) doc_id", "text", "cast(null as string) lang", "cast(null as string) source", "cast(null as bigint) n_chars").select(*docs.columns))
+    odd = odd.unionByName(docs.limit(1).selectExpr("doc_id", "cast(null as string) text", "lang", "source", "n_chars").select(*docs.columns))
+    odd = materialise(odd.selectExpr("*", "1 kept", "2 keep_id", "3 mix_slot", "'x' component_id", "4 n_words"), "odd")
+    for _, stage in P.STAGES[:-1]:
+        out = materialise(stage(spark, odd, sf), "odd")
+        assert out.columns == odd.columns and 0 < out.count() <= odd.count()
+        odd = out
+    assert P.STAGES[-1][1](spark, odd, sf).count() > 0
 
 
 def test_empty(spark, sf):
