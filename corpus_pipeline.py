@@ -40,8 +40,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens, packed in blocks that follow the mixed order."""
-    return digest(pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    """The pieces of all documents in sequences of at most 1024 tokens, packed in blocks that follow the mixed order.
+
+    Files are dealt to tasks by size, not in their order. As the mixing stage keeps every row, its slots come out the same for its result, and
+    rows are brought back into their order by them.
+    """
+    return digest(pack(mix(docs), public_tokenizers.path("byte_bpe_50k.json"), order=("mix_slot", "mix_row")))
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mixed), ("pack", packed)]
