@@ -1,11 +1,14 @@
 """Main text of web pages.
 
-The standard library's parser streams its events into lines, one for each block of the page, with the text and the
-number of tags in it. Blocks inside elements that are never content (menus, forms, scripts, adverts, comments and the like, by
-tag, role, class or id) are left out. The text-to-tag ratios of the other lines are smoothed with a Gaussian, and lines whose
-smoothed ratio reaches the threshold, a share of the ratios' standard deviation, form content regions. If the page marks
-articles, the regions are the marked elements that hold content lines, as wholes; elsewhere it reaches from the first content line to the last, with the heading before it.
-On pages without marked articles, lines of links alone drop out of the region.
+The standard library's parser streams its events into lines, one for each block of the page, with the text and the number of tags in
+it. The text-to-tag ratios (text in links does not count) are smoothed with a Gaussian, and lines whose smoothed ratio reaches a threshold, a share of the ratios' standard deviation,
+form the content cluster. The region is the smallest element that holds nearly all of the cluster's text; it is taken as a whole, short lines and lines of links included, so that
+nothing of an article is lost.
+
+Tags, roles and class words only vote. Elements that speak of menus, forms, adverts, comments and the like are left out before the clustering, unless they hold
+the article or most of the page (a form or a wrapper around everything); words that an article's own sections use too count only where no line of the cluster stands.
+An element that marks itself as the article is not looked into for a smaller region. Without such an element the region's edges
+lose lines of links, and a region that is the page's body itself reaches from the first to the last line of the cluster, with the headings and paragraphs beside it.
 """
 
 from __future__ import annotations
@@ -22,45 +25,69 @@ from pyspark.sql import types as T
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-NEVER = frozenset("head script style noscript template svg math iframe object nav footer aside form button select textarea dialog menu canvas audio video".split())
+HARD = frozenset("head script style noscript template svg math iframe object button select textarea canvas audio video".split())
+SOFT = frozenset("nav footer aside form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-# Words of a class or id that mark what is not the article.
-MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside widget footer masthead comment comments reply replies disqus discussion respond share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar copyright legal".split())
-PRE_MARKED = frozenset(("article", "main"))
-SIGMA, SHARE, LINKS = 1.0, 0.5, 0.6
+# Words of a class or id that mark what is not the article; those of READERS mark what readers say; sections of articles use those of DOUBTFUL as well.
+READERS = frozenset("comment comments reply replies disqus respond".split())
+STRONG = READERS | frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer masthead sharing social newsletter subscribe pagination pager toolbar".split())
+DOUBTFUL = frozenset("aside side notice notices notification alert discussion share related recommended subscription signup login search copyright legal promotion".split())
+STATES = frozenset("with has no without have is".split())  # before a word, they speak of the page and not of the element
+PARTS = frozenset("area bar block box container form item items inner links list panel popup section slot thread unit wrap wrapper".split())  # after a word, they name a part of it
+PRE_MARKED, OUTER = frozenset(("article", "main")), frozenset(("page", "html", "body", "form"))
+SIGMA, SHARE, LINKS, HOLDS, MOST = 1.0, 0.5, 0.6, 0.9, 0.5
+
+
+def mark(value: str) -> int:
+    """What a class or id says: 0 nothing, 1 doubtful, 2 not the article, 3 readers. Words count whole; of words with hyphens the last, or the first before a part's name."""
+    out = 0
+    for token in re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value).lower().split():
+        parts = re.split("[-_]+", token)
+        words = {token} if parts[0] in STATES else {token, parts[-1]}
+        if parts[-1] in PARTS:
+            words.add(parts[0])
+        out = max(out, 3 if words & READERS else 2 if words & STRONG else 1 if words & DOUBTFUL else 0)
+    return out
+
+
+class Element:
+    __slots__ = ("article", "h1", "held", "parent", "size", "tag", "vote")
+
+    def __init__(self, tag: str, parent: int, vote: int, article: bool) -> None:
+        self.tag, self.parent, self.vote, self.article = tag, parent, vote, article
+        self.size, self.held, self.h1 = 0, False, tag == "h1"
 
 
 class Line:
-    __slots__ = ("article", "heading", "linked", "parts", "tags")
+    __slots__ = ("element", "linked", "parts", "tags", "text")
 
-    def __init__(self, article: int, heading: bool) -> None:
+    def __init__(self, element: int) -> None:
         self.parts: list[str] = []
-        self.tags, self.linked, self.article, self.heading = 1, 0, article, heading
+        self.tags, self.linked, self.element, self.text = 1, 0, element, ""
 
 
 class Lines(HTMLParser):
-    """Collects the lines of one page."""
+    """Collects the lines and the elements of one page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        self.elements = [Element("page", -1, 0, False)]
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool]] = []  # tag, never content, marks the article
-        self.never = self.marked = self.articles = 0
-        self.line = Line(0, False)
-        self.link: tuple[int, Line] | None = None  # blocks open at the <a>, and its line
+        self.open: list[tuple[str, int, bool]] = []  # tag, element, never shown
+        self.hard = 0
+        self.line = Line(0)
+        self.link: tuple[int, Line] | None = None  # elements open at the <a>, and its line
         self.later: list[tuple[Line, int]] = []  # text in later lines, which is linked only if the </a> comes
 
-    def _new(self, heading: bool = False) -> None:
+    def _new(self) -> None:
         if self.line.parts:
             self.lines.append(self.line)
-        self.line = Line(self.articles if self.marked else 0, heading)
+        self.line = Line(self.open[-1][1] if self.open else 0)
 
     def _close(self, i: int) -> None:
-        for _, never, marked in self.open[i:]:
-            self.never -= never
-            self.marked -= marked
+        self.hard -= sum(hard for _, _, hard in self.open[i:])
         if self.link and self.link[0] > i:
-            self._unlink(False)  # the block that opened the <a> closes
+            self._unlink(False)  # the element that opened the <a> closes
         del self.open[i:]
 
     def _unlink(self, closed: bool) -> None:
@@ -75,36 +102,42 @@ class Lines(HTMLParser):
                 self.line.parts.append(" ")
             return
         values = {k: v or "" for k, v in attrs}
-        words = re.findall(r"[a-z]+", f"{values.get('class', '')} {values.get('id', '')}".lower())
-        never = tag in NEVER or values.get("role", "").lower() in ROLES or "hidden" in values or values.get("aria-hidden") == "true" or (tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(words)) or (tag == "header" and not self.marked)
-        if tag in INLINE and not never:
+        hard = tag in HARD or "hidden" in values or values.get("aria-hidden") == "true"
+        role, named = values.get("role", "").lower(), f"{values.get('class', '')} {values.get('id', '')}"
+        vote = 0 if tag in ("html", "body") or named == " " else mark(named)
+        if tag in SOFT or role in ROLES:
+            vote = max(vote, 2)
+        inside = self.elements[self.open[-1][1]] if self.open else None
+        if tag == "header" and not self._in_article():
+            vote = max(vote, 2)
+        if tag in INLINE and not hard and vote < 2:
             self.line.tags += 1
             if tag == "a":
                 self._unlink(False)
                 self.link = (len(self.open), self.line) if "href" in values else None
             return
-        if tag not in INLINE:
-            if self.open and self.open[-1][0] == "p" or tag in ("li", "option", "tr", "td", "th", "dt", "dd") and self.open and self.open[-1][0] == tag:
-                self._close(len(self.open) - 1)  # their end tags may be left out
-        self.open.append((tag, never, tag in PRE_MARKED or values.get("role") == "main"))
-        self.never += never
-        self.articles += self.open[-1][2] and not self.marked  # outermost ones are numbered from 1
-        self.marked += self.open[-1][2]
-        if tag not in INLINE:
-            self._new(len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
+        if tag not in INLINE and inside and (inside.tag == "p" or inside.tag == tag and tag in ("li", "option", "tr", "td", "th", "dt", "dd")) and self.open[-1][0] == inside.tag:
+            self._close(len(self.open) - 1)  # their end tags may be left out
+        article = (tag in PRE_MARKED or role == "main") and vote < 2
+        self.elements.append(Element(tag, self.open[-1][1] if self.open else 0, vote, article))
+        self.open.append((tag, len(self.elements) - 1, hard))
+        self.hard += hard
+        self._new()
+
+    def _in_article(self) -> bool:
+        return any(self.elements[e].article for _, e, _ in self.open)
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 self._close(i)
-                if tag not in INLINE:
-                    self._new()
+                self._new()
                 return
         if tag == "a":
             self._unlink(True)
 
     def handle_data(self, data: str) -> None:
-        if self.never:
+        if self.hard:
             return
         self.line.parts.append(data)
         if self.link and self.link[1] is self.line:
@@ -128,6 +161,40 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
+def inside(elements: list[Element], chosen: set[int]) -> list[bool]:
+    """Which elements are among the chosen ones or within one of them."""
+    out: list[bool] = []
+    for i, e in enumerate(elements):
+        out.append(i in chosen or e.parent >= 0 and out[e.parent])
+    return out
+
+
+def weigh(elements: list[Element], sizes: list[tuple[int, int]]) -> None:
+    """Set each element's size, the sum of these (element, characters) in it."""
+    for e in elements:
+        e.size = 0
+    for i, n in sizes:
+        elements[i].size += n
+    for e in reversed(elements[1:]):
+        elements[e.parent].size += e.size
+
+
+def outvoted(elements: list[Element], lines: list[Line]) -> list[bool]:
+    """Elements that are left out: votes stand, unless the element holds the article, or most of a page whose article is nowhere else."""
+    weigh(elements, [(x.element, len(x.text)) for x in lines])
+    for e in reversed(elements[1:]):
+        up = elements[e.parent]
+        up.held |= e.held or e.article and e.size > 0
+        up.h1 |= e.h1
+    marked, total = any(e.article and e.size for e in elements), elements[0].size
+    chosen = set()
+    for i, e in enumerate(elements):
+        holds = e.h1 or e.held and e.vote < 3 or not marked and e.size > total * (HOLDS if e.vote == 3 else MOST)
+        if e.vote >= 2 and not holds:
+            chosen.add(i)
+    return inside(elements, chosen)
+
+
 def main_text(html: str | None) -> str:
     """The page's main text; empty for null and for pages without content."""
     if not html:
@@ -138,24 +205,73 @@ def main_text(html: str | None) -> str:
         page.rawdata = ""
     page.close()
     page._new()
-    lines = [(x, t) for x in page.lines if (t := " ".join("".join(x.parts).split()))]
-    ratios = smoothed([len(t) / x.tags for x, t in lines])
+    elements = page.elements
+    for x in page.lines:
+        x.text = " ".join("".join(x.parts).split())
+    lines = [x for x in page.lines if x.text]
+    out = outvoted(elements, lines)
+    lines = [x for x in lines if not out[x.element]]
+    ratios = smoothed([max(0, len(x.text) - x.linked) / x.tags for x in lines])
     if not ratios:
         return ""
     mean = sum(ratios) / len(ratios)
     threshold = min(SHARE * math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)), max(ratios))
-    content = [r >= threshold for r in ratios]
-    whole = any(x.article for x, _ in lines)
-    if whole:
-        chosen = {x.article for (x, _), c in zip(lines, content, strict=True) if c and x.article}
-        lines = [(x, t) for x, t in lines if x.article and (x.article in chosen or not chosen)]
-        first, last = 0, len(lines) - 1
-    else:
-        first, last = content.index(True), len(content) - 1 - content[::-1].index(True)
-        while first and lines[first - 1][0].heading:
-            first -= 1
-    kept = [t for x, t in lines[first : last + 1] if whole or x.linked <= LINKS * len(t) or len(lines) == 1]
-    return " ".join(kept)
+    cluster = [r >= threshold and (x.linked <= LINKS * len(x.text) or r == max(ratios)) for r, x in zip(ratios, lines, strict=True)]
+    weigh(elements, [(x.element, len(x.text)) for x, c in zip(lines, cluster, strict=True) if c])
+    # doubtful words count where the cluster has no line
+    doubtful = inside(elements, {i for i, e in enumerate(elements) if e.vote == 1 and not e.size})
+    kept = [(x, c) for x, c in zip(lines, cluster, strict=True) if not doubtful[x.element]]
+    children: dict[int, list[int]] = {}
+    for i, e in enumerate(elements[1:], 1):
+        if e.size:
+            children.setdefault(e.parent, []).append(i)
+    region, heads = 0, set()
+    while not elements[region].article:
+        within = [i for i in children.get(region, ()) if elements[i].size >= HOLDS * elements[region].size]
+        if not within or elements[within[0]].tag in ("p", "li", "blockquote", "pre", "td"):
+            break
+        if elements[region].tag not in OUTER and any(elements[x.element].tag == "p" and elements[x.element].parent == region and x.linked <= LINKS * len(x.text) for x, _ in kept):
+            break  # its own paragraphs belong to it
+        order = [i for i, (x, _) in enumerate(kept) if inside_of(elements, x.element, within[0])]
+        before = order[0] - 1
+        while before >= 0 and inside_of(elements, kept[before][0].element, region) and re.fullmatch("h[1-6]", elements[kept[before][0].element].tag):
+            heads.add(before)  # a heading just above the smaller region
+            before -= 1
+        region = within[0]
+    own = [i for i, (x, _) in enumerate(kept) if i in heads or inside_of(elements, x.element, region)]
+    if not elements[region].article:
+        articles = [i for i, e in enumerate(elements) if e.article and e.size and inside_of(elements, i, region)]
+        marked = inside(elements, set(articles))
+        if sum(len(x.text) for x, c in kept if c and marked[x.element]) >= HOLDS * elements[region].size:
+            own = [i for i in own if marked[kept[i][0].element]]  # several elements mark themselves as articles
+        else:
+            own = trimmed(elements, kept, own, elements[region].tag in OUTER)
+    return " ".join(kept[i][0].text for i in own)
+
+
+def inside_of(elements: list[Element], i: int, outer: int) -> bool:
+    while i > outer:
+        i = elements[i].parent
+    return i == outer
+
+
+def trimmed(elements: list[Element], kept: list[tuple[Line, bool]], own: list[int], body: bool) -> list[int]:
+    """`own` without the lines of links at its edges; of a page's body only what reaches from the first to the last line of the cluster, with the headings and paragraphs beside it."""
+    hits = [k for k, i in enumerate(own) if kept[i][1]]
+    if not hits:
+        return own
+    linked = lambda k: kept[own[k]][0].linked > LINKS * len(kept[own[k]][0].text)
+    tag = lambda k: elements[kept[own[k]][0].element].tag
+    beside = lambda k: not linked(k) and (not body or re.fullmatch("p|h[1-6]|blockquote|pre|li", tag(k)))
+    first, last = hits[0], hits[-1]
+    while first and beside(first - 1):
+        first -= 1
+    while last < len(own) - 1 and beside(last + 1):
+        last += 1
+    if not body:  # lines of links end the region only where nothing but such lines follows
+        first = next(k for k in range(len(own)) if k >= first or not linked(k))
+        last = next(k for k in range(len(own) - 1, -1, -1) if k <= last or not linked(k))
+    return own[first : last + 1]
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
