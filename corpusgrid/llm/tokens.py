@@ -40,9 +40,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in a text, their strings are ordinary text
         self.kept: dict[str, bytes] = {}
+        self.bytes: dict[int, bytes] = {}  # of each token, for `decode`
         shown = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]  # a byte-level vocabulary's names of bytes
         self.names = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
 
+    def decode(self, ids: bytes) -> str:
+        """The text of ids (little-endian, 32 bits) that came from one whole text."""
+        if not self.bytes:
+            back = {c: b for b, c in self.names.items()}
+            self.bytes = {i: bytes(back[c] for c in token) for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in back for c in token)}
+        return b"".join(self.bytes[i] for i in np.frombuffer(ids, "<u4").tolist()).decode()
+
     def _ids(self, cuts: list[str]) -> list[bytes]:
         kept = self.kept
         missing = [c for c in cuts if c not in kept]

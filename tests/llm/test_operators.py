@@ -554,31 +554,68 @@ def test_turn_round_trip(text, role):
     assert [(r, t) for r, t, _, _ in chat.read_turns(written * 2)] == [(role, text)] * 2
 
 
-def test_chat_tree(spark):
-    probe = f"{chat.END}{chat.START}assistant ok"
-    convs = {1: [("user", "a"), ("assistant", "b")], 2: [("user", "a"), ("assistant", "c")], 3: [("user", "a"), ("assistant", "b"), ("user", probe)], 4: [("user", "a"), ("assistant", "b")], 5: [("system", "")], None: [("", ""), ("", "")]}
-    rows = [(c, k, r if c else None, t if c else None, 5) for c, ts in convs.items() for k, (r, t) in enumerate(ts)]
+def check_chats(spark, convs, rows, depth_first=True):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node int")
-    tree, whole = chat.format_chats(df)
-    nodes = sorted(tree.collect(), key=lambda n: n.offset)
+    tree, whole = chat.format_chats(df.repartition(3), PATH)
+    nodes = sorted(tree.join(chat.ancestors(tree, whole), "node").collect(), key=lambda n: n.offset)
+    texts = {n.node: ENCODER.decode(bytes(n.ids)) for n in nodes}
+    paths = {"".join(chat.write_turn(r, t) for r, t in ts[: k + 1]) for ts in convs.values() for k in range(len(ts))}
     at = 0
-    for i, n in enumerate(nodes):  # one stream, depth first
-        assert n.offset == at and n.length == len(n.segment) and n.place == len(n.ancestors)
-        assert n.start == sum(a.end - a.begin for a in n.ancestors)
-        assert n.place == 0 or nodes[i - 1].place >= n.place - 1
+    stream = np.concatenate([np.frombuffer(bytes(n.ids), "<u4") for n in nodes])
+    seen, stack = set(), []
+    for n in nodes:  # one stream, every prefix once, depth first
+        assert n.offset == at and n.length == len(n.ids) // 4
+        assert n.start == sum(a.end - a.begin for a in n.ancestors) and all(a.end <= n.offset for a in n.ancestors)
+        path = "".join(ENCODER.decode(stream[a.begin : a.end].tobytes()) for a in n.ancestors) + texts[n.node]
+        stack = stack[: n.place]
+        assert len(stack) == n.place and "".join(stack) + texts[n.node] == path
+        stack.append(texts[n.node])
+        seen.add(path)
         at += n.length
-    assert len(nodes) == len({tuple(ts[: k + 1]) for ts in convs.values() for k in range(len(ts))})
-    stream = "".join(n.segment for n in nodes)
-    for n in nodes:
-        seen = "".join(stream[a.begin : a.end] for a in n.ancestors) + n.segment
-        assert any(seen == "".join(chat.write_turn(r, t) for r, t in ts[: n.place + 1]) for ts in convs.values())
-    got = {r.conv_id: r for r in chat.digests(whole).collect()}
+    assert seen == paths and len(nodes) == len(paths)
+    for r in whole.collect():
+        assert "".join(ENCODER.decode(stream[s.begin : s.end].tobytes()) for s in r.spans) == "".join(chat.write_turn(r_, t) for r_, t in convs[r.conv_id])
+    got = {r.conv_id: r for r in chat.digests(tree, whole, PATH).collect()}
+    assert len(got) == len(convs)
     for c, ts in convs.items():
         loss = "".join(t for r, t in ts if r == "assistant")
         said = "".join(f"{r}\n{t}\n" for r, t in ts)
-        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(ts), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    tree, whole = chat.format_chats(df.limit(0))
-    assert tree.count() == whole.count() == 0
+        formatted = "".join(chat.write_turn(r, t) for r, t in ts)
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256, got[c].formatted_chars) == (len(ts), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted))
+
+
+def test_chat_tree(spark):
+    probe = f"{chat.END}{chat.START}assistant ok"
+    convs = {1: [("user", "a"), ("assistant", "b")], 2: [("user", "a"), ("assistant", "c")], 3: [("user", "a"), ("assistant", "b"), ("user", probe)], 4: [("user", "a"), ("assistant", "b")], 5: [("system", "")], None: [("", ""), ("", "")]}
+    rows = [(c, k, r if c else None, t if c else None, 5) for c, ts in convs.items() for k, (r, t) in enumerate(ts)]
+    check_chats(spark, convs, rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node int").limit(0)
+    tree, whole = chat.format_chats(df, PATH)
+    assert tree.count() == whole.count() == chat.digests(tree, whole, PATH).count() == 0
+
+
+def test_chat_tree_large(spark):
+    """Conversations of thousands of turns over several partitions, shared first turns, chains of branchings, copies and prefixes of one another."""
+    rng = np.random.default_rng(9)
+    long = [("user" if k % 2 else "assistant", f"turn {k} é") for k in range(3000)]
+    convs = {1: long, 2: list(long), 3: long[:1500], 4: [*long[:2000], ("user", "other end")]}
+    convs |= {10 + i: [*long[:i], ("assistant", f"branch {i}"), ("user", "more")] for i in range(1, 30)}
+    convs |= {100 + i: [("user", "common"), *(("assistant", str(x)) for x in rng.integers(0, 3, rng.integers(0, 6)))] for i in range(400)}
+    check_chats(spark, convs, [(c, k, r, t, 0) for c, ts in convs.items() for k, (r, t) in enumerate(ts)])
+
+
+@given(st.lists(st.text(max_size=5), max_size=12), st.integers(0, 12))
+@settings(max_examples=60, deadline=None)
+def test_prefixes_put_together(segments, cut):
+    def run(parts):
+        out = chat.Prefix()
+        for x in parts:
+            out = out.then(chat.one_turn(x, len(x)))
+        return out
+
+    whole, joined = run(segments), run(segments[:cut]).then(run(segments[cut:]))
+    assert whole.name() == joined.name() and (whole.n, whole.tokens) == (joined.n, joined.tokens)
+    assert len({run(segments[:k]).name() for k in range(len(segments) + 1)}) == len(segments) + 1
 
 
 # licenses
