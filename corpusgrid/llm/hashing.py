@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-_M, _K = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
+_M, _K, _K2 = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _U = np.uint64
 
 
@@ -47,11 +47,11 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, mix((sums[ends] - sums[starts]) * up[ends])
 
 
-def windows(hashes: np.ndarray, length: int) -> np.ndarray:
-    """The hash of each run of `length` neighbours; empty if there are fewer."""
+def windows(hashes: np.ndarray, length: int, second: bool = False) -> np.ndarray:
+    """The hash of each run of `length` neighbours; empty if there are fewer. `second`: another hash of the same, to make 128 bits of both."""
     if len(hashes) < length:
         return np.zeros(0, np.uint64)
-    sums, up = _sums(hashes, _K)
+    sums, up = _sums(mix(hashes ^ _U(_K)) if second else hashes, _K2 if second else _K)
     ends = np.arange(length, len(hashes) + 1)
     return mix((sums[ends] - sums[: len(ends)]) * up[ends] + _U(length))
 

@@ -315,6 +315,34 @@ def test_substring_dedup(docs, texts, odd, none, size):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 6)), max_size=60), st.integers(1, 6))
+@settings(max_examples=80, deadline=None)
+def test_anchors(rows, reach):
+    rows = sorted(rows, key=lambda r: r[0])
+    doc, x = np.array([d for d, _ in rows], int), np.array([v for _, v in rows], np.uint64)
+    want = [v == min(w for j, (e, w) in enumerate(rows) if e == d and abs(i - j) <= reach) for i, (d, v) in enumerate(rows)]
+    assert substring_dedup.anchors(x, doc, reach).tolist() == want
+
+
+def test_repeat_lengths(spark, docs, texts):
+    """Level by level to the end: what is found is repeated, and of passages twice as long none is missed."""
+    got = {r.doc_id: r.longest for r in substring_dedup.repeat_lengths(docs, block_bytes=100_000).collect()}
+    words = {i: t.split() for i, t in ((i, t.encode().decode("latin-1")) for i, t in texts.items())}
+    size = 26
+    while True:
+        where = defaultdict(set)
+        for i, w in words.items():
+            for k in range(len(w) - size + 1):
+                where[tuple(w[k : k + size])].add(i)
+        have = {i for v in where.values() if len(v) > 1 for i in v}
+        assert {i for i, n in got.items() if n >= size} <= have
+        assert all(got.get(i, 0) >= size // 2 for i in have) or size == 26
+        if not have:
+            break
+        size *= 2
+    assert got and size > 26
+
+
 def test_hashing_windows():
     data = np.frombuffer(b" ab  ab\tabc\n", np.uint8)
     starts, ends, h = hashing.words(data)
