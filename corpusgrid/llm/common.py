@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from corpusgrid.session import materialise
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
+LEAST_SHARE = 256  # rows of a key that are never worth dealing over several tasks
+
 
 def words(text: Column) -> Column:
     """The maximal runs of characters that are not white space; none for null."""
@@ -28,14 +29,17 @@ def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "in
     """`many` joined with `one`, which has one row for each key; keys must not be null.
 
     A key with more than a quarter of a task's fair share of the rows of `many` is dealt over several runs, and its row of
-    `one` is repeated for each. There are fewer such runs than 8 x partitions, by counting, so their list is broadcast. `many` is
-    read twice: it should be a table.
+    `one` is repeated for each. There are fewer than 4 x partitions such keys, by counting, so their list goes through the driver and is broadcast. `many` is
+    read more than once: it should be a table.
     """
-    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    share = max(64, many.count() // (4 * partitions(many)))
-    hot = materialise(counts.where(F.col("__rows") > share).select(*keys, F.ceil(F.col("__rows") / share).cast("int").alias("__runs")), "hot-keys")
-    if hot.isEmpty():
+    bound = 4 * partitions(many)
+    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > LEAST_SHARE)
+    top = counts.orderBy(F.desc("__rows")).limit(bound).collect()
+    share = max(LEAST_SHARE, many.count() // bound) if top else 0
+    hot = [(*r[:-1], -(-r[-1] // share)) for r in top if r[-1] > share]
+    if not hot:
         return many.join(one, keys, how)
+    hot = many.sparkSession.createDataFrame(hot, StructType([*(many.schema[k] for k in keys), StructField("__runs", IntegerType())]))
     rest = [c for c in many.columns if c not in keys]
     many = many.join(F.broadcast(hot), keys, "left").withColumn("__run", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("__runs")), F.lit(0)).cast("int")).drop("__runs")
     one = one.join(F.broadcast(hot), keys, "left").withColumn("__run", F.explode(F.sequence(F.lit(0), F.coalesce("__runs", F.lit(1)) - 1))).drop("__runs")

@@ -259,6 +259,8 @@ def across(members: DataFrame, roots: DataFrame, docs: DataFrame, percent: int,
     own = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     own = materialise(own.select(*region, "id", "root", "n"), "open-regions")
     own = materialise(salted_join(own, mixed(own), region).drop("blocks"), "mixed-regions")
+    if own.isEmpty():
+        return own.select(F.col("id").alias("a"), F.col("id").alias("b"))
     sets = materialise(linkable(shingle_sets(docs, own.select("id").distinct(), id_col, text_col), percent), "linkable")
     own = materialise(own.join(sets.select("id"), "id"), "linkable-members")
     own = materialise(salted_join(own, mixed(own, block), region), "mixed-regions").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))

@@ -18,7 +18,7 @@ from corpusgrid.llm.common import read, words
 
 BUCKETS, THRESHOLD, TRUSTED_ROWS, PRIOR, GRAMS = 1 << 18, -0.2, 50_000, 4.0, 2
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-PLACE_BITS, HASH_BITS = 24, 40
+PLACE_BITS, HASH_BITS, PLAN_STRING = 24, 40, 100_000
 
 
 def with_places(docs: DataFrame, hash_bits: int = HASH_BITS, place_bits: int = PLACE_BITS) -> DataFrame:
@@ -129,6 +129,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
     The call runs the counting job; `buckets` doubles come to the driver and return in the plan as a constant.
     """
     docs = docs.drop(*(c for c in docs.columns if c in (*BASE, "llr_score", "kept")))
+    spark = docs.sparkSession
+    if int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b")) > PLAN_STRING:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_STRING))  # else each description of a plan that the driver keeps spells the constant out
     ratios = log_ratios(docs, trusted_ids(labels), buckets, prior, id_col, text_col, n).first()["ratios"]
     table = F.from_json(F.lit(json.dumps([round(x, 9) for x in ratios])), "array<double>")  # folded to one constant
     scored = with_base(docs, text_col).withColumn("__grams", grams(F.col("__words"), buckets, n))
