@@ -32,7 +32,7 @@ from corpusgrid.session import materialise
 
 TREES, DEPTH, LEAST, REGION, WORDS, PERCENT = 32, 5, 2, 8, 5, 75
 SKETCH, SKETCH_BITS = 128, 88  # of 128 bits, 112 agree on average at the threshold, and fewer than 88 once in 100 million pairs
-BLOCK, BLOCK_SHINGLES, FEW, HELD = 2048, 1 << 20, 500_000, 1 << 19
+BLOCK, BLOCK_SHINGLES, FEW, HELD = 2048, 1 << 18, 500_000, 1 << 17
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -194,9 +194,10 @@ def linkable(sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-            if values:
-                ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in values])
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                values = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+                ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in values])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(ids)], names=["shingle", "id"])
 
     alone = sets.mapInArrow(run, "shingle long, id long").groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id"))
