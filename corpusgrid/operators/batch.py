@@ -23,6 +23,21 @@ def counts(inputs: DataFrame) -> DataFrame:
     return inputs.agg(F.count(F.lit(1)).alias("inputs"), F.count_distinct("document_id").alias("documents"), F.count("duplicate_of").alias("duplicates"))
 
 
+def statuses(inputs: DataFrame, documents: DataFrame) -> DataFrame:
+    """Inputs with `status`: duplicate if they have a duplicate_of, else that of their document (document_id unique), pending without one."""
+    known = documents.select("document_id", F.col("status").alias("__status"))
+    status = F.when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise(F.coalesce("__status", F.lit("pending")))
+    return inputs.join(known, "document_id", "left").withColumn("status", status).drop("__status")
+
+
+def outcome(inputs: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row: the six counts of a batch (of inputs and documents with `status`) and its status, completed_with_errors if a document failed."""
+    of = lambda s: F.count_if(F.coalesce(F.col("status") == s, F.lit(False)))
+    one = inputs.agg(F.count(F.lit(1)).alias("inputs"), of("duplicate").alias("duplicates"), of("skipped").alias("skipped"))
+    two = documents.agg(F.count(F.lit(1)).alias("documents"), of("completed").alias("completed"), of("failed").alias("failed"))
+    return one.join(F.broadcast(two)).withColumn("status", F.when(F.col("failed") > 0, "completed_with_errors").otherwise("completed"))
+
+
 def aliases(inputs: DataFrame, name: Column, order: str) -> DataFrame:
     """Inputs with `alias`: the name, from its second occurrence on with its number."""
     n = F.row_number().over(Window.partitionBy(name).orderBy(order))

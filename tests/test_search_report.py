@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgrid.operators import index, report, search
+from corpusgrid.operators import batch, index, report, search
 
 PASSAGES = [
     ("p1", "a.pdf", "Results", "The effect was large (p < 0.05) and p < 0.051 elsewhere."),
@@ -111,3 +111,12 @@ def test_segments(spark):
     pages = spark.createDataFrame([("a", 1, "one\n two\n\nSome Heading\nthree\nfour."), ("b", 1, None)], "source_file string, page_number int, text string")
     got = report.segments(pages, ["source_file", "page_number"]).orderBy("source_file", "segment").collect()
     assert [(r.source_file, r.segment, r.text) for r in got] == [("a", 1, "one two"), ("a", 2, "Some Heading"), ("a", 3, "three four.")]
+
+
+def test_batch_outcome(spark):
+    inputs = spark.createDataFrame([("i1", "a", None), ("i2", "a", "i1"), ("i3", "b", None), ("i4", "c", None)], "input_id string, document_id string, duplicate_of string")
+    documents = spark.createDataFrame([("a", "completed"), ("b", "failed")], "document_id string, status string")
+    rows = batch.statuses(inputs, documents)
+    assert {r.input_id: r.status for r in rows.collect()} == {"i1": "completed", "i2": "duplicate", "i3": "failed", "i4": "pending"}
+    assert batch.outcome(rows, documents).first().asDict() == {"inputs": 4, "duplicates": 1, "skipped": 0, "documents": 2, "completed": 1, "failed": 1, "status": "completed_with_errors"}
+    assert batch.outcome(rows.limit(0), documents.limit(0)).first().status == "completed"
