@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusgrid.plans import papers, retrieval
+from corpusgrid.plans import papers, retrieval, workflows
 
-QUERIES = retrieval.QUERIES | papers.QUERIES
-ORACLE = retrieval.ORACLE | papers.ORACLE
+QUERIES = retrieval.QUERIES | papers.QUERIES | workflows.QUERIES
+ORACLE = retrieval.ORACLE | papers.ORACLE | workflows.ORACLE
