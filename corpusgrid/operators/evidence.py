@@ -56,8 +56,9 @@ def answers(checked: DataFrame) -> DataFrame:
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in the given order."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+    """The first row of each key in the given order, nulls first; of equal ones any. A map-side minimum: a key that most rows share is no hot task."""
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("__row"))
+    return first.select("__row.*")
 
 
 def contract(items: Column, most: int, longest: int) -> Column:
