@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusgrid.llm import chat, exact_dedup, html_extract, licenses, mixing, near_dedup, packing, quality, substring_dedup, token_files
+from corpusgrid.llm import chat, exact_dedup, html_extract, licenses, mixing, near_dedup, packing, quality, run_detection, substring_dedup, token_files
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_token_files": token_files.query,
+    "op13_run_detection": run_detection.query,
 }
 ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE}
