@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusgrid.llm import chat, conversation_trie, exact_dedup, html_extract, licenses, mixing, near_dedup, packing, quality, run_detection, substring_dedup, token_files
+from corpusgrid.llm import chat, conversation_trie, exact_dedup, html_extract, licenses, mixing, near_dedup, packing, quality, run_detection, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_token_files": token_files.query,
+    "op11_url_filter": url_filter.query,
     "op12_conversation_trie": conversation_trie.query,
     "op13_run_detection": run_detection.query,
 }
