@@ -25,17 +25,18 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """`many` joined with `one`, which has one row for each key; keys must not be null.
 
     A key with more than a quarter of a task's fair share of the rows of `many` is dealt over several runs, and its row of
     `one` is repeated for each. There are fewer than 4 x partitions such keys, by counting, so their list goes through the driver and is broadcast. `many` is
-    read more than once: it should be a table.
+    read more than once: it should be a table, or `counted` one that has its rows' keys.
     """
+    table = many if counted is None else counted
     bound = 4 * partitions(many)
-    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > LEAST_SHARE)
+    counts = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > LEAST_SHARE)
     top = counts.orderBy(F.desc("__rows")).limit(bound).collect()
-    share = max(LEAST_SHARE, many.count() // bound) if top else 0
+    share = max(LEAST_SHARE, table.count() // bound) if top else 0
     hot = [(*r[:-1], -(-r[-1] // share)) for r in top if r[-1] > share]
     if not hot:
         return many.join(one, keys, how)

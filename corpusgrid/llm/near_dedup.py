@@ -76,7 +76,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def nodes(docs: DataFrame, trees: int, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), print (16 bytes that stand for the set; null if empty), keys (all trees' keys in a row), sketch (16 bytes)."""
+    """id, digest (of the text), n (set size), print (16 bytes that stand for the set; null if empty), keys (all trees' keys in a row), sketch (16 bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,9 +97,10 @@ def nodes(docs: DataFrame, trees: int, depth: int, id_col: str, text_col: str) -
                     bits = np.packbits((sig[:, :SKETCH] >> np.uint32(7) & np.uint32(1)).astype(np.uint8), axis=1)
                     for i, d in enumerate(some):
                         prints[d], keys[d], sketch[d] = pair[i].tobytes(), tree[i].tobytes(), bits[i].tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), *(pa.array(x, pa.binary()) for x in (prints, keys, sketch))], names=["id", "n", "print", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(size), *(pa.array(x, pa.binary()) for x in (prints, keys, sketch))], names=["id", "digest", "n", "print", "keys", "sketch"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, n long, print binary, keys binary, sketch binary")
+    rows = _texts(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
+    return rows.mapInArrow(run, "id long, digest long, n long, print binary, keys binary, sketch binary")
 
 
 def regions(tree: np.ndarray, keys: np.ndarray, least: int, region: int) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +251,7 @@ def compare(alone: bool, mine: np.ndarray, ids: np.ndarray, root: np.ndarray, n:
     return np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
 
 
-def across(members: DataFrame, roots: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
+def across(members: DataFrame, roots: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, block: int = BLOCK, places: DataFrame | None = None) -> DataFrame:
     """a < b: links that join the components of all of a region's members that are linked with one another.
 
     Regions are cut into blocks of about `block` members or BLOCK_SHINGLES shingles by a hash of the id; every two blocks of a region, and each
@@ -262,7 +263,7 @@ def across(members: DataFrame, roots: DataFrame, docs: DataFrame, percent: int,
     own = materialise(salted_join(own, mixed(own), region).drop("blocks"), "mixed-regions")
     if own.isEmpty():
         return own.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    sets = materialise(linkable(shingle_sets(docs, own.select("id").distinct(), id_col, text_col), percent), "linkable")
+    sets = materialise(linkable(shingle_sets(docs, own.select("id").distinct(), id_col, text_col, places), percent), "linkable")
     own = materialise(own.join(sets.select("id"), "id"), "linkable-members")
     own = materialise(salted_join(own, mixed(own, block), region), "mixed-regions").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
     own = own.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -301,8 +302,8 @@ def across(members: DataFrame, roots: DataFrame, docs: DataFrame, percent: int,
     return own.mapInArrow(run, "a long, b long").distinct()
 
 
-def shingle_sets(docs: DataFrame, used: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, set (its shingles in order) of the rows whose id is in `used`."""
+def shingle_sets(docs: DataFrame, used: DataFrame, id_col: str, text_col: str, places: DataFrame | None = None) -> DataFrame:
+    """id, set (its shingles in order) of the rows whose id is in `used`. With `places` (id, doc, digest) an id stands for the text of that digest of row `doc`."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,12 +313,19 @@ def shingle_sets(docs: DataFrame, used: DataFrame, id_col: str, text_col: str) -
                 binary = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer(values)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), binary], names=["id", "set"])
 
-    few = used.limit(FEW + 1).count() <= FEW  # then the texts need no exchange
-    own = _texts(docs, id_col, text_col).join(used.hint("broadcast" if few else "merge"), "id", "left_semi").mapInArrow(sets, "id long, set binary")
-    return materialise(own, "shingle-sets")
+    used = materialise(used, "used")
+    number = used.count()
+    hint = "broadcast" if number <= FEW else "merge"  # few: the texts need no exchange
+    if places is None:
+        own = _texts(docs, id_col, text_col).join(used.hint(hint), "id", "left_semi")
+    else:
+        wanted = used.join(places, "id").hint(hint)
+        own = _texts(docs, id_col, text_col).select(F.col("id").alias("doc"), F.xxhash64("text").alias("digest"), "text").join(wanted, ["doc", "digest"]).select("id", "text")
+    own = materialise(own.mapInArrow(sets, "id long, set binary"), "shingle-sets")
+    return own if own.count() == number else own.dropDuplicates(["id"])  # repeated rows
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, places: DataFrame | None = None) -> DataFrame:
     """Those of the pairs with 100 * intersection >= percent * union of their full sets."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,9 +344,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = shingle_sets(docs, used, id_col, text_col)
+    own = shingle_sets(docs, used, id_col, text_col, places)
     joined = salted_join(pairs, own.select(F.col("id").alias("a"), F.col("set").alias("one")), ["a"])
-    joined = joined.join(own.select(F.col("id").alias("b"), F.col("set").alias("two")), "b")
+    joined = salted_join(joined, own.select(F.col("id").alias("b"), F.col("set").alias("two")), ["b"], counted=pairs)
     return joined.select("a", "b", "one", "two").mapInArrow(check, "a long, b long")
 
 
@@ -370,25 +378,28 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, trees: int = TREES, dept
 
     Null or empty text: an empty set, linked with nothing. A null id links with nothing and has a null component_id and
     kept true. Ids are integers and should name one document each: rows of one id and text get equal results, and where the texts differ
-    each row gets a component of its own text. The call runs the jobs up to the components.
+    each row gets the component of its own text. `text_digest` (xxhash64 of the text) tells such rows apart. The call runs the jobs up to the components.
     """
     own = materialise(nodes(docs, trees, depth, id_col, text_col), "signatures")
     some = own.where("print is not null and id is not null")
     # one node for each distinct set; sums and minima are formed before the shuffle, whatever the number of copies
-    groups = some.groupBy("print").agg(F.min(F.struct("id", "n", "keys", "sketch")).alias("first"))
-    groups = materialise(groups.select("print", "first.id", "first.n", "first.keys", "first.sketch"), "nodes")
+    groups = some.groupBy("print").agg(F.min(F.struct("id", "digest", "n", "keys", "sketch")).alias("first"))
+    groups = materialise(groups.select(F.monotonically_increasing_id().alias("id"), "print", F.col("first.id").alias("doc"), "first.digest", "first.n", "first.keys", "first.sketch"), "nodes")
+    places = groups.select("id", "doc", "digest")
     pairs, members = candidates(groups.select("id", "n", "keys", "sketch"), trees, depth, least, region, percent, held)
-    links = materialise(confirmed(materialise(pairs, "pairs"), docs, percent, id_col, text_col), "confirmed")
+    links = materialise(confirmed(materialise(pairs, "pairs"), docs, percent, id_col, text_col, places), "confirmed")
     roots = components(links)
-    links = materialise(across(members, roots, docs, percent, id_col, text_col), "links-across")
+    links = materialise(across(members, roots, docs, percent, id_col, text_col, places=places), "links-across")
     if not links.isEmpty():
         roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    named = groups.select("print", F.col("id").alias("node")).join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component"))
-    out = salted_join(some.select("id", "n", "print"), named, ["print"]).select("id", "n", "component")
-    empty = own.where("print is null or id is null").select("id", "n", F.col("id").alias("component"))
+    named = materialise(groups.select("print", "doc", F.col("id").alias("node")).join(roots, "node", "left").select("print", "doc", F.coalesce("root", "node").alias("root")), "roots")
+    lowest = named.groupBy("root").agg(F.min("doc").alias("component"))  # the smallest document of a component
+    named = salted_join(named, lowest, ["root"]).select("print", "component")
+    out = salted_join(some.select("id", "digest", "n", "print"), named, ["print"]).select("id", "digest", "n", "component")
+    empty = own.where("print is null or id is null").select("id", "digest", "n", F.col("id").alias("component"))
     out = out.unionByName(empty)
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"), F.col("digest").alias("text_digest"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_digest")

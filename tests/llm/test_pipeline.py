@@ -48,6 +48,26 @@ def test_odd_rows(spark, sf):
     assert P.STAGES[-1][1](spark, odd, sf).count() > 0
 
 
+def test_rows_that_share_an_id(spark, sf):
+    """Only the near copy goes, whatever shares its id."""
+    words = [f"word{i}" for i in range(60)]
+    a, near_a, b = " ".join(words), " ".join([*words, "more"]), " ".join(f"other{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, a, "s", "x"), (5, near_a, "s", "y"), (5, b, "s", "z"), (7, "short text", "s", None), (None, near_a, "s", "n")], "doc_id long, text string, source string, component_id string")
+    docs = materialise(docs, "t-shared")
+    got = P.near(spark, docs, sf).collect()
+    assert sorted(tuple(r) for r in got if r.doc_id) == [(1, a, "s", "x"), (5, b, "s", "z"), (7, "short text", "s", None)] and len(got) == 4
+
+
+def test_clashing_columns_keep_their_values(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = materialise(docs.selectExpr("*", "doc_id + 1 kept", "'k' keep_id", "doc_id * 3 mix_slot", "'x' component_id", "array(doc_id) n_words", "doc_id text_digest", "7 id"), "t-clash")
+    for _, stage in P.STAGES[:-1]:
+        out = materialise(stage(spark, odd, sf), "t-clash")
+        assert out.columns == odd.columns and out.dtypes == odd.dtypes and 0 < out.count() <= odd.count()
+        assert out.where("kept <> doc_id + 1 or keep_id <> 'k' or mix_slot <> doc_id * 3 or component_id <> 'x' or n_words[0] <> doc_id or text_digest <> doc_id or id <> 7").count() == 0
+        odd = out
+
+
 def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
