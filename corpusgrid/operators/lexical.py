@@ -1,7 +1,7 @@
-"""Inverted index and lexical search, for many queries in one job.
+"""Lexical search, for many queries in one job: ranked, all terms, phrases, substrings.
 
-The index is a postings table (term, document, frequency) with document lengths; queries are a table too, so a batch of
-queries shares one scan. Only the query terms are broadcast, and only while their number stays below a bound; beyond it the join shuffles.
+Queries are a table, so a batch of them shares one scan of the texts. The ranked, all-term and phrase searches invert the texts as they stream by and keep the postings of the query terms
+(`inverted`); `stored` keeps an index between searches. Substrings go through one automaton for all patterns.
 """
 
 from __future__ import annotations
@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.functions import text as X
+from corpusgrid.operators import automaton, inverted
 from corpusgrid.session import materialise
 
-K1, B, FLOOR = 1.2, 0.75, 1e-6
-BROADCAST_TERMS = 200_000
+K1, B, FLOOR = inverted.K1, inverted.B, inverted.FLOOR
+BROADCAST_TERMS = inverted.BROADCAST_ROWS
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """qid, term, qtf: repeated terms of a query count as often as they stand in it."""
-    return queries.select(F.col(id_col).alias("qid"), F.explode(X.tokens(F.col(text_col))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    return inverted.query_terms(queries, id_col, text_col).drop("places")
 
 
 def _small(terms: DataFrame, bound: int = BROADCAST_TERMS) -> DataFrame:
@@ -26,11 +27,10 @@ def _small(terms: DataFrame, bound: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(terms) if terms.limit(bound + 1).count() <= bound else terms
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """term, doc, tf, dl."""
-    rows = docs.select(F.col(id_col).alias("doc"), X.tokens(F.col(text_col)).alias("ts"))
-    rows = rows.select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    return rows.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def _found(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, positions: bool) -> tuple[DataFrame, DataFrame]:
+    """(postings of the query terms, query terms), each as a table; one scan of the texts."""
+    terms = materialise(inverted.query_terms(queries, query_id), "query-terms")
+    return materialise(inverted.wanted(inverted.inverted(inverted.placed(docs, doc_id), positions), terms), "postings"), terms
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, doc_id: str = "doc_id", query_id: str = "item_id") -> DataFrame:
@@ -38,65 +38,28 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, doc_id: str =
 
     idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; a document's length counts tokens; N counts all documents.
     """
-    terms = materialise(query_terms(queries, query_id, "text"), "query-terms")
-    wanted = terms.select("term").distinct()
-    n_terms = wanted.count()
-    small = (lambda df: F.broadcast(df)) if n_terms <= BROADCAST_TERMS else (lambda df: df)  # their number alone decides
-    # one scan of the texts: the postings of the query terms, and one of the empty term for each document
-    every = wanted.unionByName(docs.sparkSession.createDataFrame([("",)], wanted.schema))
-    rows = docs.select(F.col(doc_id).alias("doc"), X.tokens(F.col("text")).alias("ts"))
-    rows = rows.select("doc", F.size("ts").alias("dl"), F.explode(F.array_append("ts", F.lit(""))).alias("term")).join(small(every), "term")
-    found = materialise(rows.groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    stats = found.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
-    found = found.where("term <> ''")
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = df.join(F.broadcast(stats)).select("term", "avgdl", F.when(idf <= 0, FLOOR).otherwise(idf).alias("idf"))
-    weights = terms.join(df, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.join(small(weights), "term").groupBy("qid", "doc").agg(F.round(-F.sum(part), 6).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("score", "doc")))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    return inverted.bm25(*_found(docs, queries, doc_id, query_id, positions=False), k)
 
 
 def all_terms(docs: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """qid, doc, rank: documents that have every term of the query, in storage order, `limit` at most."""
-    terms = query_terms(queries, "qid", "text")
-    sizes = terms.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    rows = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    hits = rows.join(_small(terms), "term").groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("hit")).join(F.broadcast(sizes), "qid").where("hit = n")
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc"))).where(F.col("rank") <= limit).select("qid", "doc", "rank")
+    """qid, doc, rank: documents that have every term of the query, by id, `limit` at most."""
+    hits = inverted.containing_all(*_found(docs, queries, "doc_id", "qid", positions=False))
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc"))).where(F.col("rank") <= limit)
 
 
-def phrase(docs: DataFrame, queries: DataFrame, words: int) -> DataFrame:
-    """qid, doc, times: documents where the query's tokens, `words` of them, stand side by side."""
-    ts = F.col("ts")
-    shingles = docs.select(F.col("doc_id").alias("doc"), X.tokens(F.col("text")).alias("ts")).where(F.size("ts") >= words)
-    shingles = shingles.select("doc", F.explode(F.transform(F.sequence(F.lit(1), F.size(ts) - words + 1), lambda i: F.array_join(F.slice(ts, i, words), " "))).alias("p"))
-    wanted = queries.select("qid", F.array_join(X.tokens(F.col("text")), " ").alias("p"))
-    return shingles.join(_small(wanted), "p").groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("times"))
+def phrase(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, doc, times: documents where the query's tokens stand side by side."""
+    return inverted.containing_phrase(*_found(docs, queries, "doc_id", "qid", positions=True))
 
 
-def substrings(docs: DataFrame, queries: DataFrame, every: bool, bound: int = 10_000) -> DataFrame:
-    """qid, doc, coverage, times, phrase, length: case-blind containment of the query's terms, all of them (`every`) or any.
-
-    Containment has no equi-join key: the queries, a stated set of at most `bound` rows, go along with the scan as one array.
-    """
-    rows = queries.select("qid", F.lower("text").alias("q"), F.array_distinct(F.split(F.lower("text"), " ")).alias("terms"))
-    if rows.limit(bound + 1).count() > bound:
-        raise ValueError(f"more than {bound} queries: run them in blocks")
-    packed = rows.agg(F.collect_list(F.struct("qid", "q", "terms")).alias("qs"))
-    pairs = docs.select(F.col("doc_id").alias("doc"), F.lower(F.coalesce("text", F.lit(""))).alias("t")).join(F.broadcast(packed)).select("doc", "t", F.explode("qs").alias("x"))
-    hit = F.filter("x.terms", lambda w: F.contains(F.col("t"), w))
-    pairs = pairs.withColumn("hit", hit).where((F.size("hit") == F.size("x.terms")) if every else (F.size("hit") > 0))
-    times = F.aggregate("hit", F.lit(0).cast("long"), lambda acc, w: acc + X.occurrences(F.col("t"), w))
-    return pairs.select("x.qid", "doc", F.size("hit").cast("long").alias("coverage"), times.alias("times"), F.contains("t", F.col("x.q")).cast("int").cast("long").alias("phrase"), F.length("t").cast("long").alias("length"))
+def substrings(docs: DataFrame, queries: DataFrame, every: bool) -> DataFrame:
+    """qid, doc, coverage, times, phrase, length: case-blind containment of the query's words, all of them (`every`) or any; any number of queries."""
+    return automaton.substrings(docs, queries, every)
 
 
 def fallback(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """qid, doc, rank by phrase, coverage, occurrences, shortness and id: the search without an index."""
-    order = Window.partitionBy("qid").orderBy(F.desc("phrase"), F.desc("coverage"), F.desc("times"), "length", "doc")
-    return substrings(docs, queries, every=False).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "doc", "rank")
+    return automaton.best_substrings(docs, queries, k)
 
 
 def statistical(pages: DataFrame, query: str) -> DataFrame:

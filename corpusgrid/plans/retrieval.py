@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.functions import text as X
-from corpusgrid.operators import answers, evidence, lexical, vector
+from corpusgrid.operators import answers, automaton, evidence, lexical, vector
+from corpusgrid.operators.hybrid import hybrid_search
+from corpusgrid.operators.stored import StoredIndex
+from corpusgrid.session import materialise, shared_dir
 
 TOKENS = r"regexp_extract_all(strip_accents(lower(coalesce({0}, ''))), '[\p{{L}}\p{{N}}]+')"
 
@@ -15,35 +20,88 @@ def table(spark, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def short_queries(spark, sf: str, words: int) -> DataFrame:
-    """qid, text: the first tokens of each benchmark item, as a query."""
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(X.tokens(F.col("text")), 1, words), " ").alias("text"))
+def items(spark, sf: str) -> DataFrame:
+    """qid, text: the tokens of each benchmark item, as a query."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(X.tokens(F.col("text")), " ").alias("text"))
 
 
 def bm25(spark, sf):
     return lexical.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select("qid", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 
-BM25 = f"""
+BM25_OF = f"""
 d as (select doc_id, {TOKENS.format('text')} t from documents),
 l as (select doc_id, len(t) dl from d), st as (select count(*) n, avg(dl) av from l),
-q as (select qid, w, count(*) qtf from (select item_id qid, unnest({TOKENS.format('text')}) w from benchmark) group by 1, 2),
+q as (select qid, w, count(*) qtf from (select qid, unnest({TOKENS.format('text')}) w from asked) group by 1, 2),
 tf as (select doc_id, w, count(*) tf from (select doc_id, unnest(t) w from d) where w in (select w from q) group by 1, 2),
 df as (select w, count(*) df from tf group by 1),
 idf as (select w, case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end idf from df, st),
 sc as (select qid, doc_id doc, round(-sum(qtf * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 6) score
        from q join tf using (w) join idf using (w) join l using (doc_id), st group by 1, 2),
-bm as (select * from (select *, row_number() over (partition by qid order by score, doc) rank from sc) where rank <= 10)
+bm as (select * from (select *, row_number() over (partition by qid order by score, doc) rank from sc) where rank <= top_k)
+"""
+BM25 = "asked as (select item_id qid, text from benchmark)," + BM25_OF.replace("top_k", "10")
+
+
+def stored(spark, sf) -> StoredIndex:
+    """An index of all documents in a folder of its own."""
+    index = StoredIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.upsert(table(spark, sf, "documents"))
+    return index
+
+
+def stored_search(spark, sf):
+    return stored(spark, sf).search(items(spark, sf)).select("qid", "doc", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def stored_phrases(spark, sf):
+    return stored(spark, sf).phrases(items(spark, sf))
+
+
+def changed(docs: DataFrame) -> DataFrame:
+    """The first source after an edit: every third document says more, every seventh is gone."""
+    first = docs.agg(F.min("source").alias("s"))
+    own = docs.join(F.broadcast(first), F.col("source") == F.col("s")).drop("s").where("doc_id % 7 <> 0")
+    return own.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("revised edition of this document "), "text")).otherwise(F.col("text")))
+
+
+def updated(spark, sf) -> StoredIndex:
+    """The index after the edit of the first source and the removal of the last."""
+    docs = table(spark, sf, "documents")
+    index = stored(spark, sf)
+    index.upsert(changed(docs))
+    index.remove(docs.agg(F.max("source")).first()[0])
+    return index
+
+
+def updated_search(spark, sf):
+    more = items(spark, sf).withColumn("text", F.concat(F.lit("revised edition "), "text"))
+    return updated(spark, sf).search(more).select("qid", "doc", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def updated_state(spark, sf):
+    index = updated(spark, sf)
+    before = index.state()
+    index.compact()
+    return before.unionByName(index.state())
+
+
+UPDATED = """with docs2 as (select doc_id, case when source = a and doc_id % 3 = 0 then 'revised edition of this document ' || text else text end as text
+  from documents, (select min(source) a, max(source) z from documents) where source <> z and not (source = a and doc_id % 7 = 0)),
 """
+UPDATED_SEARCH = UPDATED + "asked as (select item_id qid, 'revised edition ' || text as text from benchmark)," + BM25_OF.replace("top_k", "10").replace("from documents", "from docs2") + " select qid, doc, score, rank from bm"
+UPDATED_STATE = UPDATED + f"""t as (select doc_id, {TOKENS.format('text')} t from docs2), w as (select doc_id, unnest(t) w from t),
+s as (select (select count(*) from t) documents, (select count(*) from w) tokens, (select count(distinct w) from w) terms, (select count(*) from (select distinct doc_id, w from w)) entries)
+select 3 as version, 2 as segments, * from s union all select 4, 1, * from s"""
 
 
 def and_search(spark, sf):
-    out = lexical.all_terms(table(spark, sf, "documents"), short_queries(spark, sf, 3))
+    out = lexical.all_terms(table(spark, sf, "documents"), items(spark, sf))
     return out.select("qid", "doc", F.col("rank").cast("long").alias("rank"))
 
 
-SHORT = "q as (select item_id qid, list_aggregate(list_slice({0}, 1, {1}), 'string_agg', ' ') as text from benchmark)"
-AND = f"""with {SHORT.format(TOKENS.format('text'), 3)},
+ITEMS = "q as (select item_id qid, array_to_string({0}, ' ') as text from benchmark)".format(TOKENS.format("text"))
+AND = f"""with {ITEMS},
 qt as (select distinct qid, unnest(string_split(text, ' ')) w from q), n as (select qid, count(*) n from qt group by 1),
 dt as (select distinct doc_id doc, unnest({TOKENS.format('text')}) w from documents),
 h as (select qid, doc from (select qid, doc, count(*) c from dt join qt using (w) group by 1, 2) join n using (qid) where c = n)
@@ -51,24 +109,22 @@ select * from (select qid, doc, row_number() over (partition by qid order by doc
 
 
 def phrase(spark, sf):
-    return lexical.phrase(table(spark, sf, "documents"), short_queries(spark, sf, 3), 3)
+    return lexical.phrase(table(spark, sf, "documents"), items(spark, sf))
 
 
-PHRASE = f"""with {SHORT.format(TOKENS.format('text'), 3)},
-d as (select doc_id doc, {TOKENS.format('text')} t from documents),
-s as (select doc, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) p from d where len(t) >= 3)
-select qid, doc, count(*) times from s join q on p = q.text group by 1, 2"""
+PHRASE = f"""with {ITEMS}, d as (select doc_id doc, ' ' || array_to_string({TOKENS.format('text')}, ' ') || ' ' t from documents)
+select qid, doc, (length(t) - length(replace(t, ' ' || q.text || ' ', ' '))) // (length(q.text) + 1) times from d join q on contains(t, ' ' || q.text || ' ')"""
 
 
 def like_and(spark, sf):
-    return lexical.substrings(table(spark, sf, "documents"), short_queries(spark, sf, 4), every=True).select("qid", "doc", "times", "phrase")
+    return lexical.substrings(table(spark, sf, "documents"), items(spark, sf), every=True).select("qid", "doc", "times", "phrase")
 
 
 def fallback(spark, sf):
-    return lexical.fallback(table(spark, sf, "documents"), short_queries(spark, sf, 4)).select("qid", "doc", F.col("rank").cast("long").alias("rank"))
+    return lexical.fallback(table(spark, sf, "documents"), items(spark, sf)).select("qid", "doc", F.col("rank").cast("long").alias("rank"))
 
 
-CONTAINS = f"""with {SHORT.format(TOKENS.format('text'), 4)},
+CONTAINS = f"""with {ITEMS},
 qs as (select qid, lower(text) q, list_distinct(string_split(lower(text), ' ')) ts from q),
 p as (select qid, q, ts, doc_id doc, lower(coalesce(text, '')) t from documents, qs),
 h as (select *, list_filter(ts, lambda w: contains(t, w)) hit from p),
@@ -79,20 +135,45 @@ LIKE_AND = CONTAINS + "select qid, doc, times, phrase from c where coverage = n"
 FALLBACK = CONTAINS + "select qid, doc, rank from (select qid, doc, row_number() over (partition by qid order by phrase desc, coverage desc, times desc, length, doc) rank from c) where rank <= 10"
 
 
+def audit(spark, sf):
+    """Every document as a payload that must not hold a benchmark item, a path, a key or words of the store."""
+    payloads = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    sentinels = table(spark, sf, "benchmark").select(F.col("item_id").alias("name"), "text")
+    return automaton.payload_audit(payloads, sentinels, ["sk-"]).withColumn("forbidden", F.array_join("forbidden", ","))
+
+
+AUDIT = """with d as (select doc_id id, coalesce(text, '') t from documents), f as (select id, string_agg(item_id::varchar, ',' order by item_id::varchar) forbidden from d join benchmark on contains(t, text) group by 1)
+select id, length(t) input_chars, coalesce(forbidden, '') forbidden, not (contains(t, 'C:\\Users\\') or contains(t, 'C:/Users/') or contains(t, '/home/') or contains(t, '/Users/')) absolute_path_absent, not contains(t, 'sk-') api_key_absent,
+not contains(lower(t), 'sqlite') sqlite_absent, not contains(lower(t), 'manifest') manifest_absent from d left join f using (id)"""
+
+
 def _queries(vectors):
     return vectors.where("vec_id % 50 = 0")
 
 
-def cosine(spark, sf, k: int = 10, dims: int = 64):
+def cosine(spark, sf, k: int = 10):
     v = table(spark, sf, "embeddings")
-    v = v if dims == 64 else v.withColumn("embedding", F.slice("embedding", 1, dims))
     return vector.cosine_topk(v, _queries(v), k).select("qid", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-COSINE = """{name} as (select * from (select q.vec_id qid, v.vec_id vec_id, round(list_cosine_similarity(list_slice(v.embedding, 1, {dims})::double[], list_slice(q.embedding, 1, {dims})::double[]), 6) score,
-  row_number() over (partition by q.vec_id order by round(list_cosine_similarity(list_slice(v.embedding, 1, {dims})::double[], list_slice(q.embedding, 1, {dims})::double[]), 6) desc, v.vec_id) rank
+COSINE = """{name} as (select * from (select q.vec_id qid, v.vec_id vec_id, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 6) score,
+  row_number() over (partition by q.vec_id order by round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 6) desc, v.vec_id) rank
   from embeddings v, embeddings q where q.vec_id % 50 = 0) where rank <= {k})"""
-TWO = "with " + COSINE.format(name="a", dims=64, k=20) + ", " + COSINE.format(name="b", dims=32, k=20)
+
+
+def asking(spark, sf) -> DataFrame:
+    """qid, text, embedding: the whole texts and vectors of the documents that ask."""
+    own = _queries(table(spark, sf, "embeddings")).select(F.col("vec_id").alias("qid"), "embedding")
+    return own.join(table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), "text"), "qid")
+
+
+def by_words(spark, sf, k: int) -> DataFrame:
+    """qid, vec_id, rank: BM25 over the documents that have a vector; ids of documents and vectors are the same."""
+    return lexical.bm25(table(spark, sf, "documents"), asking(spark, sf), k, query_id="qid").select("qid", F.col("doc").alias("vec_id"), "rank")
+
+
+ASKING = "asked as (select vec_id qid, text from embeddings join documents on doc_id = vec_id where vec_id % 50 = 0),"
+TWO = "with " + ASKING + BM25_OF.replace("top_k", "20") + ", a as (select qid, doc vec_id, rank from bm), " + COSINE.format(name="b", k=20)
 FUSED = """, u as (select qid, vec_id, rank, 'lexical' f from a union all select qid, vec_id, rank, 'semantic' from b),
 g as (select qid, vec_id, round(sum(1.0::double / (60 + rank)), 9) fused_score, max(case when f = 'lexical' then rank end) lexical_rank, max(case when f = 'semantic' then rank end) semantic_rank, string_agg(distinct f, ',' order by f) sources from u {where} group by 1, 2),
 r as (select *, row_number() over (partition by qid order by fused_score desc, least(coalesce(lexical_rank, 1099511627776), coalesce(semantic_rank, 1099511627776)), coalesce(lexical_rank, 1099511627776), coalesce(semantic_rank, 1099511627776), vec_id) rank from g)
@@ -108,7 +189,7 @@ def same_label(pairs: DataFrame, v: DataFrame) -> DataFrame:
 
 
 def fused(spark, sf, allow: bool = False):
-    one, two, allowed = cosine(spark, sf, 20), cosine(spark, sf, 20, 32), None
+    one, two, allowed = materialise(by_words(spark, sf, 20), "by-words"), materialise(cosine(spark, sf, 20), "by-vectors"), None
     if allow:
         pairs = one.select("qid", "vec_id").unionByName(two.select("qid", "vec_id")).distinct()
         allowed = same_label(pairs, table(spark, sf, "embeddings"))
@@ -136,7 +217,7 @@ def rollup(spark, sf):
     return vector.summary(per.join(q, "qid"), "label")
 
 
-METRICS = "with " + COSINE.format(name="a", dims=64, k=11) + """,
+METRICS = "with " + COSINE.format(name="a", k=11) + """,
 r as (select a.qid, a.vec_id, row_number() over (partition by a.qid order by a.rank) rank, (x.label = y.label) rel from a join embeddings x on x.vec_id = a.qid join embeddings y on y.vec_id = a.vec_id where a.qid <> a.vec_id),
 n as (select label, count(*) - 1 n from embeddings group by 1),
 p as (select qid, min(case when rel then rank end) best, sum(case when rel then 1.0 / log2(rank + 1) else 0.0 end) dcg from r where rank <= 10 group by 1),
@@ -223,11 +304,23 @@ ANSWERED = PACK.join(["select qid, case when qid % 7 = 0 then 'validation_failed
 
 
 def hybrid(spark, sf):
-    """Full vectors as the lexical side, half vectors as the semantic side."""
-    return vector.hybrid(cosine(spark, sf, 30), cosine(spark, sf, 30, 32), ["qid", "vec_id"])[0].select("qid", "vec_id", "fused_score", "sources", F.col("rank").cast("long").alias("rank"))
+    """Documents that ask in the hybrid mode, but for every third, which asks for words alone, and every seventh, whose vector is unusable."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), F.col("source").alias("source_file"), F.coalesce("lang", F.lit("none")).alias("section"), "text")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("passage_id"), F.col("embedding").alias("vector"))
+    turn = F.col("qid").cast("long") % 350  # queries are multiples of 50
+    asked = asking(spark, sf).select("qid", F.col("text"), F.when(F.col("qid") % 150 == 0, "lexical").otherwise("hybrid").alias("mode"), F.when(turn != 0, F.col("embedding")).alias("vector"))
+    out = hybrid_search(docs, asked, vectors, "READY")
+    return out.select("qid", "passage_id", F.col("rank").cast("long").alias("rank"), "fused_score", F.col("lexical_rank").cast("long").alias("lexical_rank"), F.round("lexical_score", 3).alias("lexical_score"), F.col("semantic_rank").cast("long").alias("semantic_rank"), F.round("semantic_score", 5).alias("semantic_score"), "sources", "mode", "semantic_status", "warning")
 
 
-HYBRID = "select qid, vec_id, fused_score, sources, rank from (with " + COSINE.format(name="a", dims=64, k=30) + ", " + COSINE.format(name="b", dims=32, k=30) + FUSED.format(where="where exists (select 1 from a where a.qid = u.qid and a.vec_id = u.vec_id)") + ")"
+HYBRID = "with " + ASKING + BM25_OF.replace("top_k", "30") + ", " + COSINE.format(name="b0", k=1000000000) + """, ok as (select qid, case when qid % 150 = 0 then 'disabled' when qid % 350 = 0 then 'error' else 'available' end st from asked),
+a as (select qid, doc, score, rank from bm),
+b as (select * from (select qid, vec_id doc, score, row_number() over (partition by qid order by score desc, vec_id) rank from b0 join ok using (qid) join documents d on d.doc_id = vec_id where st = 'available') where rank <= 30),
+u as (select coalesce(a.qid, b.qid) qid, coalesce(a.doc, b.doc) passage_id, a.rank lexical_rank, a.score ls, b.rank semantic_rank, b.score ss from a full join b on a.qid = b.qid and a.doc = b.doc),
+f as (select u.*, st, case when st = 'available' then round(coalesce(1.0::double / (60 + lexical_rank), 0) + coalesce(1.0::double / (60 + semantic_rank), 0), 9) end fused_score from u join ok using (qid)),
+r as (select *, row_number() over (partition by qid order by fused_score desc nulls last, least(coalesce(lexical_rank, 1099511627776), coalesce(semantic_rank, 1099511627776)), coalesce(lexical_rank, 1099511627776), coalesce(semantic_rank, 1099511627776), passage_id) rank from f)
+select qid, passage_id, rank, fused_score, lexical_rank, round(ls, 3) lexical_score, semantic_rank, round(ss, 5) semantic_score, concat_ws(',', case when lexical_rank is not null then 'lexical' end, case when semantic_rank is not null then 'semantic' end) sources,
+case when st = 'available' then 'hybrid' else 'lexical' end as mode, st semantic_status, case when st = 'error' then 'the query has no usable vector: lexical results only' else '' end warning from r where rank <= 10"""
 
 
 def first_lines(spark, sf):
@@ -256,11 +349,11 @@ QUERIES = {
     "ret03_bm25_topk": bm25, "ret01_and_search": and_search, "ret06_phrase": phrase, "ret02_like_and": like_and, "ret05_fallback": fallback,
     "ret11_cosine_topk": cosine, "ret12_rrf": fused, "jon03_semi_allowed": lambda s, d: fused(s, d, True), "evl01_metrics": metrics, "evl02_rollup": rollup,
     "jon04_cache_missing": cache_missing, "ret07_normalise": normalised, "flt18_gate": gate, "qa02_pack_budget": pack, "qa07_claim_validation": claims, "qa01_terms": question_terms,
-    "ret13_hybrid": hybrid, "agg13_first_occurrence": first_lines, "qa08_answers": answered, "qa06_shapes": shapes,
+    "ret13_hybrid": hybrid, "flt19_payload_audit": audit, "ret04_stored_search": stored_search, "ret06_stored_phrases": stored_phrases, "snk07_index_update": updated_search, "snk07_index_state": updated_state, "agg13_first_occurrence": first_lines, "qa08_answers": answered, "qa06_shapes": shapes,
 }
 ORACLE = {
     "ret03_bm25_topk": f"with {BM25} select qid, doc, score, rank from bm", "ret01_and_search": AND, "ret06_phrase": PHRASE, "ret02_like_and": LIKE_AND, "ret05_fallback": FALLBACK,
-    "ret11_cosine_topk": "with " + COSINE.format(name="a", dims=64, k=10) + " select qid, vec_id, score, rank from a", "ret12_rrf": TWO + FUSED.format(where=""), "jon03_semi_allowed": TWO + FUSED.format(where=ALLOWED),
+    "ret11_cosine_topk": "with " + COSINE.format(name="a", k=10) + " select qid, vec_id, score, rank from a", "ret12_rrf": TWO + FUSED.format(where=""), "jon03_semi_allowed": TWO + FUSED.format(where=ALLOWED),
     "evl01_metrics": METRICS_ROWS, "evl02_rollup": ROLLUP, "jon04_cache_missing": CACHE, "ret07_normalise": NORMALISED, "qa02_pack_budget": PACK, "qa07_claim_validation": CLAIMS,
-    "ret13_hybrid": HYBRID, "agg13_first_occurrence": FIRST_LINES, "qa01_terms": TERMS, "flt18_gate": GATE, "qa08_answers": ANSWERED, "qa06_shapes": SHAPES,
+    "ret13_hybrid": HYBRID, "flt19_payload_audit": AUDIT, "ret04_stored_search": f"with {BM25} select qid, doc, score, rank from bm", "ret06_stored_phrases": PHRASE, "snk07_index_update": UPDATED_SEARCH, "snk07_index_state": UPDATED_STATE, "agg13_first_occurrence": FIRST_LINES, "qa01_terms": TERMS, "flt18_gate": GATE, "qa08_answers": ANSWERED, "qa06_shapes": SHAPES,
 }
