@@ -33,6 +33,7 @@ from corpusgrid.session import materialise
 TREES, DEPTH, LEAST, REGION, WORDS, PERCENT = 32, 5, 2, 8, 5, 75
 SKETCH, SKETCH_BITS = 128, 88  # of 128 bits, 112 agree on average at the threshold, and fewer than 88 once in 100 million pairs
 BLOCK, BLOCK_SHINGLES, FEW, HELD = 2048, 1 << 18, 500_000, 1 << 17
+TEXT_BYTES = 1 << 20  # of texts that are worked on at once: a slice takes about 80 times its size while its words are hashed
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -81,7 +82,7 @@ def nodes(docs: DataFrame, trees: int, depth: int, id_col: str, text_col: str) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts, 4 << 20):
+            for a, b in slices(texts, TEXT_BYTES):
                 values, starts = shingles(texts.slice(a, b - a))
                 size = np.diff(starts)
                 some = np.flatnonzero(size)
@@ -308,7 +309,7 @@ def shingle_sets(docs: DataFrame, used: DataFrame, id_col: str, text_col: str, p
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts, 4 << 20):
+            for a, b in slices(texts, TEXT_BYTES):
                 values, starts = shingles(texts.slice(a, b - a))
                 binary = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer(values)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), binary], names=["id", "set"])
