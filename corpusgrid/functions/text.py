@@ -57,6 +57,26 @@ def heading(line: Column) -> Column:
     return out
 
 
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_NUMBER, _MARKS = re.compile(r"^[ \t\n\x0b\f\r]*(?:[0-9]+(?:\.[0-9]+)*[.)、]?|[IVX]+[.)])[ \t\n\x0b\f\r]*"), re.compile(r"^[ #*\t]+|[ #*\t]+$")
+_EXCLUDED = tuple(name + c for name in EXCLUDED for c in " :")
+_KINDS = {name: kind for kind, names in SECTIONS.items() for name in names}
+
+
+def collapsed(text: str) -> str:
+    """`collapse` of a string, for use in Arrow functions."""
+    return _SPACE.sub(" ", text).strip(" ")
+
+
+def heading_of(line: str) -> str | None:
+    """`heading` of a string, for use in Arrow functions."""
+    bare = _MARKS.sub("", _NUMBER.sub("", line)).replace("’", "'").replace("‘", "'")
+    low = bare.lower()
+    if low in EXCLUDED or low.startswith(_EXCLUDED):
+        return "excluded"
+    return _KINDS.get(low) if len(bare) <= 80 else None
+
+
 def bounded(text: Column, limit: int | Column) -> Column:
     """Text of at most `limit` characters: its head and tail around a marker; below 32 its head alone."""
     limit = F.lit(limit) if isinstance(limit, int) else limit

@@ -1,15 +1,21 @@
 """Pages to lines, sections, paragraph units, passages and chunks.
 
-Everything but the greedy folds is windows within a document. The folds (a size limit that starts anew when it
-is passed) run as one `aggregate` expression over a document's ordered pieces, so they stay in the JVM too.
+Lines are classified within their page; a page gets the section that is open before it from a window over pages, not over lines. The greedy folds (a size limit that
+starts anew when it is passed) stream over sorted partitions (`folds`), so that no document has to fit into a task.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.functions import text as X
+from corpusgrid.operators import folds
+from corpusgrid.session import materialise
 
 KEY = "source_file"
 
@@ -27,24 +33,63 @@ def carried(lines: DataFrame) -> DataFrame:
     return lines.withColumn("section", F.last("kind", ignorenulls=True).over(so_far))
 
 
+PARTS = "source_file string, page_number long, part int, section string, title string, body string, paragraphs array<string>"
+
+
+def parts(pages: DataFrame) -> DataFrame:
+    """PARTS: the stretches of a page under one heading, with the heading's line (null for the section that the page begins in), the lines that are not blank and the paragraphs.
+
+    Two passes of Arrow functions over the pages, and between them one window over page rows for the section that is open before each. Stretches without heading and text are left out.
+    """
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [[X.collapsed(x) for x in re.split("\r\n|\r|\n", text or "")] for text in batch.column(2).to_pylist()]
+            kinds = [[X.heading_of(x) if x else None for x in page] for page in lines]
+            last = [next((k for k in reversed(page) if k), None) for page in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.string())), pa.array(last, pa.string())], names=["source_file", "page_number", "lines", "kinds", "last_kind"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in PARTS.split(", ")]
+        types = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+        for batch in batches:
+            out = []
+            for source, number, lines, kinds, section in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                found = [[section, None, [], []]]
+                paragraph: list[str] = []
+                for line, kind in zip([*lines, ""], [*kinds, None], strict=True):
+                    if (kind or not line) and paragraph:
+                        found[-1][3].append(" ".join(paragraph))
+                        paragraph = []
+                    if kind:
+                        found.append([kind, line, [], []])
+                    elif line:
+                        found[-1][2].append(line)
+                        paragraph.append(line)
+                out += [(source, number, i, sec, title, "\n".join(body), paragraphs) for i, (sec, title, body, paragraphs) in enumerate(found) if title or body]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    rows = pages.where("page_number > 0").select(F.col(KEY).cast("string").alias(KEY), F.col("page_number").cast("long").alias("page_number"), "text")
+    rows = rows.mapInArrow(classify, "source_file string, page_number long, lines array<string>, kinds array<string>, last_kind string")
+    before = Window.partitionBy(KEY).orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(KEY, "page_number", "lines", "kinds", F.last("last_kind", ignorenulls=True).over(before).alias("section")).mapInArrow(cut, PARTS)
+
+
 def sections(pages: DataFrame) -> DataFrame:
     """source_file, section, title, text, page_start, page_end: repeated headings add to one section; excluded text is left out."""
-    rows = carried(page_lines(pages)).where("section is not null and section <> 'excluded' and line <> ''")
-    at = F.struct("page_number", "line_no", "line")
-    body = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind").isNull(), at))), lambda x: x["line"])
-    title = F.min(F.when(F.col("kind").isNotNull(), at))["line"]
+    rows = parts(pages).where("section is not null and section <> 'excluded'")
+    at = lambda c: F.struct("page_number", "part", c)
+    body = F.transform(F.array_sort(F.collect_list(F.when(F.col("body") != "", at("body")))), lambda x: x["body"])
+    title = F.min(F.when(F.col("title").isNotNull(), at("title")))["title"]
     return rows.groupBy(KEY, "section").agg(title.alias("title"), F.array_join(body, "\n").alias("text"), F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"))
 
 
 def units(pages: DataFrame) -> DataFrame:
     """source_file, page_number, unit, section, text: paragraphs between blank lines, headings and page ends."""
-    rows = carried(page_lines(pages))
-    ends = (F.col("kind").isNotNull() | (F.col("line") == "")).cast("int")
-    in_page = Window.partitionBy(KEY, "page_number").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("unit", F.sum(ends).over(in_page)).where("kind is null and line <> ''")
+    rows = parts(pages).select(KEY, "page_number", "part", "section", F.posexplode("paragraphs").alias("n", "text"))
     label = F.when(F.col("section").isNull() | (F.col("section") == "excluded"), "Unknown").otherwise(F.initcap("section"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ")
-    return rows.groupBy(KEY, "page_number", "unit", label.alias("section")).agg(text.alias("text"))
+    return rows.select(KEY, "page_number", (F.col("part").cast("long") * (1 << 32) + F.col("n")).alias("unit"), label.alias("section"), "text")
 
 
 def cut_long(text: Column, size: int) -> Column:
@@ -70,20 +115,13 @@ def passages(pages: DataFrame, size: int = 1000) -> DataFrame:
     if size < 120:
         raise ValueError("passages under 120 characters cannot be read")
     pieces = units(pages).select(KEY, "page_number", "unit", "section", F.posexplode(cut_long(F.col("text"), size)).alias("n", "piece"))
-    whole = pieces.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("page_number", "unit", "n", "section", "piece"))).alias("ps"))
-    item = "struct<section:string,text:string,page_start:int,page_end:int>"
-
-    def add(acc: Column, p: Column) -> Column:
-        new = F.struct(p["section"].alias("section"), p["piece"].alias("text"), p["page_number"].cast("int").alias("page_start"), p["page_number"].cast("int").alias("page_end"))
-        top = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(top["section"].alias("section"), F.concat(top["text"], F.lit(" "), p["piece"]).alias("text"), top["page_start"].alias("page_start"), p["page_number"].cast("int").alias("page_end"))
-        fits = (F.size(acc) > 0) & (top["section"] == p["section"]) & (F.length(top["text"]) + F.length(p["piece"]) + 1 <= size)
-        return F.when(fits, F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), joined)).otherwise(F.array_append(acc, new))
-
-    out = whole.select(KEY, F.posexplode(F.aggregate("ps", F.array().cast(f"array<{item}>"), add)).alias("n", "p"))
-    out = out.select(KEY, "p.*", (F.col("n") + 1).alias("ordinal"))
+    order = ["page_number", "unit", "n"]
+    rows = folds.grouped(pieces, KEY, order, F.length("piece"), folds.Sums(size, 1), label=F.col("section"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "piece"))), lambda x: x["piece"]), " ")  # at most `size` characters
+    out = rows.groupBy(KEY, F.col("group").alias("ordinal")).agg(F.first("section").alias("section"), text.alias("text"), F.min("page_number").cast("int").alias("page_start"), F.max("page_number").cast("int").alias("page_end"))
+    out = out.withColumn("ordinal", F.col("ordinal").cast("int"))
     name = F.concat_ws("|", KEY, "section", "page_start", "page_end", "ordinal", "text")
-    return out.withColumn("passage_id", F.concat(F.lit("passage_"), F.substring(F.sha2(name, 256), 1, 24)))
+    return out.select(KEY, "section", "text", "page_start", "page_end", "ordinal", F.concat(F.lit("passage_"), F.substring(F.sha2(name, 256), 1, 24)).alias("passage_id"))
 
 
 def long_page_parts(pages: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -99,37 +137,21 @@ def long_page_parts(pages: DataFrame, size: int, overlap: int) -> DataFrame:
 
 def chunks(pages: DataFrame, size: int = 8000, overlap: int = 500) -> DataFrame:
     """source_file, chunk, text, page_start, page_end: pages joined while they fit; each next chunk begins with the last one's tail."""
-    tail = lambda t: F.right(t, F.lit(overlap))
     pieces = pages.where(F.trim("text") != "")
     step = size - overlap
     windows = F.when(F.length("text") <= size, F.array("text")).otherwise(F.transform(F.sequence(F.lit(0), F.ceil((F.length("text") - size) / step).cast("int")), lambda i: F.substring(F.col("text"), i * step + 1, F.lit(size))))
     pieces = pieces.select(KEY, "page_number", (F.length("text") > size).alias("long"), F.posexplode(windows).alias("n", "piece"))
-    whole = pieces.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("page_number", "n", "long", "piece"))).alias("ps"))
-    item = "array<struct<text:string,page_start:int,page_end:int,closed:boolean>>"
-
-    def add(acc: Column, p: Column) -> Column:
-        top, page = F.try_element_at(acc, F.lit(-1)), p["page_number"].cast("int")
-        some = F.size(acc) > 0
-        lead = F.when(some & (~p["long"] & ~top["closed"] | p["long"] & (p["n"] == 0)), F.concat(tail(top["text"]), F.lit("\n"))).otherwise(F.lit(""))
-        start = F.when(some & ~p["long"] & ~top["closed"], F.greatest(page - 1, F.lit(1))).otherwise(page)
-        new = F.struct(F.concat(lead, p["piece"]).alias("text"), start.alias("page_start"), page.alias("page_end"), p["long"].alias("closed"))
-        joined = F.struct(F.concat(top["text"], F.lit("\n"), p["piece"]).alias("text"), top["page_start"].alias("page_start"), page.alias("page_end"), F.lit(False).alias("closed"))
-        fits = some & ~p["long"] & ~top["closed"] & (F.length(top["text"]) + 1 + F.length(p["piece"]) <= size)
-        return F.when(fits, F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), joined)).otherwise(F.array_append(acc, new))
-
-    out = whole.select(KEY, F.posexplode(F.aggregate("ps", F.array().cast(item), add)).alias("n", "c"))
-    return out.select(KEY, (F.col("n") + 1).alias("chunk"), "c.text", "c.page_start", "c.page_end")
+    rows = folds.grouped(pieces, KEY, ["page_number", "n"], F.length("piece"), folds.Overlapping(size, overlap), long=F.col("long"), first=F.col("n") == 0)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "n", "piece"))), lambda x: x["piece"]), "\n")  # at most `size` characters
+    page = F.min("page_number").cast("int")
+    own = rows.groupBy(KEY, "group").agg(text.alias("text"), F.max("lead").alias("lead"), F.max("long").alias("long"), page.alias("page"), F.max("page_number").cast("int").alias("page_end"))
+    own = folds.overlaps(materialise(own, "chunks"), KEY, overlap)
+    start = F.when(F.col("lead") & ~F.col("long"), F.greatest(F.col("page") - 1, F.lit(1))).otherwise(F.col("page"))
+    whole = F.when(F.col("before").isNotNull(), F.concat("before", F.lit("\n"), "text")).otherwise(F.col("text"))
+    return own.select(KEY, F.col("group").cast("int").alias("chunk"), whole.alias("text"), start.alias("page_start"), "page_end")
 
 
 def budget_groups(items: DataFrame, key: str, order: str, size: Column, budget: int) -> DataFrame:
-    """`key`, order, group: items in order, a new group whenever the sum of sizes would pass the budget."""
-    whole = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), size.cast("long").alias("size")))).alias("xs"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("g"), F.array().cast("array<bigint>").alias("gs"))
-
-    def add(acc: Column, x: Column) -> Column:
-        over = (acc["n"] > 0) & (acc["sum"] + x["size"] > budget)
-        g = acc["g"] + over.cast("long")
-        return F.struct(F.when(over, x["size"]).otherwise(acc["sum"] + x["size"]).alias("sum"), F.when(over, F.lit(1).cast("long")).otherwise(acc["n"] + 1).alias("n"), g.alias("g"), F.array_append(acc["gs"], g).alias("gs"))
-
-    out = whole.select(key, "xs", F.aggregate("xs", start, add, lambda acc: acc["gs"]).alias("gs"))
-    return out.select(key, F.explode(F.arrays_zip(F.col("xs.at").alias("at"), "gs")).alias("z")).select(key, F.col("z.at").alias(order), F.col("z.gs").alias("group"))
+    """`key`, order, group: items in order, a new group (from 0) whenever the sum of sizes would pass the budget. Items without a key are left out."""
+    rows = items.where(F.col(key).isNotNull()).select(key, order, size.cast("long").alias("size"))
+    return folds.grouped(rows, key, [order], F.col("size"), folds.Sums(budget)).select(key, order, (F.col("group") - 1).alias("group"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.functions import text as X
-from corpusgrid.operators import batch, evidence, facts, mapreduce, structure, summary
+from corpusgrid.operators import batch, evidence, facts, mapreduce, quotes, structure, summary
 from corpusgrid.plans.retrieval import table
 
 PAGE = """case page_number % 4 when 1 then 'Introduction' when 2 then '2) Methods' when 3 then 'Results' else 'Funding' end || chr(10) ||
@@ -58,6 +58,47 @@ def chunks(spark, sf):
     return structure.chunks(pages(spark, sf), 400, 50)
 
 
+PASSAGES = "with recursive " + LINES + """, us as (select *, sum((kind is not null or line = '')::int) over (partition by source_file, page_number order by line_no rows unbounded preceding) u from cs),
+un as (select source_file, page_number, case when section is null or section = 'excluded' then 'Unknown' else upper(section[1]) || section[2:] end section, string_agg(line, ' ' order by line_no) as text, u from us where kind is null and line <> '' group by source_file, page_number, u, section),
+pc as (select *, row_number() over (partition by source_file order by page_number, u) i from un),
+r as (select source_file, i, 1 ordinal, section, text, page_number page_start, page_number page_end from pc where i = 1 union all
+  select p.source_file, p.i, case when f then r.ordinal else r.ordinal + 1 end, p.section, case when f then r.text || ' ' || p.text else p.text end, case when f then r.page_start else p.page_number end, p.page_number
+  from (select r.*, r.section = q.section and length(r.text) + 1 + length(q.text) <= 300 f from r join pc q on q.source_file = r.source_file and q.i = r.i + 1) r join pc p on p.source_file = r.source_file and p.i = r.i + 1),
+w as (select source_file, ordinal, arg_max(section, i) section, arg_max(text, i) as text, max(page_start) page_start, max(page_end) page_end from r group by 1, 2)
+select 'passage_' || sha256(concat_ws('|', source_file, section, page_start, page_end, ordinal, text))[1:24] passage_id, source_file, section, text, page_start::int page_start, page_end::int page_end, ordinal from w"""
+CHUNKS = "with recursive " + PAGES + """, pc as (select *, row_number() over (partition by source_file order by page_number) i from pages),
+r as (select source_file, i, 1 chunk, text, page_number page_start, page_number page_end from pc where i = 1 union all
+  select p.source_file, p.i, case when f then r.chunk else r.chunk + 1 end, case when f then r.text || chr(10) || p.text else right(r.text, 50) || chr(10) || p.text end, case when f then r.page_start else greatest(p.page_number - 1, 1) end, p.page_number
+  from (select r.*, length(r.text) + 1 + length(q.text) <= 400 f from r join pc q on q.source_file = r.source_file and q.i = r.i + 1) r join pc p on p.source_file = r.source_file and p.i = r.i + 1)
+select source_file, chunk, arg_max(text, i) as text, arg_max(page_start, i)::int page_start, max(page_end)::int page_end from r group by 1, 2"""
+
+
+def awkward(spark, sf) -> DataFrame:
+    """Documents as pages whose layout has changed: narrow no-break spaces, a broken word, words cut at line ends, or nothing, in turn."""
+    text, turn = F.col("text"), F.col("doc_id") % 4
+    changed = F.when(turn == 0, F.replace(text, F.lit(" "), F.lit("\u202f"))).when(turn == 1, F.replace(text, F.lit(" in "), F.lit(" i n "))).when(turn == 2, F.replace(text, F.lit("tion "), F.lit("ti-\non "))).otherwise(text)
+    return table(spark, sf, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("source_file"), F.lit(1).cast("long").alias("page_number"), changed.alias("text"), text.alias("shown"))
+
+
+def raw_quotes(spark, sf):
+    """Every line of a document is looked for in its changed page."""
+    p = awkward(spark, sf)
+    lines = p.select("source_file", "page_number", F.explode(F.split("shown", "\n")).alias("quote")).where("trim(quote) <> ''")
+    return quotes.raw_quotes(lines, p).select("source_file", F.sha2("quote", 256).alias("quote"), F.sha2("raw_quote", 256).alias("raw_quote"), "verified")
+
+
+RAW_QUOTES = """with l as (select distinct doc_id, unnest(string_split(text, chr(10))) q from documents)
+select 'doc-' || doc_id source_file, sha256(q) quote, sha256(case doc_id % 4 when 0 then replace(q, ' ', chr(8239)) when 1 then replace(q, ' in ', ' i n ') when 2 then replace(q, 'tion ', 'ti-' || chr(10) || 'on ') else q end) raw_quote, true verified from l where trim(q, ' ') <> ''"""
+
+
+def raw_facts(spark, sf):
+    """Facts of the pages, read from mended text, with the quote as the page has it: `participants` is cut at a line's end there."""
+    p = pages(spark, sf)
+    raw = p.withColumns({"shown": F.col("text"), "text": F.replace("text", F.lit("participants"), F.lit("partici-\npants"))})
+    out = quotes.raw_facts(raw, shown=F.col("shown"))
+    return out.select("source_file", "page_number", "category", "quote", "raw_quote", F.array_join("flags", ",").alias("flags"))
+
+
 def long_parts(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return structure.long_page_parts(docs, 1000, 100).select("doc_id", F.col("part").cast("long").alias("part"), "text")
@@ -76,6 +117,10 @@ fa as (select *, case sentence_no when 0 then 'sample_size' when 1 then 'p_value
 FACT_ROWS = "with " + PAGES + FACTS + " select source_file, page_number, sentence_no, category, quote, 'unknown' source_type, true verified from fa"
 
 
+RAW_FACTS = "with " + PAGES + FACTS + """ select source_file, fa.page_number, category, quote, case sentence_no when 0 then string_split(text, chr(10))[1] || chr(10) || replace(string_split(text, chr(10))[2], 'participants', 'partici-' || chr(10) || 'pants') when 1 then string_split(text, chr(10))[3] else string_split(text, chr(10))[5] end raw_quote, '' flags
+from fa join pages using (source_file, page_number)"""
+
+
 def fact_sections(spark, sf):
     p = pages(spark, sf)
     return facts.in_sections(facts.facts(p), structure.sections(p)).groupBy("section", "category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_file").alias("documents"))
@@ -313,7 +358,7 @@ def usage(spark, sf):
 
 
 QUERIES = {
-    "win04_section_carry": carry, "win05_units": units, "txt06_sections": sections, "txt09_passages": passages, "txt10_chunks": chunks, "txt10_long_page_split": long_parts, "txt11_facts": found, "jon07_fact_section": fact_sections,
+    "win04_section_carry": carry, "win05_units": units, "txt06_sections": sections, "txt09_passages": passages, "txt10_chunks": chunks, "txt10_long_page_split": long_parts, "txt11_facts": found, "txt11_raw_facts": raw_facts, "txt12_raw_quotes": raw_quotes, "jon07_fact_section": fact_sections,
     "jon08_range_page": quote_page, "evd02_locate": locate, "flt06_stat_search": statistical, "comp01_compare": compare, "rep02_selection": select_papers, "rep01_layout": layout, "mr06_request_plan": plan, "mr05_budget_groups": groups,
     "mr08_contract": contract, "agg03_dedup_by_sha": identity, "agg01_manifest_counts": manifest, "win03_alias_occurrence": alias, "bat01_resume_anti": resume, "snk07_upsert": upsert, "snk08_changed_sources": changed, "agg04_repeated_lines": repeated,
     "txt02_collapse": collapsed, "txt03_sentences": split, "qa03_bounded_text": bounded, "fmt05_safe_stem": stems, "src12_histogram": histogram, "flt01_value_filter": three_filters,
@@ -322,7 +367,7 @@ QUERIES = {
 ORACLE = {
     "txt01_clean_pages": CLEANED,
     "win04_section_carry": "with " + LINES + " select source_file, section, count(*) n, sum(length(line))::bigint chars from cs group by 1, 2", "win05_units": UNITS, "txt06_sections": "with " + LINES + SECTIONS + " select * from ss",
-    "txt10_long_page_split": LONG, "txt11_facts": FACT_ROWS, "jon07_fact_section": IN_SECTIONS, "jon08_range_page": QUOTE, "evd02_locate": LOCATE, "flt06_stat_search": "with " + PAGES + r" select source_file, page_number from pages where regexp_matches(text, '(?i)\bp\s*=\s*0\.03')",
+    "txt09_passages": PASSAGES, "txt10_chunks": CHUNKS, "txt10_long_page_split": LONG, "txt11_facts": FACT_ROWS, "txt11_raw_facts": RAW_FACTS, "txt12_raw_quotes": RAW_QUOTES, "jon07_fact_section": IN_SECTIONS, "jon08_range_page": QUOTE, "evd02_locate": LOCATE, "flt06_stat_search": "with " + PAGES + r" select source_file, page_number from pages where regexp_matches(text, '(?i)\bp\s*=\s*0\.03')",
     "comp01_compare": COMPARE, "rep02_selection": SELECT, "rep01_layout": "select papers, case when papers <= 1 then 'single' when papers <= 3 then 'matrix' else 'vertical' end layout, count(*) batches from (select count(*) papers from lineitem group by l_orderkey) group by 1, 2",
     "mr06_request_plan": "with n as (select doc_id, greatest(length(text) - 8000, 0) // 7500 + 1 n_chunks from documents) select *, n_chunks + 1 base_requests, n_chunks * 2000 + 4000 max_output_tokens, (n_chunks + 1) * 6 worst_requests from n",
     "mr05_budget_groups": GROUPS, "mr08_contract": CONTRACT, "agg03_dedup_by_sha": IDENTITY, "agg01_manifest_counts": "select count(*) inputs, count(distinct text) documents, count(*) - count(distinct text) duplicates from documents", "win03_alias_occurrence": ALIAS,
