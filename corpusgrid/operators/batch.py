@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgrid.operators import ranks
+
 
 def identified(inputs: DataFrame, id_col: str, content_col: str) -> DataFrame:
     """Inputs with content_sha256, document_id, duplicate_of (the first input of equal content) and is_duplicate.
@@ -39,9 +41,9 @@ def outcome(inputs: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def aliases(inputs: DataFrame, name: Column, order: str) -> DataFrame:
-    """Inputs with `alias`: the name, from its second occurrence on with its number."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return inputs.withColumn("alias", F.when(n > 1, F.concat(name, F.lit(" #"), n)).otherwise(name))
+    """Inputs with `alias`: the name, from its second occurrence on with its number. A name may stand for any share of the inputs."""
+    rows = ranks.ranked(inputs.withColumn("__name", name), ["__name"], [order], "__n")
+    return rows.withColumn("alias", F.when(F.col("__n") > 1, F.concat("__name", F.lit(" #"), "__n")).otherwise(F.col("__name"))).drop("__n", "__name")
 
 
 def pending(documents: DataFrame, results: DataFrame, pause_after: int | None = None) -> DataFrame:
@@ -79,7 +81,6 @@ def layout(n: Column) -> Column:
 def selection(papers: DataFrame, most: int = 10, by: list[str] | None = None) -> DataFrame:
     """Papers (metadata, verified, sections, flags, failed) with score and selection_rank (null if not chosen), per `by` group."""
     score = F.col("metadata") * 10 + F.least("verified", F.lit(20)) * 2 + F.least("sections", F.lit(8)) - F.col("flags") * 2
-    rows = papers.withColumn("score", score)
-    order = Window.partitionBy(*(by or []), "failed").orderBy(F.desc("score"), "document_id")
-    rank = F.row_number().over(order)
-    return rows.withColumn("selection_rank", F.when(~F.col("failed") & (rank <= most), rank))
+    keys = [*(by or []), "failed"]
+    rows = ranks.ranked(papers.withColumn("score", score), keys, [F.desc("score"), "document_id"], "__rank")
+    return rows.withColumn("selection_rank", F.when(~F.col("failed") & (F.col("__rank") <= most), F.col("__rank"))).drop("__rank")

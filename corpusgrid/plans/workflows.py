@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgrid.functions import text as X
 from corpusgrid.operators import batch, facts, index, report, search
+from corpusgrid.operators.runs import BatchRun
 from corpusgrid.plans.papers import FACTS, PAGES, pages
 from corpusgrid.plans.retrieval import BM25, TOKENS, table
+from corpusgrid.session import shared_dir
 
 SECTION = "case page_number % 4 when 1 then 'Introduction' when 2 then 'Methods' when 3 then 'Results' else 'References' end"
 PASSAGES = "pa as (select source_file || ':' || page_number passage_id, source_file, {section} section, text from pages)".format(section=SECTION)
@@ -176,11 +180,58 @@ KEPT = "with " + PAGES + r""", t as (select source_file, page_number, list_sort(
 select source_file, page_number, array_to_string(t, '|') tokens, true whole, false cut from t"""
 
 
+def _words_of(docs: DataFrame) -> DataFrame:
+    """An extractor: the number of words; texts of fewer than 100 characters fail."""
+    return docs.select("document_id", F.size(F.split("content", " ")).cast("string").alias("result"), F.when(F.length("content") < 100, "too_short").alias("error"))
+
+
+def _resumed(spark, sf) -> BatchRun:
+    """A batch over nine tenths of the documents, paused after 50 of them, opened again with all inputs, and run to its end in waves."""
+    docs = table(spark, sf, "documents")
+    name = F.concat_ws("-", "source", "lang")
+    run = BatchRun(spark, f"{shared_dir(spark)}/batch-{uuid.uuid4().hex}")
+    run.open(docs.where("doc_id % 10 <> 3"), name, F.col("text"), "doc_id")
+    run.run(_words_of, pause_after=50)
+    run.open(docs, name, F.col("text"), "doc_id")
+    run.run(_words_of, wave=10_000)
+    return run
+
+
+def resumed_inputs(spark, sf):
+    run = _resumed(spark, sf)
+    old = run.store.read(run.store.at(1), "inputs").select("alias", F.col("input_id").alias("old"))
+    rows = run.inputs().join(old, "alias", "left")
+    return rows.select("position", "alias", "document_id", "status", F.coalesce(F.col("input_id") == F.col("old"), F.lit(False)).alias("kept_id"))
+
+
+RESUMED = """with i as (select doc_id position, source || '-' || lang as n, text, row_number() over (partition by source, lang order by doc_id) k, row_number() over (partition by text order by doc_id) copy from documents),
+c as (select source || '-' || lang as n, count(*) old from documents where doc_id % 10 <> 3 group by 1)
+select position, i.n || case when k > 1 then ' #' || k else '' end alias, 'doc_' || sha256(text) document_id, case when copy > 1 then 'duplicate' when length(text) < 100 then 'failed' else 'completed' end status, k <= coalesce(old, 0) kept_id from i left join c using (n)"""
+
+
+def resumed_documents(spark, sf):
+    return _resumed(spark, sf).documents().select("document_id", "position", "alias", F.col("n_inputs").cast("long").alias("n_inputs"), "status", F.coalesce("error", F.lit("")).alias("error"), F.col("result").cast("long").alias("result"))
+
+
+RESUMED_DOCUMENTS = """with i as (select doc_id position, text, source || '-' || lang || case when row_number() over (partition by source, lang order by doc_id) > 1 then ' #' || row_number() over (partition by source, lang order by doc_id) else '' end alias, row_number() over (partition by text order by doc_id) copy, count(*) over (partition by text) n_inputs from documents)
+select 'doc_' || sha256(text) document_id, position, alias, n_inputs, case when length(text) < 100 then 'failed' else 'completed' end status, case when length(text) < 100 then 'too_short' else '' end error, len(string_split(text, ' ')) result from i where copy = 1"""
+
+
+def resumed_state(spark, sf):
+    return _resumed(spark, sf).state()
+
+
+RESUMED_STATE = """with d as (select text, count(*) n from documents group by 1) select sum(n)::bigint inputs, sum(n - 1)::bigint duplicates, 0 skipped, count(*) documents, count_if(length(text) >= 100)::bigint completed, count_if(length(text) < 100)::bigint failed,
+case when count_if(length(text) < 100) > 0 then 'completed_with_errors' else 'completed' end status from d"""
+
+
 QUERIES = {
+    "bat02_resumed_inputs": resumed_inputs, "bat02_resumed_documents": resumed_documents, "snk11_batch_state": resumed_state,
     "src08_passage_filters": filtered, "top02_statistical_hits": statistical_hits, "ret01_routed_search": routed, "ret08_index_state": index_state, "snk09_index_rows": index_rows, "snk10_remove_source": removed,
     "bat03_statuses": input_statuses, "agg18_batch_outcome": batch_outcome, "txt20_sentence_keys": sentence_keys, "txt05_segments": page_segments, "agg14_merged_evidence": evidence_items, "comp02_sample_sizes": samples, "mr12_protected_tokens": kept_tokens,
 }
 ORACLE = {
+    "bat02_resumed_inputs": RESUMED, "bat02_resumed_documents": RESUMED_DOCUMENTS, "snk11_batch_state": RESUMED_STATE,
     "src08_passage_filters": FILTERED, "top02_statistical_hits": STATISTICAL, "ret01_routed_search": ROUTED, "ret08_index_state": INDEX_STATE, "snk09_index_rows": INDEX_ROWS, "snk10_remove_source": REMOVED,
     "bat03_statuses": BATCH + "select doc_id, status from s", "agg18_batch_outcome": OUTCOME, "txt20_sentence_keys": KEYS, "txt05_segments": SEGMENTS, "agg14_merged_evidence": EVIDENCE, "comp02_sample_sizes": SAMPLES, "mr12_protected_tokens": KEPT,
 }
