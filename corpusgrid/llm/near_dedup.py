@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgrid.llm import hashing
-from corpusgrid.llm.common import salted_join
+from corpusgrid.llm.common import salted_join, small_batches
 from corpusgrid.llm.tokens import slices
 from corpusgrid.session import materialise
 
 TREES, DEPTH, LEAST, REGION, WORDS, PERCENT = 32, 5, 2, 8, 5, 75
 SKETCH, SKETCH_BITS = 128, 88  # of 128 bits, 112 agree on average at the threshold, and fewer than 88 once in 100 million pairs
-BLOCK, BLOCK_SHINGLES, FEW, HELD = 2048, 1 << 18, 500_000, 1 << 17
+BLOCK, BLOCK_SHINGLES, FEW, HELD = 2048, 1 << 18, 500_000, 1 << 16
 TEXT_BYTES = 1 << 20  # of texts that are worked on at once: a slice takes about 80 times its size while its words are hashed
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -381,18 +381,19 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, trees: int = TREES, dept
     kept true. Ids are integers and should name one document each: rows of one id and text get equal results, and where the texts differ
     each row gets the component of its own text. `text_digest` (xxhash64 of the text) tells such rows apart. The call runs the jobs up to the components.
     """
-    own = materialise(nodes(docs, trees, depth, id_col, text_col), "signatures")
-    some = own.where("print is not null and id is not null")
-    # one node for each distinct set; sums and minima are formed before the shuffle, whatever the number of copies
-    groups = some.groupBy("print").agg(F.min(F.struct("id", "digest", "n", "keys", "sketch")).alias("first"))
-    groups = materialise(groups.select(F.monotonically_increasing_id().alias("id"), "print", F.col("first.id").alias("doc"), "first.digest", "first.n", "first.keys", "first.sketch"), "nodes")
-    places = groups.select("id", "doc", "digest")
-    pairs, members = candidates(groups.select("id", "n", "keys", "sketch"), trees, depth, least, region, percent, held)
-    links = materialise(confirmed(materialise(pairs, "pairs"), docs, percent, id_col, text_col, places), "confirmed")
-    roots = components(links)
-    links = materialise(across(members, roots, docs, percent, id_col, text_col, places=places), "links-across")
-    if not links.isEmpty():
-        roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    with small_batches(docs.sparkSession):
+        own = materialise(nodes(docs, trees, depth, id_col, text_col), "signatures")
+        some = own.where("print is not null and id is not null")
+        # one node for each distinct set; sums and minima are formed before the shuffle, whatever the number of copies
+        groups = some.groupBy("print").agg(F.min(F.struct("id", "digest", "n", "keys", "sketch")).alias("first"))
+        groups = materialise(groups.select(F.monotonically_increasing_id().alias("id"), "print", F.col("first.id").alias("doc"), "first.digest", "first.n", "first.keys", "first.sketch"), "nodes")
+        places = groups.select("id", "doc", "digest")
+        pairs, members = candidates(groups.select("id", "n", "keys", "sketch"), trees, depth, least, region, percent, held)
+        links = materialise(confirmed(materialise(pairs, "pairs"), docs, percent, id_col, text_col, places), "confirmed")
+        roots = components(links)
+        links = materialise(across(members, roots, docs, percent, id_col, text_col, places=places), "links-across")
+        if not links.isEmpty():
+            roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = materialise(groups.select("print", "doc", F.col("id").alias("node")).join(roots, "node", "left").select("print", "doc", F.coalesce("root", "node").alias("root")), "roots")
     lowest = named.groupBy("root").agg(F.min("doc").alias("component"))  # the smallest document of a component
     named = salted_join(named, lowest, ["root"]).select("print", "component")
