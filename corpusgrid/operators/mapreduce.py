@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgrid.functions import text as X
-from corpusgrid.operators import evidence, structure
+from corpusgrid.operators import evidence, ranks, structure
 from corpusgrid.session import materialise
 
 Provider = Callable[[str], str]
 NOTE = "struct<claims:array<struct<text:string,quote:string>>,limitations:array<string>>"
-MAX_CLAIMS, MAX_CHARS, MAX_ROUNDS = 8, 600, 8
+MAX_CLAIMS, MAX_CHARS = 8, 600
 
 
 def offline(prompt: str) -> str:
@@ -80,17 +80,19 @@ def map_chunks(chunks: DataFrame, provider: Provider = offline) -> DataFrame:
 def reduce_notes(notes: DataFrame, provider: Provider = offline, budget: int = 4000) -> DataFrame:
     """source_file, content, rounds: each paper's notes brought to one, group by group within the budget, round by round.
 
-    Each round is a table in the shared folder. A group of one note is merged with its neighbour if nothing shrank otherwise; after MAX_ROUNDS
-    the rest is taken in one call.
+    Each round is a table in the shared folder. A round that would not at least halve a paper's notes merges them two by two, whatever the budget, so that every paper comes to one note
+    after as many rounds as its number of notes has binary digits. Chunks whose answer was no note count as empty notes; so a paper of such chunks has a row.
     """
-    rows = notes.select("source_file", F.col("chunk").cast("long").alias("at"), F.to_json("note").alias("said")).where("said is not null")
+    rows = notes.select("source_file", F.col("chunk").cast("long").alias("at"), F.coalesce(F.to_json("note"), F.lit("{}")).alias("said"))
     rows = materialise(rows, "notes")
     done = 0
-    while done < MAX_ROUNDS and not rows.groupBy("source_file").count().where("count > 1").isEmpty():
+    while not rows.groupBy("source_file").count().where("count > 1").isEmpty():
         done += 1
         grouped = structure.budget_groups(rows, "source_file", "at", F.length("said"), budget)
+        number = ranks.ranked(rows.select("source_file", "at"), ["source_file"], ["at"], "place")
         least = grouped.groupBy("source_file").agg(F.max("group").alias("last"), F.count(F.lit(1)).alias("n"))
-        grouped = grouped.join(least, "source_file").withColumn("group", F.when(F.col("last") + 1 == F.col("n"), F.expr("`group` div 2")).otherwise(F.col("group")))
+        grouped = grouped.join(number, ["source_file", "at"]).join(least, "source_file")
+        grouped = grouped.withColumn("group", F.when((F.col("last") + 1) * 2 > F.col("n") + 1, F.expr("(place - 1) div 2")).otherwise(F.col("group")))
         joined = rows.join(grouped.select("source_file", "at", "group"), ["source_file", "at"]).groupBy("source_file", F.col("group").alias("to"))
         prompts = joined.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), "\n").alias("prompt"))
         said = called(prompts, "prompt", provider).select("source_file", F.col("to").cast("long").alias("at"), F.coalesce("content", F.lit("{}")).alias("said"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.functions import text as X
-from corpusgrid.operators import batch, evidence, facts, mapreduce, quotes, structure, summary
+from corpusgrid.operators import batch, comparison, evidence, facts, mapreduce, quotes, structure, summary
 from corpusgrid.plans.retrieval import table
 
 PAGE = """case page_number % 4 when 1 then 'Introduction' when 2 then '2) Methods' when 3 then 'Results' else 'Funding' end || chr(10) ||
@@ -164,17 +164,23 @@ def statistical(spark, sf):
 
 
 def compare(spark, sf):
-    """One row per paper: values of each category, page pairs, missing categories."""
-    f = facts.facts(pages(spark, sf))
-    one = lambda c: X.flat_list(F.array_sort(F.collect_set(F.when(F.col("category") == c, F.col("quote"))))).alias(c)
-    cats = ("sample_size", "p_value", "temperature", "dose")
-    rows = f.groupBy("source_file").agg(*(one(c) for c in cats), F.array_join(F.array_sort(F.collect_set("page_number")), ",").alias("pages"))
-    return rows.withColumn("missing", F.array_join(F.array_compact(F.array(*(F.when(F.col(c) == X.NOT_FOUND, F.lit(c)) for c in cats))), ","))
+    """The comparison row of each paper, its lists as one cell each."""
+    out = comparison.compare(pages(spark, sf))
+    lists = [f.name for f in out.schema.fields if f.dataType.typeName() == "array"]
+    return out.select("source_file", "title", "sample_size", *(F.array_join(F.transform(c, lambda x: x.cast("string")), " | ").alias(c) for c in lists))
 
 
-COMPARE = "with " + PAGES + FACTS + """, v as (select source_file, category, string_agg(distinct quote, '; ' order by quote) q from fa group by 1, 2)
-select p.source_file, coalesce(max(case when category = 'sample_size' then q end), '未提取到') sample_size, coalesce(max(case when category = 'p_value' then q end), '未提取到') p_value, coalesce(max(case when category = 'temperature' then q end), '未提取到') temperature,
-'未提取到' dose, max(pg) pages, 'dose' missing from (select source_file, string_agg(page_number::varchar, ',' order by page_number) pg from pages group by 1) p join v using (source_file) group by 1"""
+COMPARE = "with " + LINES + SECTIONS + FACTS + """,
+b as (select fa.source_file, page_number, sentence_no, category, arg_max(section, (page_start, section)) s from fa join ss on ss.source_file = fa.source_file and contains(ss.title || ' ' || replace(ss.text, chr(10), ' '), quote) group by all),
+j as (select fa.*, coalesce(s, 'unknown') s from fa left join b using (source_file, page_number, sentence_no, category)),
+me as (select source_file, 'Methods ' || string_split(text, chr(10))[2] sentence from (select source_file, min(page_number) page_number from ls where line = '2) Methods' group by 1) join pages using (source_file, page_number)),
+u as (select source_file, 'c' f, quote v, min(page_number * 10 + sentence_no) o from j where category in ('temperature', 'time') and s = 'methods' group by all union all
+  select source_file, 's', quote, min(page_number * 10 + sentence_no) from j where category = 'p_value' and s in ('methods', 'results') group by all union all
+  select source_file, 'r', quote, min(page_number * 10 + sentence_no) from j where category = 'major_result' and s = 'results' group by all),
+w as (select source_file, string_agg(v, ' | ' order by o) filter (where f = 'c') experimental_conditions, string_agg(v, ' | ' order by o) filter (where f = 's') statistical_information, string_agg(v, ' | ' order by o) filter (where f = 'r') major_results from u group by 1),
+z as (select source_file, arg_min(regexp_extract(quote, '\\d+ participants', 0), (length(regexp_extract(quote, '\\d+ participants', 0)), page_number)) sample_size, string_agg(page_number::varchar, ' | ' order by page_number) source_pages from fa where sentence_no = 0 group by 1)
+select source_file, 'Introduction' title, sample_size, '' method_keywords, coalesce(sentence, '') method_evidence, coalesce(experimental_conditions, '') experimental_conditions, coalesce(statistical_information, '') statistical_information, coalesce(major_results, '') major_results,
+'' conclusions, '' limitations, source_pages, 'year | doi | research_object' missing_fields from z left join w using (source_file) left join me using (source_file)"""
 
 
 def select_papers(spark, sf):
@@ -325,7 +331,11 @@ def extractive(spark, sf):
 
 def methods(spark, sf):
     p = pages(spark, sf)
-    return summary.method_evidence(structure.sections(p), facts.facts(p))
+    return comparison.method_evidence(p, comparison.placed_facts(p)).select("source_file", F.col("n").cast("long").alias("n"), "sentence")
+
+
+METHODS = "with " + LINES + """, m as (select source_file, min(page_number) page_number from ls where line = '2) Methods' group by 1)
+select source_file, 1 n, 'Methods ' || string_split(text, chr(10))[2] sentence from m join pages using (source_file, page_number)"""
 
 
 def metadata(spark, sf):
@@ -365,7 +375,7 @@ QUERIES = {
     "txt01_clean_pages": cleaned, "txt23_extractive_summary": extractive, "txt24_method_evidence": methods, "txt17_metadata": metadata, "mr01_map_chunks": mapped, "mr03_reduce": reduced, "agg16_usage": usage,
 }
 ORACLE = {
-    "txt01_clean_pages": CLEANED,
+    "txt01_clean_pages": CLEANED, "txt24_method_evidence": METHODS,
     "win04_section_carry": "with " + LINES + " select source_file, section, count(*) n, sum(length(line))::bigint chars from cs group by 1, 2", "win05_units": UNITS, "txt06_sections": "with " + LINES + SECTIONS + " select * from ss",
     "txt09_passages": PASSAGES, "txt10_chunks": CHUNKS, "txt10_long_page_split": LONG, "txt11_facts": FACT_ROWS, "txt11_raw_facts": RAW_FACTS, "txt12_raw_quotes": RAW_QUOTES, "jon07_fact_section": IN_SECTIONS, "jon08_range_page": QUOTE, "evd02_locate": LOCATE, "flt06_stat_search": "with " + PAGES + r" select source_file, page_number from pages where regexp_matches(text, '(?i)\bp\s*=\s*0\.03')",
     "comp01_compare": COMPARE, "rep02_selection": SELECT, "rep01_layout": "select papers, case when papers <= 1 then 'single' when papers <= 3 then 'matrix' else 'vertical' end layout, count(*) batches from (select count(*) papers from lineitem group by l_orderkey) group by 1, 2",
