@@ -84,17 +84,22 @@ def reduce_notes(notes: DataFrame, provider: Provider = offline, budget: int = 4
     after as many rounds as its number of notes has binary digits. Chunks whose answer was no note count as empty notes; so a paper of such chunks has a row.
     """
     rows = notes.select("source_file", F.col("chunk").cast("long").alias("at"), F.coalesce(F.to_json("note"), F.lit("{}")).alias("said"))
-    rows = materialise(rows, "notes")
-    done = 0
-    while not rows.groupBy("source_file").count().where("count > 1").isEmpty():
+    rows, done, ended = materialise(rows, "notes"), 0, None
+    while True:
+        number = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"))
+        rows = materialise(rows.join(number, "source_file"), "notes")
+        single = rows.where("n = 1").select("source_file", F.col("said").alias("content"), F.lit(done).alias("rounds"))
+        ended = single if ended is None else ended.unionByName(single)
+        rows = rows.where("n > 1").drop("n")
+        if rows.isEmpty():
+            return ended
         done += 1
         grouped = structure.budget_groups(rows, "source_file", "at", F.length("said"), budget)
-        number = ranks.ranked(rows.select("source_file", "at"), ["source_file"], ["at"], "place")
+        place = ranks.ranked(rows.select("source_file", "at"), ["source_file"], ["at"], "place")
         least = grouped.groupBy("source_file").agg(F.max("group").alias("last"), F.count(F.lit(1)).alias("n"))
-        grouped = grouped.join(number, ["source_file", "at"]).join(least, "source_file")
+        grouped = grouped.join(place, ["source_file", "at"]).join(least, "source_file")
         grouped = grouped.withColumn("group", F.when((F.col("last") + 1) * 2 > F.col("n") + 1, F.expr("(place - 1) div 2")).otherwise(F.col("group")))
         joined = rows.join(grouped.select("source_file", "at", "group"), ["source_file", "at"]).groupBy("source_file", F.col("group").alias("to"))
         prompts = joined.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), "\n").alias("prompt"))
         said = called(prompts, "prompt", provider).select("source_file", F.col("to").cast("long").alias("at"), F.coalesce("content", F.lit("{}")).alias("said"))
         rows = materialise(said, "notes")
-    return rows.select("source_file", F.col("said").alias("content"), F.lit(done).alias("rounds"))
