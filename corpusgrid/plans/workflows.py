@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgrid.functions import text as X
-from corpusgrid.operators import batch, facts, index, report, search
+from corpusgrid.operators import batch, facts, failures, index, ranks, report, search
 from corpusgrid.operators.runs import BatchRun
+from corpusgrid.operators.scope import ScopedStore, batches
 from corpusgrid.plans.papers import FACTS, PAGES, pages
 from corpusgrid.plans.retrieval import BM25, TOKENS, table
-from corpusgrid.session import shared_dir
+from corpusgrid.session import materialise, shared_dir
 
 SECTION = "case page_number % 4 when 1 then 'Introduction' when 2 then 'Methods' when 3 then 'Results' else 'References' end"
 PASSAGES = "pa as (select source_file || ':' || page_number passage_id, source_file, {section} section, text from pages)".format(section=SECTION)
@@ -225,12 +226,71 @@ RESUMED_STATE = """with d as (select text, count(*) n from documents group by 1)
 case when count_if(length(text) < 100) > 0 then 'completed_with_errors' else 'completed' end status from d"""
 
 
+def positional(spark, sf):
+    """Documents with their label; a document without one takes the label at its own place."""
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
+    out = ranks.positional(labels, table(spark, sf, "documents").select("doc_id", "source"), "doc_id", "doc_id", "doc_id")
+    return out.select("doc_id", "source", F.col("row.doc_id").alias("label_of"), F.col("row.quality").alias("quality"), F.coalesce("matched", F.lit("none")).alias("matched"))
+
+
+POSITIONAL = """with d as (select doc_id, source, row_number() over (order by doc_id) i from documents), l as (select *, row_number() over (order by doc_id) i from labels)
+select d.doc_id, source, coalesce(k.doc_id, p.doc_id) label_of, coalesce(k.quality, p.quality)::bigint quality, case when k.doc_id is not null then 'key' when p.doc_id is not null then 'position' else 'none' end matched
+from d left join l k on k.doc_id = d.doc_id left join l p on p.i = d.i"""
+
+
+def inherited(spark, sf):
+    """Orders whose priority or flag is blank take the first line item's that has one."""
+    final = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.lit("")).otherwise(F.col("o_orderpriority")).alias("note"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("flag"))
+    parts = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("at"), F.when(F.col("l_quantity") > 10, F.concat("l_returnflag", F.lit("-"), "l_linenumber")).otherwise("").alias("note"), F.when(F.col("l_discount") > 0.03, F.concat("l_linestatus", F.lit("/"), "l_linenumber")).alias("flag"))
+    return failures.inherited(final, parts, "o_orderkey", "at", ["note", "flag"]).withColumn("inherited", F.array_join("inherited", ","))
+
+
+INHERITED = """with p as (select l_orderkey, arg_min(l_returnflag || '-' || l_linenumber, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) filter (where l_quantity > 10) note, arg_min(l_linestatus || '/' || l_linenumber, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) filter (where l_discount > 0.03) flag from lineitem group by 1),
+f as (select o_orderkey, case when o_orderkey % 2 = 0 then '' else o_orderpriority end note, case when o_orderkey % 3 <> 0 then o_orderstatus end flag from orders)
+select f.o_orderkey, case when f.note = '' then coalesce(p.note, f.note) else f.note end note, coalesce(f.flag, p.flag) flag, concat_ws(',', case when f.note = '' and p.note is not null then 'note' end, case when f.flag is null and p.flag is not null then 'flag' end) inherited from f left join p on l_orderkey = o_orderkey"""
+
+
+def traced(spark, sf):
+    """Each line item as a call, whose error, status and answer follow from its columns: how the calls of a supplier ended."""
+    li = table(spark, sf, "lineitem")
+    n = F.col("l_partkey") % 12
+    error = F.when(n == 0, "Rate Limit of key").when(n == 1, "read timed out").when(n == 2, "connection reset by peer").when(n == 3, "the model does not exist").when(n == 4, "bad JSON").when(n.isin(5, 6), "answered with an error")
+    status = F.when(n == 5, 400 + F.col("l_suppkey") % 5).when(n == 6, 503)
+    calls = li.select("l_suppkey", error.alias("error"), F.lit("").alias("code"), status.alias("status"), F.lit("ProviderError").alias("kind"), F.when(n == 7, "").otherwise("{}").alias("content"), (~n.isin(7, 8)).alias("parsed"), F.when(n == 9, F.array(F.lit("UNKNOWN_EVIDENCE_ID"))).when(n == 10, F.array(F.lit("ODD"))).alias("warnings"))
+    return failures.trace(calls).groupBy("l_suppkey", "stage", "outcome").agg(F.count(F.lit(1)).alias("calls"))
+
+
+TRACED = """with c as (select l_suppkey, l_partkey % 12 n, 400 + l_suppkey % 5 st from lineitem)
+select l_suppkey, case when n <= 6 then 'request' when n <= 8 then 'parse' when n <= 10 then 'validate' else 'done' end stage,
+case n when 0 then 'RATE_LIMIT' when 1 then 'TIMEOUT' when 2 then 'CONNECTION_ERROR' when 3 then 'INVALID_PROVIDER_CONFIG' when 4 then 'MALFORMED_PROVIDER_RESPONSE' when 5 then case when st in (401, 403) then 'AUTH_ERROR' else 'PROVIDER_4XX' end when 6 then 'PROVIDER_5XX'
+when 7 then 'EMPTY_RESPONSE' when 8 then 'INVALID_JSON' when 9 then 'UNKNOWN_EVIDENCE_ID' when 10 then 'OTHER_VALIDATION_FAILURE' else 'VALID' end outcome, count(*) calls from c group by all"""
+
+
+def scoped(spark, sf):
+    """Every language of the documents as a batch, one of which is written anew after the contexts were made; and a context of a batch that is not there."""
+    docs = table(spark, sf, "documents").select(F.col("lang").alias("batch_id"), F.col("doc_id").cast("string").alias("passage_id"), F.col("source").alias("source_file"), F.lit("Methods").alias("section"), "text")
+    store = ScopedStore(spark, f"{shared_dir(spark)}/scope-{uuid.uuid4().hex}")
+    store.put(docs)
+    first = docs.agg(F.min("batch_id")).first()[0]
+    contexts = batches(docs).select(F.xxhash64("batch_id").alias("context_id"), "batch_id", "digest").unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("context_id"), F.lit("none").alias("batch_id"), F.lit("").alias("digest")))
+    contexts = materialise(contexts, "contexts")
+    store.put(docs.where((F.col("batch_id") == first) & (F.length("text") > 200)))
+    rows = store.passages(contexts).groupBy("context_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("batch_id").alias("batches"))
+    return store.states(contexts).join(rows, "context_id", "left").select("batch_id", "state", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("batches", F.lit(0)).alias("batches"))
+
+
+SCOPED = """select lang batch_id, case when lang = (select min(lang) from documents) then 'stale' else 'present' end state, case when lang = (select min(lang) from documents) then 0 else count(*) end n, case when lang = (select min(lang) from documents) then 0 else 1 end batches from documents group by lang
+union all select 'none', 'missing', 0, 0"""
+
+
 QUERIES = {
+    "jon11_positional": positional, "mr09_inherited_fields": inherited, "qa10_trace": traced, "flt05_batch_scope": scoped,
     "bat02_resumed_inputs": resumed_inputs, "bat02_resumed_documents": resumed_documents, "snk11_batch_state": resumed_state,
     "src08_passage_filters": filtered, "top02_statistical_hits": statistical_hits, "ret01_routed_search": routed, "ret08_index_state": index_state, "snk09_index_rows": index_rows, "snk10_remove_source": removed,
     "bat03_statuses": input_statuses, "agg18_batch_outcome": batch_outcome, "txt20_sentence_keys": sentence_keys, "txt05_segments": page_segments, "agg14_merged_evidence": evidence_items, "comp02_sample_sizes": samples, "mr12_protected_tokens": kept_tokens,
 }
 ORACLE = {
+    "jon11_positional": POSITIONAL, "mr09_inherited_fields": INHERITED, "qa10_trace": TRACED, "flt05_batch_scope": SCOPED,
     "bat02_resumed_inputs": RESUMED, "bat02_resumed_documents": RESUMED_DOCUMENTS, "snk11_batch_state": RESUMED_STATE,
     "src08_passage_filters": FILTERED, "top02_statistical_hits": STATISTICAL, "ret01_routed_search": ROUTED, "ret08_index_state": INDEX_STATE, "snk09_index_rows": INDEX_ROWS, "snk10_remove_source": REMOVED,
     "bat03_statuses": BATCH + "select doc_id, status from s", "agg18_batch_outcome": OUTCOME, "txt20_sentence_keys": KEYS, "txt05_segments": SEGMENTS, "agg14_merged_evidence": EVIDENCE, "comp02_sample_sizes": SAMPLES, "mr12_protected_tokens": KEPT,
