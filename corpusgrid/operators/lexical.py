@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusgrid.functions import text as X
 from corpusgrid.operators import automaton, inverted
-from corpusgrid.session import materialise
+from corpusgrid.session import materialise, spread
 
 K1, B, FLOOR = inverted.K1, inverted.B, inverted.FLOOR
 BROADCAST_TERMS = inverted.BROADCAST_ROWS
@@ -30,6 +30,7 @@ def _small(terms: DataFrame, bound: int = BROADCAST_TERMS) -> DataFrame:
 def _found(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, positions: bool) -> tuple[DataFrame, DataFrame]:
     """(postings of the query terms, query terms), each as a table; one scan of the texts."""
     terms = materialise(inverted.query_terms(queries, query_id), "query-terms")
+    docs = spread(docs.select(doc_id, "text"))
     return materialise(inverted.wanted(inverted.inverted(inverted.placed(docs, doc_id), positions), terms), "postings"), terms
 
 
