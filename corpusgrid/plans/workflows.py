@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgrid.functions import text as X
-from corpusgrid.operators import batch, facts, failures, index, ranks, report, search
+from corpusgrid.operators import batch, facts, failures, index, local_batch, ranks, report, search
 from corpusgrid.operators.runs import BatchRun
 from corpusgrid.operators.scope import ScopedStore, batches
-from corpusgrid.plans.papers import FACTS, PAGES, pages
+from corpusgrid.plans.papers import FACTS, LINES, PAGES, SECTIONS, pages
 from corpusgrid.plans.retrieval import BM25, TOKENS, table
 from corpusgrid.session import materialise, shared_dir
 
@@ -283,13 +283,34 @@ SCOPED = """select lang batch_id, case when lang = (select min(lang) from docume
 union all select 'none', 'missing', 0, 0"""
 
 
+def whole_batch(spark, sf):
+    """Every order as an input of form-fed pages, from extraction to selection; the index finds the passages of one quantity."""
+    p = pages(spark, sf).groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda x: x["text"]), "\f").alias("content"))
+    inputs = p.select(F.substring("source_file", 7, 20).cast("long").alias("key"), F.col("source_file").alias("name"), "content")
+    out = local_batch.process(spark, f"{shared_dir(spark)}/local-{uuid.uuid4().hex}", inputs, F.col("name"), F.col("content"), "key", passage_size=300, export=False)
+    found = out.index.phrases(spark.createDataFrame([(1, "study included 7 participants")], "qid long, text string"))
+    hits = found.join(out.passages.select(F.col("passage_id").alias("doc"), "source_file"), "doc").groupBy(F.col("source_file").alias("document_id")).agg(F.sum("times").alias("hits"))
+    counts = out.pages.groupBy(F.col("source_file").alias("document_id")).agg(F.count(F.lit(1)).alias("n_pages"))
+    rows = out.selection.join(counts, "document_id", "left").join(hits, "document_id", "left")
+    return rows.select("document_id", "name", "status", "n_pages", "verified", "sections", F.col("score").cast("long").alias("score"), F.col("selection_rank").cast("long").alias("selection_rank"), "layout", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+WHOLE = "with " + LINES + SECTIONS + """, c as (select source_file, string_agg(text, chr(12) order by page_number) content, count(*) n_pages, count_if(contains(text, 'study included 7 participants')) hits from pages group by 1),
+d as (select 'doc_' || sha256(content) document_id, arg_min(source_file, source_file[7:]::bigint) as "name", any_value(n_pages) n_pages, any_value(hits) hits from c group by 1),
+s as (select d.*, n_pages * 5 verified, (select count(*) from ss where ss.source_file = d.name and ss.text <> '') sections from d),
+r as (select *, (10 + least(verified, 20) * 2 + least(sections, 8))::bigint score from s)
+select document_id, name, 'completed' status, n_pages, verified, sections, score, case when row_number() over (order by score desc, document_id) <= 10 then row_number() over (order by score desc, document_id) end selection_rank, 'vertical' layout, hits from r"""
+
+
 QUERIES = {
+    "bat04_local_batch": whole_batch,
     "jon11_positional": positional, "mr09_inherited_fields": inherited, "qa10_trace": traced, "flt05_batch_scope": scoped,
     "bat02_resumed_inputs": resumed_inputs, "bat02_resumed_documents": resumed_documents, "snk11_batch_state": resumed_state,
     "src08_passage_filters": filtered, "top02_statistical_hits": statistical_hits, "ret01_routed_search": routed, "ret08_index_state": index_state, "snk09_index_rows": index_rows, "snk10_remove_source": removed,
     "bat03_statuses": input_statuses, "agg18_batch_outcome": batch_outcome, "txt20_sentence_keys": sentence_keys, "txt05_segments": page_segments, "agg14_merged_evidence": evidence_items, "comp02_sample_sizes": samples, "mr12_protected_tokens": kept_tokens,
 }
 ORACLE = {
+    "bat04_local_batch": WHOLE,
     "jon11_positional": POSITIONAL, "mr09_inherited_fields": INHERITED, "qa10_trace": TRACED, "flt05_batch_scope": SCOPED,
     "bat02_resumed_inputs": RESUMED, "bat02_resumed_documents": RESUMED_DOCUMENTS, "snk11_batch_state": RESUMED_STATE,
     "src08_passage_filters": FILTERED, "top02_statistical_hits": STATISTICAL, "ret01_routed_search": ROUTED, "ret08_index_state": INDEX_STATE, "snk09_index_rows": INDEX_ROWS, "snk10_remove_source": REMOVED,
