@@ -376,6 +376,7 @@ QUERIES = {
 }
 ORACLE = {
     "txt01_clean_pages": CLEANED, "txt24_method_evidence": METHODS,
+    "txt17_metadata": "select distinct 'order-' || l_orderkey source_file, 'Introduction' title, null::int as \"year\", null::varchar year_source, null::varchar doi, null::varchar purpose, null::varchar research_object from lineitem",
     "win04_section_carry": "with " + LINES + " select source_file, section, count(*) n, sum(length(line))::bigint chars from cs group by 1, 2", "win05_units": UNITS, "txt06_sections": "with " + LINES + SECTIONS + " select * from ss",
     "txt09_passages": PASSAGES, "txt10_chunks": CHUNKS, "txt10_long_page_split": LONG, "txt11_facts": FACT_ROWS, "txt11_raw_facts": RAW_FACTS, "txt12_raw_quotes": RAW_QUOTES, "jon07_fact_section": IN_SECTIONS, "jon08_range_page": QUOTE, "evd02_locate": LOCATE, "flt06_stat_search": "with " + PAGES + r" select source_file, page_number from pages where regexp_matches(text, '(?i)\bp\s*=\s*0\.03')",
     "comp01_compare": COMPARE, "rep02_selection": SELECT, "rep01_layout": "select papers, case when papers <= 1 then 'single' when papers <= 3 then 'matrix' else 'vertical' end layout, count(*) batches from (select count(*) papers from lineitem group by l_orderkey) group by 1, 2",
