@@ -320,7 +320,7 @@ def hybrid(spark, sf):
     turn = F.col("qid").cast("long") % 350  # queries are multiples of 50
     asked = asking(spark, sf).select("qid", F.col("text"), F.when(F.col("qid") % 150 == 0, "lexical").otherwise("hybrid").alias("mode"), F.when(turn != 0, F.col("embedding")).alias("vector"))
     out = hybrid_search(docs, asked, vectors, "READY")
-    return out.select("qid", "passage_id", F.col("rank").cast("long").alias("rank"), "fused_score", F.col("lexical_rank").cast("long").alias("lexical_rank"), F.round("lexical_score", 3).alias("lexical_score"), F.col("semantic_rank").cast("long").alias("semantic_rank"), F.round("semantic_score", 5).alias("semantic_score"), "sources", "mode", "semantic_status", "warning")
+    return out.select("qid", "passage_id", F.col("rank").cast("long").alias("rank"), "fused_score", F.col("lexical_rank").cast("long").alias("lexical_rank"), "lexical_score", F.col("semantic_rank").cast("long").alias("semantic_rank"), "semantic_score", "sources", "mode", "semantic_status", "warning")
 
 
 HYBRID = "with " + ASKING + BM25_OF.replace("top_k", "30") + ", " + COSINE.format(name="b0", k=1000000000) + """, ok as (select qid, case when qid % 150 = 0 then 'disabled' when qid % 350 = 0 then 'error' else 'available' end st from asked),
@@ -329,7 +329,7 @@ b as (select * from (select qid, vec_id doc, score, row_number() over (partition
 u as (select coalesce(a.qid, b.qid) qid, coalesce(a.doc, b.doc) passage_id, a.rank lexical_rank, a.score ls, b.rank semantic_rank, b.score ss from a full join b on a.qid = b.qid and a.doc = b.doc),
 f as (select u.*, st, case when st = 'available' then round(coalesce(1.0::double / (60 + lexical_rank), 0) + coalesce(1.0::double / (60 + semantic_rank), 0), 9) end fused_score from u join ok using (qid)),
 r as (select *, row_number() over (partition by qid order by fused_score desc nulls last, least(coalesce(lexical_rank, 1099511627776), coalesce(semantic_rank, 1099511627776)), coalesce(lexical_rank, 1099511627776), coalesce(semantic_rank, 1099511627776), passage_id) rank from f)
-select qid, passage_id, rank, fused_score, lexical_rank, round(ls, 3) lexical_score, semantic_rank, round(ss, 5) semantic_score, concat_ws(',', case when lexical_rank is not null then 'lexical' end, case when semantic_rank is not null then 'semantic' end) sources,
+select qid, passage_id, rank, fused_score, lexical_rank, ls lexical_score, semantic_rank, ss semantic_score, concat_ws(',', case when lexical_rank is not null then 'lexical' end, case when semantic_rank is not null then 'semantic' end) sources,
 case when st = 'available' then 'hybrid' else 'lexical' end as mode, st semantic_status, case when st = 'error' then 'the query has no usable vector: lexical results only' else '' end warning from r where rank <= 10"""
 
 
