@@ -343,6 +343,31 @@ def test_repeat_lengths(spark, docs, texts):
     assert got and size > 26
 
 
+@pytest.mark.parametrize("size", [500, 1 << 21])
+def test_repeat_lengths_at_every_place(spark, size):
+    """Passages of any length, most between a power's length and half as much again, at any place: the longest length by brute force, with texts and blocks of all sorts of ids."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows = [(None, " ".join(fresh(60))), (0, None)]
+    for k in range(40):
+        passage = fresh(int(rng.choice([13, 25, 26, 27, 30, 38, 51, 52, 60, 77, 104, 110])))
+        for i in range(rng.integers(2, 4)):
+            rows.append((int(2 * k + i) if k % 9 else None, " ".join([*fresh(rng.integers(0, 40)), *passage, *fresh(rng.integers(0, 40))])))
+    rows += [(500, " ".join([*"ab" * 40])), (501, " ".join([*"ab" * 30])), (502, rows[5][1]), (502, rows[9][1])]
+    words = [(LAST if i is None else i, (t or "").split()) for i, t in rows]
+    want, n = {}, 26
+    while n <= 208:
+        where = defaultdict(set)
+        for i, w in words:
+            for k in range(len(w) - n + 1):
+                where[tuple(w[k : k + n])].add(i)
+        want |= {i: n for who in where.values() if len(who) > 1 for i in who}
+        n *= 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {LAST if r.doc_id is None else r.doc_id: r.longest for r in substring_dedup.repeat_lengths(docs, block_bytes=size).collect()}
+    assert got == want and {26, 52, 104} <= set(got.values())
+
+
 def test_hashing_windows():
     data = np.frombuffer(b" ab  ab\tabc\n", np.uint8)
     starts, ends, h = hashing.words(data)
