@@ -90,6 +90,28 @@ def test_mined_rules_by_counting(spark, small, monkeypatch):
             assert (tuple(best[i]) if i in best else None) == (max(fits) if fits else None)
 
 
+@pytest.mark.parametrize("items", [2, 8])
+def test_tokens_beyond_the_first_count(spark, items):
+    """What a rule counts does not depend on how many tokens a page has, nor on how FP-growth gets them."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):  # 9 tokens that say much, another that says something, and one that stands wherever the last stands
+        marks = [f"m{k}" for k in range(9) if rng.random() < 0.5]
+        weak = ["x", "y"] if rng.random() < 0.3 else []
+        rows.append((i, [*marks, *weak, "all"], rng.random() < (0.75 if weak else 0.1 + 0.05 * len(marks))))
+    known = spark.createDataFrame(rows, "id long, tokens array<string>, bad boolean")
+    got = {tuple(r.rule): (r.n, round(r.confidence, 9)) for r in U.mine(known, min_support=0.01, min_count=15, items=items).collect()}
+    sets, counts = [(set(t), b) for _, t, b in rows], {}
+    for k in range(1, 6):
+        for combo in itertools.combinations(sorted({"all", "x", "y", *(f"m{k}" for k in range(9))}), k):
+            having = [b for s, b in sets if s.issuperset(combo)]
+            if sum(having) >= 15 and sum(having) / len(having) >= 0.6:
+                counts[combo] = (len(having), round(sum(having) / len(having), 9))
+    want = {c: v for c, v in counts.items() if not any(counts.get(c[:j] + c[j + 1 :], (0, 0))[1] >= v[1] for j in range(len(c)))}
+    assert {c: v for c, v in got.items() if len(c) < 6} == want and ("x",) in want and ("y",) in want
+    assert any(len(c) > 1 for c in want)
+
+
 def test_labels_teach_only_where_they_say_something(spark):
     rows = [(i, f"http://bad.com/{i}") for i in range(60)] + [(None, "http://bad.com/x")] * 3
     marks = [(i, 0, 0) for i in range(30)] + [(i, None, None) for i in range(60)] + [(i, 1, 0) for i in range(30)] + [(None, 0, 1)] * 5
