@@ -184,11 +184,17 @@ def candidates(distinct: DataFrame, trees: int, depth: int, least: int, region:
     return found.where("b is not null").select("a", "b").distinct(), found.where("b is null").select("tree", "key", F.col("a").alias("id"), "n")
 
 
-def mixed(own: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """tree, key, blocks of the regions whose nodes are in more than one component."""
-    sizes = own.groupBy("tree", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+def mixed(own: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, by: tuple[str, ...] = ("tree", "key")) -> DataFrame:
+    """`by`, blocks of the regions whose nodes are in more than one component."""
+    sizes = own.groupBy(*by).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("shingles") / block_shingles)).cast("long")
-    return sizes.where("low < high").select("tree", "key", blocks.alias("blocks"))
+    return sizes.where("low < high").select(*by, blocks.alias("blocks"))
+
+
+def homes(own: DataFrame) -> DataFrame:
+    """home, id, root, n: regions that have the same smallest node are one. Trees find much the same regions again and again; so a node's set is sent once for all of them."""
+    home = own.groupBy("tree", "key").agg(F.min("id").alias("home"))
+    return salted_join(own, home, ["tree", "key"]).select("home", "id", "root", "n").distinct()
 
 
 def linkable(sets: DataFrame, percent: int) -> DataFrame:
@@ -255,7 +261,7 @@ def compare(alone: bool, mine: np.ndarray, ids: np.ndarray, root: np.ndarray, n:
 def across(members: DataFrame, roots: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, block: int = BLOCK, places: DataFrame | None = None) -> DataFrame:
     """a < b: links that join the components of all of a region's members that are linked with one another.
 
-    Regions are cut into blocks of about `block` members or BLOCK_SHINGLES shingles by a hash of the id; every two blocks of a region, and each
+    Regions of the same smallest member are put together, and cut into blocks of about `block` members or BLOCK_SHINGLES shingles by a hash of the id; every two blocks, and each
     with itself, are one piece of work.
     """
     region = ["tree", "key"]
@@ -265,11 +271,11 @@ def across(members: DataFrame, roots: DataFrame, docs: DataFrame, percent: int,
     if own.isEmpty():
         return own.select(F.col("id").alias("a"), F.col("id").alias("b"))
     sets = materialise(linkable(shingle_sets(docs, own.select("id").distinct(), id_col, text_col, places), percent), "linkable")
-    own = materialise(own.join(sets.select("id"), "id"), "linkable-members")
-    own = materialise(salted_join(own, mixed(own, block), region), "mixed-regions").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
+    own = materialise(homes(materialise(own.join(sets.select("id"), "id"), "linkable-members")), "homes")
+    own = materialise(salted_join(own, mixed(own, block, by=("home",)), ["home"]), "mixed-homes").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
     own = own.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    work = [*region, "one", "two"]
-    own = own.select(*region, F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "id", "root", "set")
+    work = ["home", "one", "two"]
+    own = own.select("home", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "id", "root", "set")
     own = own.repartition(*work).sortWithinPartitions(*work)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

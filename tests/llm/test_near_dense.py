@@ -70,6 +70,19 @@ def test_linkable(spark):
     assert sorted(r.id for r in near_dedup.linkable(df, 75).collect()) == [1, 2, 4]
 
 
+def test_homes(spark):
+    """A node that many trees put with the same others is sent once, and every two nodes of a region stay together."""
+    rng = np.random.default_rng(8)
+    regions = [(tree, key, [int(x) for x in rng.choice(np.arange(key * 20, key * 20 + 20), rng.integers(2, 19), replace=False)]) for tree in range(32) for key in range(5)]
+    rows = [(tree, bytes([key]), i, i % 7, 9) for tree, key, ids in regions for i in ids]
+    got = near_dedup.homes(spark.createDataFrame(rows, "tree int, key binary, id long, root long, n int")).collect()
+    of = defaultdict(set)
+    for r in got:
+        of[r.home].add(r.id)
+    assert all(set(ids) <= of[min(ids)] for _, _, ids in regions) and all((r.root, r.n) == (r.id % 7, 9) for r in got)
+    assert len(got) == sum(map(len, of.values())) < len(rows) / 2
+
+
 @pytest.mark.parametrize("alone", [True, False])
 def test_compare(alone):
     """Parities rule out no link, whatever the sizes."""
