@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgrid.llm import hashing
-from corpusgrid.llm.common import salted_join, small_batches
+from corpusgrid.llm.common import released, salted_join, small_batches
 from corpusgrid.llm.tokens import slices
 from corpusgrid.session import materialise
 
 TREES, DEPTH, LEAST, REGION, WORDS, PERCENT = 32, 5, 2, 8, 5, 75
 SKETCH, SKETCH_BITS = 128, 88  # of 128 bits, 112 agree on average at the threshold, and fewer than 88 once in 100 million pairs
 BLOCK, BLOCK_SHINGLES, FEW, HELD = 2048, 1 << 18, 500_000, 1 << 16
-TEXT_BYTES = 1 << 20  # of texts that are worked on at once: a slice takes about 80 times its size while its words are hashed
+TEXT_BYTES = 1 << 18  # of texts that are worked on at once: a slice takes about 80 times its size while its words are hashed
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -101,7 +101,7 @@ def nodes(docs: DataFrame, trees: int, depth: int, id_col: str, text_col: str) -
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(size), *(pa.array(x, pa.binary()) for x in (prints, keys, sketch))], names=["id", "digest", "n", "print", "keys", "sketch"])
 
     rows = _texts(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
-    return rows.mapInArrow(run, "id long, digest long, n long, print binary, keys binary, sketch binary")
+    return rows.mapInArrow(lambda batches: released(run(batches)), "id long, digest long, n long, print binary, keys binary, sketch binary")
 
 
 def regions(tree: np.ndarray, keys: np.ndarray, least: int, region: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +180,7 @@ def candidates(distinct: DataFrame, trees: int, depth: int, least: int, region:
         if size:
             yield from judged(got)
 
-    found = materialise(rows.mapInArrow(run, "a long, b long, tree int, key binary, n int"), "candidates")
+    found = materialise(rows.mapInArrow(lambda batches: released(run(batches)), "a long, b long, tree int, key binary, n int"), "candidates")
     return found.where("b is not null").select("a", "b").distinct(), found.where("b is null").select("tree", "key", F.col("a").alias("id"), "n")
 
 
@@ -208,7 +208,7 @@ def linkable(sets: DataFrame, percent: int) -> DataFrame:
                 ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in values])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(ids)], names=["shingle", "id"])
 
-    alone = sets.mapInArrow(run, "shingle long, id long").groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id"))
+    alone = sets.mapInArrow(lambda batches: released(run(batches)), "shingle long, id long").groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id"))
     alone = alone.where("times = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
     n = F.expr("octet_length(set) div 8")
     return sets.join(alone, "id", "left").where(100 * (n - F.coalesce("alone", F.lit(0))) >= percent * n).select("id", "set")
@@ -306,7 +306,7 @@ def across(members: DataFrame, roots: DataFrame, docs: DataFrame, percent: int,
         if rest:
             yield settle(pa.Table.from_batches(rest), np.array([0]))
 
-    return own.mapInArrow(run, "a long, b long").distinct()
+    return own.mapInArrow(lambda batches: released(run(batches)), "a long, b long").distinct()
 
 
 def shingle_sets(docs: DataFrame, used: DataFrame, id_col: str, text_col: str, places: DataFrame | None = None) -> DataFrame:
@@ -328,7 +328,7 @@ def shingle_sets(docs: DataFrame, used: DataFrame, id_col: str, text_col: str, p
     else:
         wanted = used.join(places, "id").hint(hint)
         own = _texts(docs, id_col, text_col).select(F.col("id").alias("doc"), F.xxhash64("text").alias("digest"), "text").join(wanted, ["doc", "digest"]).select("id", "text")
-    own = materialise(own.mapInArrow(sets, "id long, set binary"), "shingle-sets")
+    own = materialise(own.mapInArrow(lambda batches: released(sets(batches)), "id long, set binary"), "shingle-sets")
     return own if own.count() == number else own.dropDuplicates(["id"])  # repeated rows
 
 
@@ -354,7 +354,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text
     own = shingle_sets(docs, used, id_col, text_col, places)
     joined = salted_join(pairs, own.select(F.col("id").alias("a"), F.col("set").alias("one")), ["a"])
     joined = salted_join(joined, own.select(F.col("id").alias("b"), F.col("set").alias("two")), ["b"], counted=pairs)
-    return joined.select("a", "b", "one", "two").mapInArrow(check, "a long, b long")
+    return joined.select("a", "b", "one", "two").mapInArrow(lambda batches: released(check(batches)), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusgrid.llm.common import released
+
 CAPACITY, BLOCK_TOKENS, END_ID = 1024, 3_000_000, 0
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
@@ -121,10 +123,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                     yield flush()
         if held:
             yield flush()
+        enc.rest()
 
     if order:
         docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES, KEPT = 8 << 20, 800_000
+RESTING = 200_000  # cuts that a worker keeps between tasks, about 60 MB
 _BLANK, _SIGN, _LETTER = (np.array([test(chr(i)) for i in range(128)] + [False] * 128) for test in (lambda c: c in " \n", lambda c: c.isprintable() and not c.isalnum() and c != " ", str.isalpha))
 
 
@@ -68,6 +69,11 @@ class Encoder:
             kept[cut] = array("I", enc.ids).tobytes()
         return [kept[c] for c in cuts]
 
+    def rest(self) -> None:
+        """To be called at the end of a task: the worker stays, and other stages need its memory."""
+        if len(self.kept) > RESTING:
+            self.kept.clear()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin (with the end last). Nulls are empty texts."""
         if texts.null_count:
