@@ -33,6 +33,7 @@ from corpusgrid.session import materialise
 TREES, DEPTH, LEAST, REGION, WORDS, PERCENT = 32, 5, 2, 8, 5, 75
 SKETCH, SKETCH_BITS = 128, 88  # of 128 bits, 112 agree on average at the threshold, and fewer than 88 once in 100 million pairs
 BLOCK, BLOCK_SHINGLES, FEW, HELD = 2048, 1 << 18, 500_000, 1 << 16
+PAIRS = 256  # of a home that are confirmed in one place
 TEXT_BYTES = 1 << 18  # of texts that are worked on at once: a slice takes about 80 times its size while its words are hashed
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -332,29 +333,59 @@ def shingle_sets(docs: DataFrame, used: DataFrame, id_col: str, text_col: str, p
     return own if own.count() == number else own.dropDuplicates(["id"])  # repeated rows
 
 
+def together(pairs: DataFrame, size: int = PAIRS) -> DataFrame:
+    """home, run, id, others: every pair stands once, as one of the `others` of its smaller id, in a run of its home that has both ids.
+
+    A pair's home is the smallest of its ids' labels, an id's label the smallest id among it and its partners. So the pairs of copies of one another
+    mostly have one home, to which a set is sent once for all of them. A home of more than `size` pairs is dealt over several runs.
+    """
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    labels = ends.groupBy("id").agg(F.min("a").alias("label"))
+    homed = materialise(salted_join(ends, labels, ["id"]).groupBy("a", "b").agg(F.min("label").alias("home")), "homed-pairs")
+    runs = homed.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / size).alias("runs"))
+    homed = salted_join(homed, runs, ["home"]).withColumn("run", F.pmod(F.xxhash64("a", "b"), F.col("runs")))
+    both = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.lit(None).cast("long").alias("other")))
+    return homed.select("home", "run", F.explode(both).alias("end")).groupBy("home", "run", "end.id").agg(F.collect_list("end.other").alias("others"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, places: DataFrame | None = None) -> DataFrame:
     """Those of the pairs with 100 * intersection >= percent * union of their full sets."""
 
+    def linked(one: np.ndarray, two: np.ndarray) -> bool:
+        short, long = sorted((one, two), key=len)
+        if 100 * len(short) < percent * len(long):
+            return False
+        at = np.searchsorted(long, short)
+        at[at == len(long)] = 0
+        both = int((long[at] == short).sum())
+        return 100 * both >= percent * (len(one) + len(two) - both)
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, sets, asked = None, {}, []  # the run that is being read
+
+        def links() -> list[tuple[int, int]]:
+            return [(a, b) for a, others in asked for b in others if linked(sets[a], sets[b])]
+
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                one, two = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                short, long = sorted((one, two), key=len)
-                if 100 * len(short) < percent * len(long):
-                    continue
-                at = np.searchsorted(long, short)
-                at[at == len(long)] = 0
-                both = int((long[at] == short).sum())
-                if 100 * both >= percent * (len(one) + len(two) - both):
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            out = []
+            for i, (home, number, a, others) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if (home, number) != run:
+                    out += links()
+                    run, sets, asked = (home, number), {}, []
+                sets[a] = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64)
+                if others:
+                    asked.append((a, others))
+            yield batch_of(out)
+        yield batch_of(links())
+
+    def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     own = shingle_sets(docs, used, id_col, text_col, places)
-    joined = salted_join(pairs, own.select(F.col("id").alias("a"), F.col("set").alias("one")), ["a"])
-    joined = salted_join(joined, own.select(F.col("id").alias("b"), F.col("set").alias("two")), ["b"], counted=pairs)
-    return joined.select("a", "b", "one", "two").mapInArrow(lambda batches: released(check(batches)), "a long, b long")
+    sent = salted_join(materialise(together(pairs), "pairs-together"), own, ["id"]).select("home", "run", "id", "others", "set")
+    sent = sent.repartition("home", "run").sortWithinPartitions("home", "run")
+    return sent.mapInArrow(lambda batches: released(check(batches)), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

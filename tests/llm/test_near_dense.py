@@ -83,6 +83,25 @@ def test_homes(spark):
     assert len(got) == sum(map(len, of.values())) < len(rows) / 2
 
 
+def test_together(spark):
+    """Every pair stands once, with both ids in its run; a node of a small cluster is sent once for all its pairs; no run is large."""
+    rng = np.random.default_rng(9)
+    clusters = [rng.permutation(np.arange(k * 100, k * 100 + 20)).tolist() for k in range(30)]
+    pairs = {(min(a, b), max(a, b)) for ids in clusters for a in ids for b in ids if a != b}
+    pairs |= {(90_000, 90_001 + i) for i in range(3000)} | {(80_000 + i, 89_999) for i in range(3000)}  # a hub of smaller ids, one of larger ones
+    rows = near_dedup.together(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()
+    runs = defaultdict(list)
+    for r in rows:
+        runs[r.home, r.run].append(r)
+    assert sorted((r.id, b) for r in rows for b in r.others) == sorted(pairs)
+    for own in runs.values():
+        ids = [r.id for r in own]
+        assert len(set(ids)) == len(ids) and {b for r in own for b in r.others} <= set(ids)
+        assert sum(len(r.others) for r in own) < 2 * near_dedup.PAIRS
+    assert sorted(r.id for r in rows if r.id < 80_000) == sorted(i for ids in clusters for i in ids)
+    assert len(rows) < 600 + 6000 + 60
+
+
 @pytest.mark.parametrize("alone", [True, False])
 def test_compare(alone):
     """Parities rule out no link, whatever the sizes."""
