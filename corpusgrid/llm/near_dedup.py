@@ -6,7 +6,8 @@ of neighbours that share `least` values at least. A region of at most `region` n
 is looked at a value deeper, part by part, until its parts are small or the key ends, and its neighbours stay
 candidates at every depth, so that dense regions use long prefixes and sparse ones short prefixes. Parts that are still
 large at full depth are copies in all but name: each of their nodes is paired with its neighbour and with the part's first node. Set
-sizes and a 128-bit sketch (a bit of each MinHash value) drop pairs far below the threshold; the rest are confirmed on full shingle sets.
+sizes and a 128-bit sketch (a bit of each MinHash value) drop pairs far below the threshold. Of the rest, parities of hashed shingles drop without loss nearly all
+that are no links, before any full set is sent; what is left is confirmed on full shingle sets.
 Components come from alternating star steps, each written to the shared folder.
 
 What large regions may have missed is then settled exactly. Of their nodes, those that can have a link at all (three quarters of
@@ -34,6 +35,7 @@ TREES, DEPTH, LEAST, REGION, WORDS, PERCENT = 32, 5, 2, 8, 5, 75
 SKETCH, SKETCH_BITS = 128, 88  # of 128 bits, 112 agree on average at the threshold, and fewer than 88 once in 100 million pairs
 BLOCK, BLOCK_SHINGLES, FEW, HELD = 2048, 1 << 18, 500_000, 1 << 16
 PAIRS = 256  # of a home that are confirmed in one place
+ODD_BITS = 2048  # parities that stand for a set while pairs are ruled out
 TEXT_BYTES = 1 << 18  # of texts that are worked on at once: a slice takes about 80 times its size while its words are hashed
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -224,6 +226,14 @@ def parities(n: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.packbits(bits & 1, axis=1).view(np.uint64)
 
 
+def odd_bits(values: np.ndarray, starts: np.ndarray, size: int = ODD_BITS) -> np.ndarray:
+    """The same for many sets in a row, always `size` bits, as rows of bytes."""
+    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    at = owner * size + (hashing.mix(values) & np.uint64(size - 1)).astype(np.int64)
+    bits = np.bincount(at, minlength=(len(starts) - 1) * size).reshape(-1, size) & 1
+    return np.packbits(bits.astype(np.uint8), axis=1)
+
+
 def compare(alone: bool, mine: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, values: np.ndarray, percent: int) -> np.ndarray:
     """Links among these sets (not alone: between those that are `mine` and the others) that join different roots; links that the ones before imply are left out."""
     left, right = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(mine), np.flatnonzero(~mine))
@@ -259,6 +269,13 @@ def compare(alone: bool, mine: np.ndarray, ids: np.ndarray, root: np.ndarray, n:
     return np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
 
 
+def open_nodes(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, root, n, regions (an array of tree and key): a row for each member, whatever the number of its regions, so that roots are joined once for each node."""
+    own = members.groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.struct("tree", "key")).alias("regions"))
+    own = own.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    return own.select("id", F.coalesce("root", "id").alias("root"), "n", "regions")
+
+
 def across(members: DataFrame, roots: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, block: int = BLOCK, places: DataFrame | None = None) -> DataFrame:
     """a < b: links that join the components of all of a region's members that are linked with one another.
 
@@ -266,12 +283,12 @@ def across(members: DataFrame, roots: DataFrame, docs: DataFrame, percent: int,
     with itself, are one piece of work.
     """
     region = ["tree", "key"]
-    own = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    own = materialise(own.select(*region, "id", "root", "n"), "open-regions")
+    own = open_nodes(members, roots).withColumn("region", F.explode("regions"))
+    own = materialise(own.select("region.*", "id", "root", "n"), "open-regions")
     own = materialise(salted_join(own, mixed(own), region).drop("blocks"), "mixed-regions")
     if own.isEmpty():
         return own.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    sets = materialise(linkable(shingle_sets(docs, own.select("id").distinct(), id_col, text_col, places), percent), "linkable")
+    sets = materialise(linkable(shingle_sets(docs, own.select("id").distinct(), id_col, text_col, places).select("id", "set"), percent), "linkable")
     own = materialise(homes(materialise(own.join(sets.select("id"), "id"), "linkable-members")), "homes")
     own = materialise(salted_join(own, mixed(own, block, by=("home",)), ["home"]), "mixed-homes").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
     own = own.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -311,7 +328,7 @@ def across(members: DataFrame, roots: DataFrame, docs: DataFrame, percent: int,
 
 
 def shingle_sets(docs: DataFrame, used: DataFrame, id_col: str, text_col: str, places: DataFrame | None = None) -> DataFrame:
-    """id, set (its shingles in order) of the rows whose id is in `used`. With `places` (id, doc, digest) an id stands for the text of that digest of row `doc`."""
+    """id, set (its shingles in order), odd (their parities) of the rows whose id is in `used`. With `places` (id, doc, digest) an id stands for the text of that digest of row `doc`."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,7 +336,8 @@ def shingle_sets(docs: DataFrame, used: DataFrame, id_col: str, text_col: str, p
             for a, b in slices(texts, TEXT_BYTES):
                 values, starts = shingles(texts.slice(a, b - a))
                 binary = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer(values)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), binary], names=["id", "set"])
+                odd = pa.array([x.tobytes() for x in odd_bits(values, starts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), binary, odd], names=["id", "set", "odd"])
 
     used = materialise(used, "used")
     number = used.count()
@@ -329,7 +347,7 @@ def shingle_sets(docs: DataFrame, used: DataFrame, id_col: str, text_col: str, p
     else:
         wanted = used.join(places, "id").hint(hint)
         own = _texts(docs, id_col, text_col).select(F.col("id").alias("doc"), F.xxhash64("text").alias("digest"), "text").join(wanted, ["doc", "digest"]).select("id", "text")
-    own = materialise(own.mapInArrow(lambda batches: released(sets(batches)), "id long, set binary"), "shingle-sets")
+    own = materialise(own.mapInArrow(lambda batches: released(sets(batches)), "id long, set binary, odd binary"), "shingle-sets")
     return own if own.count() == number else own.dropDuplicates(["id"])  # repeated rows
 
 
@@ -348,8 +366,25 @@ def together(pairs: DataFrame, size: int = PAIRS) -> DataFrame:
     return homed.select("home", "run", F.explode(both).alias("end")).groupBy("home", "run", "end.id").agg(F.collect_list("end.other").alias("others"))
 
 
+def possible(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs that the parities in `own` (id, set, odd) do not rule out."""
+    n = F.expr("octet_length(set) div 8")
+    both = pairs
+    for end in ("a", "b"):
+        both = salted_join(both, own.select(F.col("id").alias(end), n.alias(f"n_{end}"), F.col("odd").alias(f"odd_{end}")), [end], counted=pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (4, 5)) if batch.num_rows else (np.zeros((0, 1), np.uint64),) * 2
+            differ = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+            fits = differ * (100 + percent) <= (100 - percent) * (batch.column(2).to_numpy() + batch.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(fits)) for k in (0, 1)], names=["a", "b"])
+
+    return both.select("a", "b", "n_a", "n_b", "odd_a", "odd_b").mapInArrow(lambda batches: released(run(batches)), "a long, b long")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, places: DataFrame | None = None) -> DataFrame:
-    """Those of the pairs with 100 * intersection >= percent * union of their full sets."""
+    """Those of the pairs with 100 * intersection >= percent * union of their full sets. Sets are sent only for pairs that their parities do not rule out."""
 
     def linked(one: np.ndarray, two: np.ndarray) -> bool:
         short, long = sorted((one, two), key=len)
@@ -383,6 +418,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text
 
     used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     own = shingle_sets(docs, used, id_col, text_col, places)
+    pairs = materialise(possible(pairs, own, percent), "possible-pairs")
     sent = salted_join(materialise(together(pairs), "pairs-together"), own, ["id"]).select("home", "run", "id", "others", "set")
     sent = sent.repartition("home", "run").sortWithinPartitions("home", "run")
     return sent.mapInArrow(lambda batches: released(check(batches)), "a long, b long")

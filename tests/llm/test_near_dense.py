@@ -102,6 +102,41 @@ def test_together(spark):
     assert len(rows) < 600 + 6000 + 60
 
 
+def test_open_nodes(spark):
+    """Roots are joined with one row for each node, however many regions of however many trees hold it."""
+    members = [(tree, b"k", i, 9) for tree in range(32) for i in range(300)]
+    got = near_dedup.open_nodes(spark.createDataFrame(members, "tree int, key binary, id long, n int"), spark.createDataFrame([(i, 1) for i in range(2, 200)], "node long, root long")).collect()
+    assert sorted((r.id, r.root, r.n) for r in got) == [(i, 1 if 2 <= i < 200 else i, 9) for i in range(300)]
+    assert all(sorted(x.tree for x in r.regions) == list(range(32)) for r in got)
+
+
+def test_confirmed_sends_few_sets(spark, monkeypatch):
+    """Pairs that are no links are ruled out by parities, without loss; full sets go only with the others."""
+    rng = np.random.default_rng(10)
+    rows = []
+    for i in range(120):
+        words = [f"w{i % 6}-{k}" for k in range(300)]
+        for p in rng.choice(300, rng.integers(0, 16), replace=False):
+            words[p] = f"x{i}-{p}"
+        rows.append((i, " ".join(words)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    pairs = [(a, b) for a in range(120) for b in range(a + 1, 120) if a % 6 == b % 6]
+    links = [(a, b) for a, b in pairs if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])]
+    kept = []
+    materialise = near_dedup.materialise
+
+    def seen(df, name):
+        out = materialise(df, name)
+        if name == "possible-pairs":
+            kept.extend((r.a, r.b) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", seen)
+    got = near_dedup.confirmed(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(rows, "doc_id long, text string"), 75, "doc_id", "text").collect()
+    assert sorted((r.a, r.b) for r in got) == links and set(links) <= set(kept)
+    assert len(links) < len(pairs) / 2 and len(kept) < len(links) + (len(pairs) - len(links)) / 4
+
+
 @pytest.mark.parametrize("alone", [True, False])
 def test_compare(alone):
     """Parities rule out no link, whatever the sizes."""
