@@ -14,13 +14,19 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgrid.llm.common import read, words
+from corpusgrid.llm.common import SPACE, read
 
 BUCKETS, THRESHOLD, TRUSTED_ROWS, PRIOR, GRAMS = 1 << 18, -0.2, 50_000, 4.0, 2
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 PLACE_BITS, HASH_BITS, PLAN_STRING = 24, 40, 100_000
 
 
+def words(text: Column) -> Column:
+    """What common.words gives. White space at both ends is trimmed first, so that no lambda has to look at every word for empty ones."""
+    text = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\v\f\r"))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, SPACE))
+
+
 def with_places(docs: DataFrame, hash_bits: int = HASH_BITS, place_bits: int = PLACE_BITS) -> DataFrame:
     """`docs`, which has the array __words, with __places: places of the three-word windows that are found twice or more, in order.
 
@@ -53,7 +59,7 @@ def with_places(docs: DataFrame, hash_bits: int = HASH_BITS, place_bits: int = P
     same = lambda x, y: F.coalesce((x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"]), F.lit(False))
     docs = docs.withColumn("__same", F.transform("__whole", lambda x, i: same(x, F.get("__whole", i + 1)).cast("int")))
     slow = F.transform(F.filter("__whole", beside("__same")), lambda x: x["i"])
-    fast = F.transform(F.filter("__coded", beside("__flags")), place)
+    fast = F.when(F.array_contains("__flags", 1), F.transform(F.filter("__coded", beside("__flags")), place)).otherwise(F.array().cast("array<int>"))
     places = F.sort_array(F.when(F.col("__whole").isNotNull(), slow).otherwise(fast))
     return docs.withColumn("__places", places).drop("__coded", "__flags", "__whole", "__same")
 

@@ -157,6 +157,14 @@ def test_repeats_are_exact(spark, texts, bits):
     assert got == {i: brute_base(t)[4] for i, t in rows} and got[20_000] == 6
 
 
+def test_quality_words(spark):
+    """The words of the contract, and no lambda over them to find them."""
+    rows = [(None,), ("",), (" \t\n\v\f\r",), ("a",), (" a\vb\u00a0c \n\n d\u2003",), ("\u00a0 x \u00a0",), ("\x1c y \x85",)]
+    df = spark.createDataFrame(rows, "text string").select("text", quality.words(quality.F.col("text")).alias("w"))
+    assert all(r.w == WORD.findall(r.text or "") for r in df.collect())
+    assert "lambda" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_quality_held_out(spark):
     """Half of the labels as the target; on the other half, clean documents stay and most junk goes."""
     sf = "/root/testdata/sf0.01"
