@@ -4,21 +4,21 @@ Two multinomials over hashed n-grams (words and pairs of neighbouring words) are
 labelled good) and the raw corpus (every document). A document's score is the mean over its n-grams of
 log p_target - log p_raw, so it does not depend on length, and one fixed threshold decides every document.
 No text is shuffled: n-grams are counted in the map tasks, and only a row per bucket and task moves. The ratios
-come back as one array of `buckets` doubles, whose size is fixed by the parameter.
+are a table of one array of `buckets` doubles, whose size is fixed by the parameter, and the scores read it as a scalar subquery: so
+no plan, and no description of one that the driver makes and keeps, spells them out.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgrid.llm.common import SPACE, read
+from corpusgrid.session import materialise
 
 BUCKETS, THRESHOLD, TRUSTED_ROWS, PRIOR, GRAMS = 1 << 18, -0.2, 50_000, 4.0, 2
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-PLACE_BITS, HASH_BITS, PLAN_STRING = 24, 40, 100_000
+PLACE_BITS, HASH_BITS = 24, 40
 
 
 def words(text: Column) -> Column:
@@ -123,8 +123,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prio
     counts = counts.agg(F.count("__t").alias("t"), F.count(F.lit(1)).alias("r"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").na.fill(0, ["t", "r"])
     row = every.agg(F.collect_list(F.struct("b", "t", "r")).alias("v"), F.sum("t").alias("t"), F.sum("r").alias("r"))
-    ratio = lambda x: F.log(x["t"] + prior) - F.log(x["r"] * F.col("t") / F.col("r") + prior)
-    return row.select(F.when(F.col("t") == 0, F.array_repeat(F.lit(0.0), buckets)).otherwise(F.transform(F.array_sort("v"), ratio)).alias("ratios"))
+    ratio = lambda x: F.when(F.col("t") == 0, F.lit(0.0)).otherwise(F.log(x["t"] + prior) - F.log(x["r"] * F.col("t") / F.col("r") + prior))
+    return row.select(F.transform(F.array_sort("v"), ratio).alias("ratios"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, prior: float = PRIOR, id_col: str = "doc_id", text_col: str = "text", n: int = GRAMS) -> DataFrame:
@@ -132,21 +132,20 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
 
     Null or empty text: no words, base_failed, score 0. Repeated rows each get the same result. Without
     usable labels all scores are 0 and the base rules alone decide. Input columns of these names are replaced.
-    The call runs the counting job; `buckets` doubles come to the driver and return in the plan as a constant.
+    The call runs the counting job and writes its `buckets` doubles to the shared folder.
     """
     docs = docs.drop(*(c for c in docs.columns if c in (*BASE, "llr_score", "kept")))
-    spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b")) > PLAN_STRING:
-        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_STRING))  # else each description of a plan that the driver keeps spells the constant out
-    ratios = log_ratios(docs, trusted_ids(labels), buckets, prior, id_col, text_col, n).first()["ratios"]
-    table = F.from_json(F.lit(json.dumps([round(x, 9) for x in ratios])), "array<double>")  # folded to one constant
-    scored = with_base(docs, text_col).withColumn("__grams", grams(F.col("__words"), buckets, n))
-    total = F.aggregate("__grams", F.lit(0.0), lambda acc, b: acc + F.get(table, b))
-    scored = scored.withColumn("llr_score", F.round(F.when(F.size("__grams") > 0, total / F.size("__grams")).otherwise(0.0), 9))
+    ratios = log_ratios(docs, trusted_ids(labels), buckets, prior, id_col, text_col, n)
+    ratios = materialise(ratios.select(F.transform("ratios", lambda x: F.round(x, 9)).alias("ratios")), "log-ratios")
+    # __ratios and __grams are each used once: so the optimizer works them into the sum, and no row carries an array of all ratios.
+    scored = with_base(docs, text_col).withColumns({"__grams": grams(F.col("__words"), buckets, n), "__ratios": ratios.scalar()})
+    total = F.aggregate("__grams", F.lit(0.0), lambda acc, b: acc + F.get("__ratios", b))
+    number = sum((F.greatest(F.size("__words") - k, F.lit(0)) for k in range(n)), F.lit(0))
+    scored = scored.withColumn("llr_score", F.round(F.when(number > 0, total / number).otherwise(0.0), 9))
     # A filter on `kept` must not move below the projections: there it would work out the windows of a text anew for each of its words.
     # The second condition always holds, but is not deterministic to the optimizer, which then leaves the filter where it is.
     kept = ~F.col("base_failed") & (F.col("llr_score") >= threshold) & (F.monotonically_increasing_id() >= 0)
-    return scored.withColumn("kept", kept).drop("__words", "__grams")
+    return scored.withColumn("kept", kept).drop("__words", "__grams", "__ratios")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
