@@ -178,3 +178,21 @@ def test_hybrid_modes_and_statuses(spark):
         assert [(r.passage_id, r.mode, r.semantic_status, bool(r.warning)) for r in rows] == [(1, "lexical", status, True)]
     assert by(run("READY", sections=["Results"]), 1) == [2] and by(run("PARTIAL", references=True), 1)[:2] == [1, 4]
     assert np.isclose(sum(r.fused_score for r in got if r.qid == 6), sum(1 / (60 + i) for i in (1, 2, 3)), atol=1e-6)
+
+
+def test_phrases_apart(spark):
+    """Occurrences that share a space, or overlap, as the SQL of the phrase queries counts them."""
+    texts = [(1, "a b a b a b"), (2, "a a a a a a a a"), (3, "a b c a b"), (4, "a b a b c a b a b"), (5, "c")]
+    asked = [(1, "a b"), (2, "a a"), (3, "c"), (4, "a")]
+    want = {}
+    for q, p in asked:
+        for d, t in texts:
+            s = f" {t} "
+            n = (len(s) - len(s.replace(f" {p} ", " "))) // (len(p) + 1)
+            if n:
+                want[q, d] = n
+    df, q = frame(spark, texts), spark.createDataFrame(asked, "qid long, text string")
+    assert {(r.qid, r.doc): r.times for r in lexical.phrase(df, q, apart=True).collect()} == want
+    ix = index(spark, buckets=4)
+    ix.upsert(df.selectExpr("doc_id", "text", "'s' source"))
+    assert {(r.qid, r.doc): r.times for r in ix.phrases(q, apart=True).collect()} == want
