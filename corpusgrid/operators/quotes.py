@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from corpusgrid.operators import facts as rules
 
 KEYS = ["source_file", "page_number"]
+_SPACES, _BREAK = re.compile(r"(\s+)"), re.compile(r"[\r\n]")
 _HYPHEN = re.compile(r"(?<=[A-Za-z])-[ \t\r\n]+(?=[a-z])")
 _BROKEN = [re.compile(p, re.IGNORECASE) for p in rules.BROKEN]
 # Words that a whole sentence does not end with, and a figure's number cut off.
@@ -25,12 +26,13 @@ OPEN_ENDS = re.compile(r"(?:[-–—]|\b(?:significantly|compared|than|of|and|or
 
 
 class Form:
-    """`text` in its form for matching; `start[i]` and `end[i]`: the raw characters behind character i of the form."""
+    """`text` in its form for matching; `start[i]` and `end[i]`: the raw characters behind character i of the form. `kept` is as long and has case and line breaks as they are."""
 
-    __slots__ = ("end", "start", "text")
+    __slots__ = ("end", "kept", "start", "text")
 
     def __init__(self, raw: str) -> None:
         out: list[str] = []
+        kept: list[str] = []
         start: list[int] = []
         end: list[int] = []
         skip = [m.span() for m in _HYPHEN.finditer(raw)]
@@ -40,26 +42,40 @@ class Form:
                 i = skip.pop(0)[1]
                 continue
             j = i + 1
+            if "!" <= raw[i] <= "~" and (j == n or raw[j] <= "\x7f"):
+                out.append(raw[i].lower())
+                kept.append(raw[i])
+                start.append(i)
+                end.append(j)
+                i = j
+                continue
             if raw[i] > "\x7f" or (j < n and raw[j] > "\x7f"):
                 while j < n and unicodedata.combining(raw[j]):
                     j += 1
             folded = unicodedata.normalize("NFKC", raw[i:j]) if raw[i:j] > "\x7f" or j > i + 1 else raw[i]
-            for c in folded.casefold():
-                if c.isspace():
+            for own in folded:
+                if own.isspace():
+                    shown = "\n" if own in "\n\r" else " "
                     if out and out[-1] == " ":
                         end[-1] = j
+                        kept[-1] = max(kept[-1], shown, key="\n".__eq__)
                         continue
-                    c = " "
-                out.append(c)
-                start.append(i)
-                end.append(j)
+                    own = " "
+                else:
+                    shown = own
+                for c in own.casefold():
+                    out.append(c)
+                    kept.append(shown)
+                    start.append(i)
+                    end.append(j)
             i = j
         text = "".join(out)
         gone = sorted({m.start() + k for p in _BROKEN for m in p.finditer(text) for k, c in enumerate(m.group()) if c == " "})
         if gone:
-            keep = [k for k in range(len(text)) if k not in set(gone)]
-            text, start, end = "".join(text[k] for k in keep), [start[k] for k in keep], [end[k] for k in keep]
-        self.text, self.start, self.end = text, start, end
+            out_of = set(gone)
+            keep = [k for k in range(len(text)) if k not in out_of]
+            text, kept, start, end = "".join(text[k] for k in keep), [kept[k] for k in keep], [start[k] for k in keep], [end[k] for k in keep]
+        self.text, self.kept, self.start, self.end = text, "".join(kept), start, end
 
 
 class Page:
@@ -70,7 +86,7 @@ class Page:
         self.form: Form | None = None
 
     def find(self, quote: str) -> tuple[int, int, str] | None:
-        """(begin, end, how) of the first place: 'literal' (white space aside) or 'normal'."""
+        """(begin, end, how) of the first place: 'literal' (white space aside) or 'normal'. A place that has the quote's white space, and its case and line breaks, goes before others."""
         words = quote.split()
         if not words:
             return None
@@ -78,10 +94,15 @@ class Page:
         if at >= 0:
             return at, at + len(quote), "literal"
         if self.raw.find(words[0]) >= 0:
-            found = re.search(r"\s+".join(map(re.escape, words)), self.raw)
+            same = "".join(re.escape(x) if i % 2 == 0 else r"\s+" if _BREAK.search(x) else r"[^\S\r\n]" * len(x) for i, x in enumerate(_SPACES.split(quote)))
+            found = re.search(same, self.raw) or re.search(r"\s+".join(map(re.escape, words)), self.raw)
             if found:
                 return *found.span(), "literal"
         self.form = self.form or Form(self.raw)
+        exact = Form(quote).kept.strip()
+        at = self.form.kept.find(exact) if exact else -1
+        if at >= 0:
+            return self.form.start[at], self.form.end[at + len(exact) - 1], "normal"
         wanted = Form(" ".join(words)).text.strip()
         at = self.form.text.find(wanted) if wanted else -1
         if at < 0:

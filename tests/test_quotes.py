@@ -54,3 +54,16 @@ def test_pages(spark):
     facts = {(r.category, r.quote, r.raw_quote) for r in quotes.raw_facts(pages).collect()}
     assert ("time", "We used 5 µg/mL for two weeks.", "We used 5 µg/mL for two\nweeks.") in facts and len(facts) == 2
     assert quotes.raw_quotes(asked.limit(0), pages).collect() == []
+
+
+@pytest.mark.parametrize(("raw", "quote", "want"), [
+    ("Then of be in to.\nOf be i n to.", "Of be in to.", "Of be i n to."),  # the earlier place has another case
+    ("a\nb c. a\u202fb", "a b", "a\u202fb"),  # the earlier place has a line break
+    ("a\u202fb a\u202f\u202fb", "a  b", "a\u202f\u202fb"),
+    ("x i n\ny. x i n y.", "x in y", "x i n y"),
+    ("then of be i n to.", "Of be in to.", "of be i n to."),  # no other place
+    ("Straße i n A", "STRASSE in a", "Straße i n A"),
+])
+def test_nearest_form_first(raw, quote, want):
+    at = quotes.Page(raw).find(quote)
+    assert (raw[at[0] : at[1]] if at else None) == want
