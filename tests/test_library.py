@@ -242,3 +242,34 @@ def test_streams(spark, sf, tmp_path):
     query = counts.writeStream.format("memory").queryName("counts").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert query.exception() is None
+
+
+def test_facts_of_ascii_sentences(spark):
+    """Sentences read in Arrow batches give what the patterns give in the JVM, which reads the others."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from corpusgrid.operators import facts
+
+    words = "The study included 20 participants subjects, n = 14 were randomized to the drug and placebo group two arms at -3.5 C stored for 12 weeks. 5 mg/mL dose of 3 mg/kg p < 0.05 P=.01 95% CI: 1.2-3.4 mean +/- 2 model fitting r 2 R square used measured significant increased retained! Double-blind control group limited by replication? We conclude demonstrated i ncreased p attern t o s upport Open access Table 3 Methods µM ± 4 ° naïve ſtable Kelvin ́ 。 \t \n \r\n \x1c  ".split(" ")
+    draw = random.Random(5)
+    rows = [(f"d{i % 7}", i, " ".join(draw.choice(words) for _ in range(draw.randint(0, 25)))) for i in range(400)] + [("x", 1, None), ("x", 2, "")]
+    p = spark.createDataFrame(rows, "source_file string, page_number long, text string").repartition(3)
+    one, two = (sorted(map(tuple, facts.facts(p, rules).collect())) for rules in (None, dict(facts.RULES)))
+    assert one == two and len({r[3] for r in one}) > 10
+    kept = facts.facts(p, None, "n") if "n" in p.columns else facts.facts(p.withColumn("n", F.lit(1)), None, "n")
+    assert kept.count() == len(one) and kept.columns[-1] == "n"
+
+
+def test_facts_are_worked_out_once(spark):
+    """Placing facts in sections, or on raw pages, reads the pages' facts once."""
+    from corpusgrid.operators import facts, quotes
+
+    p = spark.createDataFrame([("a", 1, "Methods\nWe used 20 participants.\nResults\nIt increased. It increased."), ("a", 2, "Results\nIt increased.")], "source_file string, page_number long, text string")
+    sections = spark.createDataFrame([("a", "methods", "Methods", "We used 20 participants.", 1, 1), ("a", "results", "Results", "It increased.", 2, 2)], "source_file string, section string, title string, text string, page_start long, page_end long")
+    for df in (facts.in_sections(facts.facts(p), sections), quotes.raw_facts(p)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("cut(") == 1, plan
+    got = {(r.quote, r.page_number, r.section) for r in facts.in_sections(facts.facts(p), sections).collect()}
+    assert {s for q, _, s in got if q == "It increased."} == {"results"} and len(got) > 2
