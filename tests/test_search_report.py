@@ -120,3 +120,13 @@ def test_batch_outcome(spark):
     assert {r.input_id: r.status for r in rows.collect()} == {"i1": "completed", "i2": "duplicate", "i3": "failed", "i4": "pending"}
     assert batch.outcome(rows, documents).first().asDict() == {"inputs": 4, "duplicates": 1, "skipped": 0, "documents": 2, "completed": 1, "failed": 1, "status": "completed_with_errors"}
     assert batch.outcome(rows.limit(0), documents.limit(0)).first().status == "completed"
+
+
+def test_text_is_collapsed_once(spark):
+    """A text is collapsed once for all marks of what is no content."""
+    from corpusgrid.operators import report
+
+    rows = spark.createDataFrame([("The effect was large.",), (" ",), (None,), ("Keywords: a",), ("A, University, x",), ("See doi.org/1",), ("Ünï  café institute, Paris",)], "text string")
+    df = rows.where(~report.non_content(rows["text"]))
+    assert [r[0] for r in df.collect()] == ["The effect was large."]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("trim(") == 1
