@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from corpusgrid.operators import facts as rules
 
 KEYS = ["source_file", "page_number"]
 _SPACES, _BREAK = re.compile(r"(\s+)"), re.compile(r"[\r\n]")
+_CHUNKS = re.compile(r"\s+|\S+")
 _HYPHEN = re.compile(r"(?<=[A-Za-z])-[ \t\r\n]+(?=[a-z])")
 _BROKEN = [re.compile(p, re.IGNORECASE) for p in rules.BROKEN]
 # Words that a whole sentence does not end with, and a figure's number cut off.
@@ -37,6 +39,21 @@ class Form:
         end: list[int] = []
         skip = [m.span() for m in _HYPHEN.finditer(raw)]
         i, n = 0, len(raw)
+        if raw.isascii():  # by words, where each character stands for itself
+            for a, b in zip([0, *(e for _, e in skip)], [*(s for s, _ in skip), n], strict=True):
+                for m in _CHUNKS.finditer(raw, a, b):
+                    chunk, begin, stop = m[0], m.start(), m.end()
+                    if not chunk[0].isspace():
+                        out.append(chunk.lower())
+                        kept.extend(chunk)
+                        start.extend(range(begin, stop))
+                        end.extend(range(begin + 1, stop + 1))
+                    else:
+                        out.append(" ")
+                        kept.append("\n" if _BREAK.search(chunk) else " ")
+                        start.append(begin)
+                        end.append(stop)
+            i = n
         while i < n:
             if skip and i == skip[0][0]:
                 i = skip.pop(0)[1]
@@ -78,6 +95,19 @@ class Form:
         self.text, self.kept, self.start, self.end = text, "".join(kept), start, end
 
 
+@lru_cache(1 << 12)
+def form_of(quote: str) -> Form:
+    return Form(quote)
+
+
+@lru_cache(1 << 12)
+def spaced(quote: str) -> tuple[re.Pattern, re.Pattern]:
+    """The quote with its own white space, of any kind but line breaks, and with any white space."""
+    parts = _SPACES.split(quote)
+    same = "".join(re.escape(x) if i % 2 == 0 else r"\s+" if _BREAK.search(x) else r"[^\S\r\n]" * len(x) for i, x in enumerate(parts))
+    return re.compile(same), re.compile(r"\s+".join(map(re.escape, quote.split())))
+
+
 class Page:
     """A raw text in which quotes are looked for."""
 
@@ -94,16 +124,16 @@ class Page:
         if at >= 0:
             return at, at + len(quote), "literal"
         if self.raw.find(words[0]) >= 0:
-            same = "".join(re.escape(x) if i % 2 == 0 else r"\s+" if _BREAK.search(x) else r"[^\S\r\n]" * len(x) for i, x in enumerate(_SPACES.split(quote)))
-            found = re.search(same, self.raw) or re.search(r"\s+".join(map(re.escape, words)), self.raw)
+            same, any_space = spaced(quote)
+            found = same.search(self.raw) or any_space.search(self.raw)
             if found:
                 return *found.span(), "literal"
         self.form = self.form or Form(self.raw)
-        exact = Form(quote).kept.strip()
+        exact = form_of(quote).kept.strip()
         at = self.form.kept.find(exact) if exact else -1
         if at >= 0:
             return self.form.start[at], self.form.end[at + len(exact) - 1], "normal"
-        wanted = Form(" ".join(words)).text.strip()
+        wanted = form_of(" ".join(words)).text.strip()
         at = self.form.text.find(wanted) if wanted else -1
         if at < 0:
             return None
@@ -146,9 +176,34 @@ def raw_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, FOUND)
 
 
+RAW = "raw_quote string, raw_start long, raw_end long, verified boolean, flags array<string>"
+
+
 def raw_facts(pages: DataFrame, patterns: dict[str, str] | None = None, shown: Column | None = None) -> DataFrame:
-    """Facts (`facts.facts`) with raw_quote, raw_start, raw_end and flags. `shown`: the text that facts are read from, where it is not the page's own. Facts whose quote is not on the raw page are left out."""
-    read = pages if shown is None else pages.withColumn("text", shown)
-    found = rules.facts(read, patterns).drop("verified")
-    placed = raw_quotes(found, pages).where("verified").drop("how")
-    return found.join(placed, [*KEYS, "quote"])
+    """Facts (`facts.facts`) with raw_quote, raw_start, raw_end and flags. `shown`: the text that facts are read from, where it is not the page's own. Facts whose quote is not on the raw page are left out.
+
+    The raw text goes along with the facts of its page, which follow one another, so that nothing is joined and a page's form is made once.
+    """
+    read = pages.withColumn("__raw", F.coalesce("text", F.lit("")))
+    found = rules.facts(read if shown is None else read.withColumn("text", shown), patterns, "__raw").where("trim(quote) <> ''")
+    found = found.select("source_file", "page_number", "quote", "sentence_no", "category", "source_type", "__raw")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, last, told = Page(""), None, None
+        for batch in batches:
+            rows, out = [], []
+            for i, (quote, raw) in enumerate(zip(batch.column(2).to_pylist(), batch.column(6).to_pylist(), strict=True)):
+                if raw != page.raw:
+                    page, last = Page(raw), None
+                if quote != last:
+                    at, last = page.find(quote), quote
+                    told = at and (raw[at[0] : at[1]], at[0], at[1], True, flags(raw[at[0] : at[1]], quote))
+                if told:
+                    rows.append(i)
+                    out.append(told)
+            if rows:
+                kept = batch.take(pa.array(rows))
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([*kept.columns[:6], *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], names=[*batch.schema.names[:6], *(c.split()[0] for c in RAW.split(", "))])
+
+    return found.mapInArrow(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields[:6]) + ", " + RAW)

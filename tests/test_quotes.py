@@ -67,3 +67,13 @@ def test_pages(spark):
 def test_nearest_form_first(raw, quote, want):
     at = quotes.Page(raw).find(quote)
     assert (raw[at[0] : at[1]] if at else None) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("abN -\n\r\t.i n\x1ct o"), max_size=40))
+def test_form_of_ascii(raw):
+    """A form by words is the form by characters, which a last character outside ASCII brings about."""
+    one, two = quotes.Form(raw), quotes.Form(raw + " ¡")
+    n = len(one.text)
+    cut = n - 1 if one.text.endswith(" ") else n
+    assert [x[:cut] for x in (one.text, one.kept, one.start, one.end)] == [x[:cut] for x in (two.text, two.kept, two.start, two.end)]
