@@ -86,7 +86,8 @@ def search(rows: DataFrame, queries: DataFrame, limit: int = 10, sources: list[s
     of = lambda route: asked.where(F.col("route") == route).drop("route")
     kept = passages(rows, sources, sections, references)
     numbers = statistical(kept, of("statistical")).select("qid", "passage_id", F.lit("statistical").alias("route"), F.lit(None).cast("double").alias("score"), (-F.col("times")).cast("double").alias("first"), "length")
-    plain = lexical.bm25(rows, of("terms"), None, "passage_id", "qid").select("qid", F.col("doc").alias("passage_id"), F.lit("terms").alias("route"), "score")
+    most = max(1, min(limit, MOST)) + rows.count() - kept.count()  # as many as the filters take away can stand before the last one shown
+    plain = lexical.bm25(rows, of("terms"), most, "passage_id", "qid").select("qid", F.col("doc").alias("passage_id"), F.lit("terms").alias("route"), "score")
     ranked = plain.unionByName(phrases(rows, of("phrase")).withColumn("route", F.lit("phrase")))
     ranked = ranked.join(kept.select("passage_id"), "passage_id", "left_semi").withColumns({"first": F.col("score"), "length": F.lit(0)})
     order = Window.partitionBy("qid").orderBy("first", "length", "passage_id")

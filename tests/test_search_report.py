@@ -130,3 +130,17 @@ def test_text_is_collapsed_once(spark):
     df = rows.where(~report.non_content(rows["text"]))
     assert [r[0] for r in df.collect()] == ["The effect was large."]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("trim(") == 1
+
+
+def test_search_keeps_what_it_can_show(spark, monkeypatch):
+    """Ranked lists are cut at the limit and what the filters can take away, with the same results."""
+    from corpusgrid.operators import lexical
+
+    rows = spark.createDataFrame([(i, "s", "References" if i % 4 == 0 else "Methods", "heat " * (i % 5 + 1) + f"word{i % 3} " * (i % 7)) for i in range(60)], "passage_id long, source_file string, section string, text string")
+    asked = spark.createDataFrame([(1, "heat word1"), (2, "word2"), (3, "none")], "qid long, text string")
+    took, whole = [], lexical.bm25
+    monkeypatch.setattr(lexical, "bm25", lambda d, q, k, *rest: took.append(k) or whole(d, q, k, *rest))
+    cut = sorted(map(tuple, search.search(rows, asked, 4).collect()))
+    monkeypatch.setattr(lexical, "bm25", lambda d, q, k, *rest: whole(d, q, None, *rest))
+    assert cut == sorted(map(tuple, search.search(rows, asked, 4).collect())) and len(cut) == 8
+    assert took == [4 + 15]
